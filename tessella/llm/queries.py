@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import exact_dedup, langid, packing, simhash
+from tessella.llm import bpe, exact_dedup, iblt, langid, packing, sharding, simhash, warc
 from tessella.session import ship
 
 
@@ -37,17 +37,37 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", langid.is_held_out(F.col("doc_id")).alias("held_out"), langid.language(F.col("text"), model).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4 over all documents: ids by a table of distinct words, text back by a table of pieces."""
+    return bpe.digests(_read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 5 over all documents: tree merge of digest runs; the largest doc_id stays."""
     return exact_dedup.exact_groups(_read(spark, sf_dir, "documents"), keep="max")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 7 over all pages: written as WARC records with revisits, and read back."""
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 8 over all documents: SimHash of 3-word shingles, links at 3 bits, covering anchors."""
     return simhash.near_components(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_language_id, op5_exact_dedup, op8_simhash)}
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9 over all documents: sixteen shards of near equal bytes from sampled splitters."""
+    return sharding.shard_by_bytes(_read(spark, sf_dir, "documents"))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 10 over all documents: invertible Bloom lookup sketches of each text and its edited version."""
+    return iblt.versions(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op3_language_id, op4_bpe, op5_exact_dedup, op7_warc, op8_simhash, op9_sharding, op10_fingerprints)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": """
