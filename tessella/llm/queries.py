@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, exact_dedup, iblt, langid, packing, sharding, simhash, warc
+from tessella.llm import bpe, exact_dedup, html_main, iblt, langid, license_scan, packing, sharding, simhash, warc
 from tessella.session import ship
 
 
@@ -30,6 +30,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_read(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 2 over all pages: blocks labelled by a bidirectional LSTM."""
+    pages = _read(spark, sf_dir, "pages")
+    return pages.select("page_id", "url", html_main.main_text(F.col("html")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 3 over all documents: byte convolutional network fitted outside the held-out fold."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -47,6 +53,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_read(spark, sf_dir, "documents"), keep="max")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6 over all documents: licence texts and notices with coverage and span."""
+    return license_scan.scan(_read(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 7 over all pages: written as WARC records with revisits, and read back."""
     return warc.round_trip(_read(spark, sf_dir, "pages"))
@@ -67,7 +78,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.versions(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_language_id, op4_bpe, op5_exact_dedup, op7_warc, op8_simhash, op9_sharding, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_html_extraction, op3_language_id, op4_bpe, op5_exact_dedup, op6_license_scan, op7_warc, op8_simhash, op9_sharding, op10_fingerprints)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": """
