@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Column functions: fixed rules, classification, text measures, diagrams and code parsing."""

@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Registered queries: how the operators are bound to tables, and their SQL twins."""
