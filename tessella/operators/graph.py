@@ -96,11 +96,12 @@ def internal_components(members: DataFrame, edges: DataFrame, split_below: float
     return sizes.groupBy("module").agg(F.count(F.lit(1)).alias("components"), F.max("n").alias("largest"), F.sum("n").alias("files")).withColumn("split", F.col("largest") < F.col("files") * F.lit(split_below))
 
 
-def visits(calls: DataFrame, starts: DataFrame, max_depth: int = R.MAX_DEPTH) -> DataFrame:
+def visits(calls: DataFrame, starts: DataFrame, max_depth: int = R.MAX_DEPTH, nodes: DataFrame | None = None) -> DataFrame:
     """(start, node, depth, ord): breadth-first order from each start over calls (src, pos, dst), as a queue gives
-    it: by the visit order of the caller, then by the place of the call. One join a level."""
-    edges = store(calls.join(calls.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "pos", "dst"), "calls")
-    known = calls.select(F.col("src").alias("node")).distinct()
+    it: by the visit order of the caller, then by the place of the call. One join a level. nodes: (node) what is
+    known, without it whatever calls something; only known nodes are visited."""
+    known = store((calls.select(F.col("src").alias("node")) if nodes is None else nodes.select("node")).distinct(), "known")
+    edges = store(calls.join(known.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "pos", "dst"), "calls")
     seen = store(starts.select(F.col("start"), F.col("start").alias("node")).join(known, "node", "left_semi").select("start", "node", F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("ord")), "seen")
     frontier = seen
     for depth in range(1, max_depth + 1):
