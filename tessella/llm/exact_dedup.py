@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.store import materialise, text_or_empty
+from tessella.llm.store import fresh, materialise, text_or_empty
 
 KEY = ["_sha", "_xx", "_len"]
 
@@ -83,17 +83,19 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     Documents are looked up by id and digest. Rows that repeat both are told apart only where some do:
     of those one is picked by an aggregate that combines before it shuffles.
     """
+    kid, ksha, copies, dsha = fresh(df, "kid", "ksha", "copies", "dsha")
     groups = exact_groups(df, id_col, text_col, keep, fan_in)
     same = (
         groups.where(F.col(id_col).eqNullSafe(F.col("keep_id")))
-        .groupBy(F.col(id_col).alias("_kid"), F.col("text_sha256").alias("_ksha"))
-        .agg(F.count(F.lit(1)).alias("_same"))
+        .groupBy(F.col(id_col).alias(kid), F.col("text_sha256").alias(ksha))
+        .agg(F.count(F.lit(1)).alias(copies))
     )
     same = materialise(same, "kept")
-    keyed = df.withColumn("_dsha", F.sha2(text_or_empty(text_col), 256))
-    hit = keyed.join(same, keyed[id_col].eqNullSafe(same["_kid"]) & (keyed["_dsha"] == same["_ksha"]))
-    once = hit.where("_same = 1").select(*[df[c] for c in df.columns])
-    if same.where("_same > 1").isEmpty():
+    keyed = df.withColumn(dsha, F.sha2(text_or_empty(text_col), 256))
+    hit = keyed.join(same, keyed[id_col].eqNullSafe(same[kid]) & (keyed[dsha] == same[ksha]))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    once = hit.where(F.col(copies) == 1).select(*columns)
+    if same.where(F.col(copies) > 1).isEmpty():
         return once
-    again = hit.where("_same > 1").groupBy("_kid", "_ksha").agg(F.first(F.struct(*[df[c] for c in df.columns])).alias("_r")).select("_r.*")
+    again = hit.where(F.col(copies) > 1).groupBy(kid, ksha).agg(F.first(F.struct(*columns)).alias("r")).select("r.*")
     return once.unionByName(again)

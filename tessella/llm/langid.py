@@ -7,7 +7,7 @@ windows are classified, in batches, and their probabilities averaged by the byte
 
 Training takes a bounded sample: of the labelled rows that the caller allows, at most
 ``per_language`` (one for each language and hash bucket, the one with the least hash of its id),
-and at most ``windows_per_text`` windows of each. Labels serve training alone.
+and of each a few windows from places all over the text. Labels serve training alone.
 
 Cases: a null text, an empty one and one without any letter is ``und`` with score 0. Without
 labelled rows every text is ``und``. Ties go to the language that sorts first. Very long texts are
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 WIDTHS = (2, 3, 4)
 BATCH = 512
+#: Characters of a slice that training takes a window from.
+SLICE = 512
 
 
 @dataclass
@@ -113,7 +115,7 @@ def windows(text: str, window: int) -> Iterator[tuple[np.ndarray, int]]:
         yield full[k * window : (k + 1) * window + 3], min(window, len(raw) - k * window)
 
 
-def train(texts: list[str], labels: list[str], window: int = 256, filters: int = 16, windows_per_text: int = 4, epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 7) -> ByteConvNet:
+def train(texts: list[str], labels: list[str], window: int = 256, filters: int = 16, windows_per_text: int = 1, epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 7) -> ByteConvNet:
     """Fits the network with Adam; gradients pass through the position that each maximum came from."""
     rng = np.random.default_rng(seed)
     languages = sorted(set(labels))
@@ -172,20 +174,24 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> tuple[list[str], list[str]]:
-    """At most per_language labelled texts of each language, which language doesn't matter how frequent.
+def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, slices_per_text: int = 4) -> tuple[list[str], list[str]]:
+    """Slices of at most per_language labelled texts of each language, however frequent it is.
 
-    The choice is made over all rows on ids alone, combined before the shuffle; only the chosen texts
-    reach the driver, and of them only the windows that training could use.
+    The choice is made over all rows on ids alone, combined before the shuffle. Of a chosen text some slices
+    reach the driver, from places all over it.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & F.col(id_col).isNotNull())
     pick = rows.groupBy(F.col(lang_col).alias("_l"), F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(per_language)).alias("_b")).agg(F.min_by(F.col(id_col), F.xxhash64(F.col(id_col))).alias("_id"))
     ids = [r[0] for r in pick.select("_id").collect()]
     spark = docs.sparkSession
     wanted = spark.createDataFrame([(i,) for i in ids], spark.createDataFrame([], docs.select(F.col(id_col).alias("_id")).schema).schema)
-    got = rows.join(F.broadcast(wanted), F.col(id_col) == F.col("_id")).select(F.col(id_col).alias("i"), F.substring(F.col(text_col), 1, 4096).alias("t"), F.col(lang_col).alias("l")).dropDuplicates(["i"]).collect()
+    text, room = F.col(text_col), F.greatest(F.length(text_col) - SLICE, F.lit(0))
+    at = lambda k: F.floor(F.pmod(F.xxhash64(F.col(id_col), F.lit(k)), F.lit(1_000_000)) / 1_000_000.0 * (room + 1)).cast("int") + 1
+    slices = F.array_distinct(F.array(*[F.substring(text, at(k), F.lit(SLICE)) for k in range(slices_per_text)]))
+    got = rows.join(F.broadcast(wanted), F.col(id_col) == F.col("_id")).select(F.col(id_col).alias("i"), slices.alias("t"), F.col(lang_col).alias("l")).dropDuplicates(["i"]).collect()
     got.sort(key=lambda r: (r["l"], str(r["i"])))
-    return [r["t"] for r in got], [r["l"] for r in got]
+    pairs = [(t, r["l"]) for r in got for t in r["t"] if t]
+    return [t for t, _ in pairs], [g for _, g in pairs]
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 512, **options) -> ByteConvNet | None:

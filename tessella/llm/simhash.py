@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.store import materialise
+from tessella.llm.store import fresh, materialise
 
 BLOCK = 1 << 18
 
@@ -225,6 +225,7 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """df with one document of each near group: the one whose id is the component's. Rows without id stay."""
+    (gone,) = fresh(df, "gone")
     groups = near_components(df.where(F.col(id_col).isNotNull()), id_col, text_col, **options)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return df.join(gone, df[id_col] == gone["_gone"], "left_anti")
+    left = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone)).distinct()
+    return df.join(left, df[id_col] == left[gone], "left_anti")

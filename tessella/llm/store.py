@@ -44,3 +44,14 @@ def release(spark: SparkSession) -> None:
 def text_or_empty(name: str):
     """Null texts count as empty ones."""
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that none of df's columns has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
