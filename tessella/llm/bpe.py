@@ -2,13 +2,14 @@
 
 A word is what lies between two spaces that are followed by anything but white space, with the space
 before it; the tokenizer's own words never reach across such a place, so words can be encoded apart.
-Texts are taken in blocks of bounded size. Each block gives its distinct words once; the words of all
-blocks are dealt out by word and sorted, every distinct word is encoded once, and its ids go to each
-block that has it. There they are joined back by position. A frequent word thus crosses an exchange
-once a block, however often it occurs. Texts travel compressed.
+Texts are taken in blocks of bounded size. Each block gives its distinct words once, sorted, in
+buckets by the word's hash; the buckets of all blocks are brought together, every distinct word is
+encoded once, and the ids go back to each block in the order of its words. There they are joined to
+the texts by position. A frequent word thus crosses an exchange once a block, however often it occurs.
+Words, ids and texts travel compressed.
 
-Block numbers come from partition and position. Should a re-run deal rows differently, a word that
-a block lacks is encoded on the spot, so results stay whole.
+Block numbers come from partition and position. Should a re-run deal rows differently, a bucket
+whose checksum differs is left aside and its words are encoded on the spot, so results stay whole.
 
 Cases: a null or empty text has no ids and decodes to the empty text. Marks of special tokens in a
 text become those tokens, as the library does. Very long texts are a block each. Repeated rows and
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,42 +81,70 @@ def _marks(special: dict[str, int]) -> re.Pattern | None:
     return re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
 
-def _distinct_words(path: str):
+def block_words(texts: list[str], marks: re.Pattern | None, buckets: int) -> list[list[str]]:
+    """The distinct words of a block's texts, sorted, by bucket."""
+    first, later = set(), set()
+    for text in texts:
+        for segment in _segments(text, marks)[::2]:
+            words = split_words(segment)
+            first.add(words[0])
+            later.update(words[1:])
+    out: list[list[str]] = [[] for _ in range(buckets)]
+    crc = zlib.crc32
+    for w in first.union(" " + w for w in later) - {""}:
+        out[crc(w.encode("utf-8")) % buckets].append(w)
+    for own in out:
+        own.sort()
+    return out
+
+
+def squeeze(parts: list[bytes], level: int = 6) -> bytes:
+    """Byte strings as one compressed one: lengths, then contents."""
+    sizes = np.array([len(parts), *map(len, parts)], "<u4").tobytes()
+    return zstandard.ZstdCompressor(level=level).compress(sizes + b"".join(parts))
+
+
+def unsqueeze(blob: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int.from_bytes(raw[:4], "little")
+    ends = (np.cumsum(np.frombuffer(raw, "<u4", n, 4)) + 4 * (n + 1)).tolist()
+    return [raw[a:b] for a, b in zip([4 * (n + 1), *ends], ends, strict=False)]
+
+
+def _distinct_words(path: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = _marks(load(path)[1])
         for block, _, texts in blocks(batches):
-            first, later = set(), set()
-            for text in texts:
-                for segment in _segments(text, marks)[::2]:
-                    words = split_words(segment)
-                    first.add(words[0])
-                    later.update(words[1:])
-            found = list(first.union(" " + w for w in later) - {""})
-            for at in range(0, len(found), 20_000):
-                part = found[at : at + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(np.full(len(part), block))], ["word", "block"])
+            own = [(k, squeeze([w.encode("utf-8") for w in words])) for k, words in enumerate(block_words(texts, marks, buckets)) if words]
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int32()), pa.array(np.full(len(own), block)), pa.array([x for _, x in own], pa.binary())], ["bucket", "block", "words"])
 
     return run
 
 
-def _encode_sorted(path: str):
+def _encode_words(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, last, last_ids = load(path)[0], None, b""
+        """Rows come by bucket, so that a word is met in one run of rows and encoded at its first."""
+        tok, bucket, known = load(path)[0], None, {}
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            new = list(dict.fromkeys(w for w in words if w != last))
-            ids = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-            if last is not None:
-                ids[last] = last_ids
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([ids[w] for w in words], pa.binary())], ["word", "block", "ids"])
-            if words:
-                last, last_ids = words[-1], ids[words[-1]]
+            out, checks = [], []
+            for k, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if k != bucket:
+                    bucket, known = k, {}
+                words = unsqueeze(blob)
+                new = [w for w in words if w not in known]
+                for at in range(0, len(new), 8192):
+                    part = new[at : at + 8192]
+                    for w, e in zip(part, tok.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False), strict=True):
+                        known[w] = np.array(e.ids, "<u4").tobytes()
+                out.append(squeeze([known[w] for w in words]))
+                checks.append(zlib.crc32(b"\0".join(words)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(checks, pa.int64()), pa.array(out, pa.binary())], ["bucket", "block", "check", "ids"])
 
     return run
 
 
 def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    squeeze = zstandard.ZstdCompressor(level=3)
     for block, keys, texts in blocks(batches):
         at = 0
         while at < len(keys):
@@ -123,7 +153,7 @@ def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 size += len(texts[to])
                 to += 1
             raw = [t.encode("utf-8") for t in texts[at:to]]
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([keys[at:to]], pa.list_(_key_type(keys[at:to]))), pa.array([[len(r) for r in raw]], pa.list_(pa.int32())), pa.array([squeeze.compress(b"".join(raw))], pa.binary())], ["block", "keys", "sizes", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([keys[at:to]], pa.list_(_key_type(keys[at:to]))), pa.array([squeeze(raw)], pa.binary())], ["block", "keys", "blob"])
             at = to
 
 
@@ -131,16 +161,22 @@ def _key_type(keys: list) -> pa.DataType:
     return pa.int64() if all(k is None or isinstance(k, int) for k in keys) else pa.string()
 
 
-def _join_back(path: str):
+def _join_back(path: str, buckets: int):
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
         tok, special = load(path)
-        marks, open_ = _marks(special), zstandard.ZstdDecompressor()
+        marks = _marks(special)
+        keys = [k for own in texts.column("keys").to_pylist() for k in own]
+        raw = [t.decode("utf-8") for blob in texts.column("blob").to_pylist() for t in unsqueeze(blob)]
+        own = block_words(raw, marks, buckets)
         first, later = {"": b""}, {}
-        for w, ids in zip(words.column("word").to_pylist(), words.column("ids").to_pylist(), strict=True):
-            if w[0] == " ":
-                later[w[1:]] = ids
-            else:
-                first[w] = ids
+        for k, check, blob in zip(*(words.column(c).to_pylist() for c in ("bucket", "check", "ids")), strict=True):
+            if check != zlib.crc32(b"\0".join(w.encode("utf-8") for w in own[k])):
+                continue
+            for w, x in zip(own[k], unsqueeze(blob), strict=True):
+                if w[0] == " ":
+                    later[w[1:]] = x
+                else:
+                    first[w] = x
 
         def look(word: str, spaced: bool) -> bytes:
             full = f" {word}" if spaced else word
@@ -163,14 +199,10 @@ def _join_back(path: str):
                     out.append(b"".join(look(w, True) for w in rest))
             return b"".join(out)
 
-        keys, flat, ends = [], [], [0]
-        for row in texts.select(["keys", "sizes", "blob"]).to_batches():
-            for own, sizes, blob in zip(row.column(0).to_pylist(), row.column(1).to_pylist(), row.column(2).to_pylist(), strict=True):
-                raw, at = open_.decompress(blob) if sum(sizes) else b"", 0
-                for k, size in zip(own, sizes, strict=True):
-                    ids = encode(raw[at : at + size].decode("utf-8"))
-                    keys.append(k), flat.append(ids), ends.append(ends[-1] + len(ids) // 4)
-                    at += size
+        flat, ends = [], [0]
+        for text in raw:
+            flat.append(encode(text))
+            ends.append(ends[-1] + len(flat[-1]) // 4)
         values = pa.array(np.frombuffer(b"".join(flat), "<i4"))
         return pa.table({"key": pa.array(keys, texts.schema.field("keys").type.value_type), "ids": pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), values)})
 
@@ -182,10 +214,11 @@ def encode(df: DataFrame, tokenizer: str, key: str = "doc_id", text_col: str = "
     key: a column of long or string."""
     kind = "string" if df.schema[key].dataType.simpleString() == "string" else "long"
     source = df.select(F.col(key).cast(kind).alias("key"), F.col(text_col).alias("text"))
-    words = source.mapInArrow(_distinct_words(tokenizer), "word string, block long")
-    ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_sorted(tokenizer), "word string, block long, ids binary")
-    texts = source.mapInArrow(_packed_texts, f"block long, keys array<{kind}>, sizes array<int>, blob binary")
-    return texts.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_join_back(tokenizer), f"key {kind}, ids array<int>")
+    buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = source.mapInArrow(_distinct_words(tokenizer, buckets), "bucket int, block long, words binary")
+    ids = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(tokenizer), "bucket int, block long, check long, ids binary")
+    texts = source.mapInArrow(_packed_texts, f"block long, keys array<{kind}>, blob binary")
+    return texts.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_join_back(tokenizer, buckets), f"key {kind}, ids array<int>")
 
 
 def pieces(tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
