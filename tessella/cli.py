@@ -19,7 +19,7 @@ PLAN = "pages array<struct<page_id:string,title:string,output_path:string,page_t
 
 
 def _files(spark: SparkSession, root: str) -> DataFrame:
-    return tree.read_tree(spark, root).where(~F.col("path").startswith(".tessella/"))
+    return tree.read_tree(spark, root)
 
 
 def _plan(spark: SparkSession, root: str) -> DataFrame:

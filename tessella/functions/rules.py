@@ -9,9 +9,9 @@ MORE_BINARY_SUFFIXES = [".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico", ".webp"
 TEST_MARKS = ["/test/", "/tests/", "_test.", ".test.", ".spec.", "test_"]
 GENERATED_MARKS = ["/dist/", "/build/", ".min.js", ".lock"]
 ENTRY_NAMES = ["main.py", "app.py", "server.py", "cli.py", "index.js", "index.ts", "main.go", "main.rs"]
-IGNORED_DIRS = [".git", ".pytest_cache", "__pycache__", "node_modules", "dist", "build", ".venv", "venv"]
+IGNORED_DIRS = [".git", ".tessella", ".pytest_cache", "__pycache__", "node_modules", "dist", "build", ".venv", "venv"]
 IGNORED_FILES = [".DS_Store"]
-MORE_IGNORED_DIRS = ["node_modules", ".git", "dist", "build", "__pycache__", ".next", ".nuxt", "coverage", ".nyc_output", "vendor", "venv", ".venv", "env", ".env", "eggs", ".eggs", ".tox", ".cache", ".pytest_cache", ".mypy_cache", ".agent"]
+MORE_IGNORED_DIRS = ["node_modules", ".git", "dist", "build", "__pycache__", ".next", ".nuxt", "coverage", ".nyc_output", "vendor", "venv", ".venv", "env", ".env", "eggs", ".eggs", ".tox", ".cache", ".pytest_cache", ".mypy_cache", ".tessella", ".agent"]
 MORE_IGNORED_FILES = [".DS_Store", "Thumbs.db", ".gitignore", ".gitattributes", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "Pipfile.lock", "composer.lock"]
 CODE_SUFFIXES = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".pyi", ".go", ".rs", ".java", ".kt", ".scala", ".rb", ".php", ".cs", ".fs", ".vue", ".svelte", ".astro"]
 TEXT_DOC_SUFFIXES = [".md", ".mdx", ".rst", ".txt"]
