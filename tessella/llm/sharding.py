@@ -8,8 +8,9 @@ rate and subdivided until none is left that could be. Within a range records are
 sizes before it are added up on the (bounded) list of ranges. That gives each record its exact place
 in the whole order, and the shard follows from it: the law is ``bytes``, sizes near equal.
 
-Groups of equal texts stay in one shard, decided by the group's middle, if their bytes are at most
-``whole_group`` of a shard and no splitter had to cut them; larger ones are cut.
+Groups of equal texts stay in one shard, decided by the group's middle, if they weigh at most
+``whole_group`` of a shard, or no more than the largest record, and no splitter had to cut them; larger
+ones are cut.
 
 Only ids, hashes and sizes are shuffled, never texts. The driver sees the sample and the ranges, both
 bounded by parameters.
@@ -110,8 +111,7 @@ def shard_by_bytes(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text
     )
     rows = materialise(rows, "sizes")
     spark = df.sparkSession
-    total, count = rows.agg(F.sum("size"), F.count(F.lit(1))).first()
-    total, count = total or 1, count or 1
+    total, count, largest = (x or 1 for x in rows.agg(F.sum("size"), F.count(F.lit(1)), F.max("size")).first())
     n_ranges = max(1, min(max_ranges, count // 250))
     splitters, stats = find_ranges(rows, n_ranges, total, count)
     before_b, before_n, base = 0, 0, []
@@ -127,7 +127,7 @@ def shard_by_bytes(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text
         (F.col("rows_before") + F.row_number().over(order) - 1).alias("place"),
     )
     placed = placed.select("*", F.sum("size").over(group).alias("group_bytes"), F.min("at").over(group).alias("group_at"))
-    whole = F.col("group_bytes") <= F.lit(int(whole_group * total / shards))
+    whole = F.col("group_bytes") <= F.lit(max(largest, int(whole_group * total / shards)))
     middle = F.when(whole, F.col("group_at") * 2 + F.col("group_bytes")).otherwise(F.col("at") * 2 + F.col("size"))
     sharded = placed.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle.cast("decimal(38,0)") * shards / F.lit(2 * total))).cast("int"))
     sharded = materialise(sharded.select("id", "size", "text_crc32", "range", "place", "shard"), "sharded")
