@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 SCHEMA = "key {}, start long, length long, ids binary, item_tokens long, sequence_id long, offset long"
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-CONTROL = re.compile("[\x1c-\x1f]|<\\|")
+#: What makes a text go to the library whole: separators that str.split() alone honours, marks of special tokens.
+WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 TAIL = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
 
 
@@ -93,8 +94,8 @@ class WordTokenizer:
         """Ids of each text. Texts with separators that only str.split() honours, or with marks of special
         tokens, go to the library whole."""
         for at in range(0, len(texts), 64):
-            split = [None if CONTROL.search(t) else t.split() for t in texts[at : at + 64]]
-            self.learn({c for words in split if words for c in words})
+            split = [None if any(m in t for m in WHOLE) else t.split() for t in texts[at : at + 64]]
+            self.learn(set().union(*filter(None, split)))
             get = self.known.__getitem__
             for text, words in zip(texts[at : at + 64], split, strict=True):
                 if words is None:
@@ -130,73 +131,103 @@ class Item:
         return part(0, n), part(n, len(self.ids))
 
 
+class Pool:
+    """Waiting items by demand: a row of demands and a count for each kind, and the items behind it."""
+
+    def __init__(self, capacity: np.ndarray):
+        self.capacity, self.at = capacity, {}
+        self.share, self.counts, self.items = np.zeros((256, 3)), np.zeros(256, np.int64), []
+        self.waiting, self.total = 0, np.zeros(3)
+
+    def put(self, item: Item) -> None:
+        d = item.demand()
+        i = self.at.get(d)
+        if i is None:
+            i = self.at[d] = len(self.items)
+            self.items.append([])
+            if i == len(self.counts):
+                self.share, self.counts = np.concatenate([self.share, np.zeros_like(self.share)]), np.concatenate([self.counts, np.zeros_like(self.counts)])
+            self.share[i] = np.array(d) / self.capacity
+        self.items[i].append(item)
+        self.counts[i] += 1
+        self.waiting += 1
+        self.total += self.share[i]
+
+    def take(self, i: int) -> Item:
+        self.counts[i] -= 1
+        self.waiting -= 1
+        self.total -= self.share[i]
+        return self.items[i].pop()
+
+    def tidy(self) -> None:
+        """Forgets kinds that no item has, once they are the most."""
+        n = len(self.items)
+        live = np.flatnonzero(self.counts[:n])
+        if n > 256 and len(live) * 2 < n:
+            old = {i: d for d, i in self.at.items()}
+            self.at = {old[i]: k for k, i in enumerate(live.tolist())}
+            self.items = [self.items[i] for i in live.tolist()]
+            size = max(256, len(live))
+            share, counts = np.zeros((size, 3)), np.zeros(size, np.int64)
+            share[: len(live)], counts[: len(live)] = self.share[live], self.counts[live]
+            self.share, self.counts = share, counts
+
+
 class Packer:
     """Packs items as they come; yields lists of items, one list a sequence."""
 
     def __init__(self, capacity: tuple[int, int, int], cuttable: bool, pool: int):
         self.capacity, self.cuttable, self.limit = np.array(capacity, float), cuttable, pool
-        self.pool: dict[tuple[int, int, int], list[Item]] = {}
-        self.waiting = 0
+        self.pool = Pool(self.capacity)
 
     def add(self, item: Item) -> Iterator[list[Item]]:
-        whole = int(self.capacity[0])
-        while len(item.ids) >= whole and (d := item.demand())[2] <= self.capacity[2] or self._too_large(item):
-            n = whole if item.loss is None else int(max(1, min(whole, np.searchsorted(np.cumsum(item.loss), self.capacity[2], "right"))))
-            if self.capacity[2] < whole and item.loss is None:
-                n = int(self.capacity[2])
+        tokens, loss = int(self.capacity[0]), int(self.capacity[2])
+        while (d := item.demand())[0] >= tokens or d[2] > loss:
+            n = self._most(item, tokens, loss)
             if n >= len(item.ids):
                 yield [item]
                 return
             head, item = item.cut(n)
             yield [head]
         if len(item.ids):
-            self._put(item)
-        if self.waiting >= self.limit:
+            self.pool.put(item)
+        if self.pool.waiting >= self.limit:
             yield from self.drain(self.limit // 2)
 
-    def _too_large(self, item: Item) -> bool:
-        d = item.demand()
-        return d[0] > self.capacity[0] or d[2] > self.capacity[2]
-
-    def _put(self, item: Item) -> None:
-        self.pool.setdefault(item.demand(), []).append(item)
-        self.waiting += 1
+    @staticmethod
+    def _most(item: Item, tokens: int, loss: int) -> int:
+        """How many ids from the start fit: at least one."""
+        if item.loss is None:
+            return max(1, min(tokens, loss, len(item.ids)))
+        return int(max(1, min(tokens, np.searchsorted(np.cumsum(item.loss), loss, "right"))))
 
     def drain(self, down_to: int) -> Iterator[list[Item]]:
         """Fills bins until so many items wait."""
-        while self.waiting > down_to:
-            kinds = np.array(list(self.pool), float)
-            keys, counts = list(self.pool), np.array([len(v) for v in self.pool.values()], float)
-            share = kinds / self.capacity
-            weight = (share * counts[:, None]).sum(axis=0) / counts.sum()
-            room, bin_ = self.capacity.copy(), []
-            while len(kinds):
-                products = (share * weight) @ (room / self.capacity)
-                fits = (kinds <= room).all(axis=1) & (counts > 0)
-                if fits.any():
-                    i = int(np.where(fits, products, -1).argmax())
-                    bin_.append(self.pool[keys[i]].pop())
-                    self.waiting -= 1
-                    counts[i] -= 1
-                    room -= kinds[i]
+        pool = self.pool
+        while pool.waiting > down_to:
+            pool.tidy()
+            weight = pool.total / pool.waiting
+            room, bin_ = np.ones(3), []
+            while pool.waiting:
+                n = len(pool.items)
+                products = np.where(pool.counts[:n] > 0, pool.share[:n] @ (weight * room), -1.0)
+                fits = (pool.share[:n] <= room + 1e-9).all(axis=1)
+                i = int(np.where(fits, products, -1.0).argmax())
+                if fits[i] and pool.counts[i] > 0:
+                    room = room - pool.share[i]
+                    bin_.append(pool.take(i))
+                    if room[0] < 1e-9:
+                        break
                     continue
-                if self.cuttable and (room >= 1).all() and (counts > 0).any():
-                    i = int(np.where(counts > 0, products, -1).argmax())
-                    item = self.pool[keys[i]].pop()
-                    self.waiting -= 1
-                    n = int(min(room[0], len(item.ids) - 1))
-                    if item.loss is not None:
-                        n = int(min(n, np.searchsorted(np.cumsum(item.loss), room[2], "right")))
-                    elif room[2] < n:
-                        n = int(room[2])
-                    if n >= 1:
-                        head, rest = item.cut(n)
+                left = np.rint(room * self.capacity).astype(int)
+                if self.cuttable and left.min() >= 1:
+                    item = pool.take(int(products.argmax()))
+                    k = min(self._most(item, *left[[0, 2]].tolist()), len(item.ids) - 1)
+                    if k >= 1:
+                        head, item = item.cut(k)
                         bin_.append(head)
-                        self._put(rest)
-                    else:
-                        self._put(item)
+                    pool.put(item)
                 break
-            self.pool = {k: v for k, v in self.pool.items() if v}
             yield bin_
 
 
