@@ -73,22 +73,24 @@ class WordTokenizer:
             new = chunks
         if not new:
             return
-        plain, tailed, other = set(), [], []
+        # The tokenizer lowers case, so letters alone are looked up and encoded in lower case.
+        plain, parts, other = set(), [], []
         for c in new:
             if PLAIN.fullmatch(c):
-                plain.add(c)
+                parts.append((c, c.lower(), ""))
             elif m := TAIL.fullmatch(c):
-                tailed.append((c, m[1], m[2]))
-                if m[1] not in self.known:
-                    plain.add(m[1])
+                parts.append((c, m[1].lower(), m[2]))
                 if m[2] not in self.known:
                     other.append(m[2])
             else:
                 other.append(c)
+                continue
+            if parts[-1][1] not in self.known:
+                plain.add(parts[-1][1])
         self._plain(list(plain))
         self._each(list(dict.fromkeys(other)))
-        for c, word, tail in tailed:
-            self.known[c] = self.known[word] + self.known[tail]
+        for c, word, tail in parts:
+            self.known[c] = self.known[word] + self.known[tail] if tail else self.known[word]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text. Texts with separators that only str.split() honours, or with marks of special
