@@ -16,6 +16,7 @@ read whole, in blocks. Other columns pass through untouched.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -212,6 +213,71 @@ def language(text: Column, model: ByteConvNet | None) -> Column:
     return run(text)
 
 
+NO_LETTER = re.compile(r"[\W\d_]+")
+
+
+def trigrams(text: str) -> np.ndarray:
+    """The byte trigrams of a text's words, each word between blanks, as numbers."""
+    b = np.frombuffer(f" {NO_LETTER.sub(' ', text.lower())} ".encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
+    return ((b[:-2] << 16) | (b[1:-1] << 8) | b[2:])[b[1:-1] != 32]
+
+
+@dataclass
+class Familiar:
+    """What tells texts of the learned languages from others, which a softmax can't: it always has a winner.
+
+    known: the trigrams of each language's sample, in order. floor: the least share of a text's trigrams that
+    must be known. So few as `slack` unknown ones decide nothing.
+    """
+
+    known: dict[str, np.ndarray]
+    floor: dict[str, float]
+    slack: int = 3
+    tables: dict = field(default_factory=dict, repr=False)
+
+    def __getstate__(self):
+        return self.__dict__ | {"tables": {}}
+
+    def count(self, keys: np.ndarray, lang: str) -> int:
+        if lang not in self.tables:
+            bits = np.zeros(1 << 24, bool)
+            bits[self.known[lang]] = True
+            self.tables[lang] = np.packbits(bits, bitorder="little")
+        return int((self.tables[lang].take(keys >> 3) >> (keys & 7).astype(np.uint8) & 1).sum())
+
+    def accepts(self, text: str | None, lang: str) -> bool:
+        if not text or lang not in self.known:
+            return False
+        keys = trigrams(text)
+        return self.count(keys, lang) + self.slack >= self.floor[lang] * len(keys)
+
+
+def familiarise(texts: list[str], labels: list[str], tolerance: float = 0.8, quantile: float = 0.01) -> Familiar:
+    """Known trigrams and floors from a labelled sample. A floor is `tolerance` of the share that all but a
+    `quantile` of the language's second half reach if only its first half is known."""
+    out = Familiar({}, {})
+    for lang in sorted(set(labels)):
+        own = [trigrams(t) for t, g in zip(texts, labels, strict=True) if g == lang]
+        first, second = own[: -(-len(own) // 2)], own[-(-len(own) // 2) :]
+        half = Familiar({lang: np.unique(np.concatenate(first))}, {})
+        shares = [half.count(k, lang) / len(k) for k in second if len(k)]
+        out.known[lang] = np.unique(np.concatenate(own))
+        out.floor[lang] = tolerance * float(np.quantile(shares, quantile)) if shares else 0.0
+    return out
+
+
+def judged(text: Column, model: ByteConvNet, familiar: Familiar) -> Column:
+    """struct(lang_pred, score, familiar: whether the whole text looks like that language), in one pass."""
+
+    @F.pandas_udf("lang_pred string, score double, familiar boolean")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            labels, scores = model.predict(iter(texts))
+            yield pd.DataFrame({"lang_pred": labels, "score": scores, "familiar": [familiar.accepts(t, g) for t, g in zip(texts, labels, strict=True)]})
+
+    return run(text)
+
+
 def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(fold(doc_id) == 0, F.lit(False))
 
