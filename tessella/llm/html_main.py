@@ -67,7 +67,7 @@ def word_vectors(texts: list[list[str]]) -> np.ndarray:
 
 def measures(b: Block, words: list[str], at: int, n: int) -> list[float]:
     size = len(b.text)
-    return [np.log1p(size) / 6, np.log1p(len(words)) / 4, min(1.0, b.linked / max(1, size)), float(b.text[-1] in ".!?…"), b.text.count(",") / max(1, len(words)), len(DIGIT.findall(b.text[:200])) / min(200, max(1, size)), at / max(1, n - 1), len(b.path) / 10, 1.0]
+    return [np.log1p(size) / 6, np.log1p(len(words)) / 4, min(1.0, b.linked / max(1, size)), float(b.text[-1] in ".!?…"), b.text.count(",") / max(1, len(words)), len(DIGIT.findall(b.text)) / max(1, size), at / max(1, n - 1), len(b.path) / 10, 1.0]
 
 
 class BlockLabeller:

@@ -79,3 +79,9 @@ def test_gradients_are_those_of_the_loss():
             losses.append(m.step([p for p, _ in pages], [y for _, y in pages])[0])
         m.p[k][i] += 1e-5
         assert (losses[0] - losses[1]) / 2e-5 == pytest.approx(grads[k][i], rel=1e-3, abs=1e-8)
+
+
+def test_digit_share_reads_the_whole_block():
+    text = "word " * 100 + "7 " * 150
+    block = html_blocks.Block((), text.strip(), 0)
+    assert html_main.measures(block, text.split(), 0, 1)[5] == 150 / len(text.strip())
