@@ -102,6 +102,21 @@ class Scanner:
                 self.index[int(h[p])].append((name, p))
         self.hashes = np.array(sorted(self.index), np.uint64)
 
+    def occurrences(self, ids: np.ndarray, t: np.ndarray, hits: list[tuple[int, int]], slack: int) -> Iterator[tuple[int, int, int]]:
+        """(matched words, first, last word) of the best alignment about the hits (place, diagonal), then of those on either side of it."""
+        todo = [(hits, 0, len(ids))]
+        while todo:
+            own, begin, end = todo.pop()
+            low, high = min(d for _, d in own) - slack, max(d for _, d in own) + slack
+            first, stop = max(begin, low), min(end, high + len(t))
+            if stop - first < self.least * len(t):
+                continue
+            matched, a, b = align(ids[first:stop], t, low - first, high - first)
+            if matched >= self.least * len(t):
+                yield matched, first + a, first + b
+                sides = (([h for h in own if h[0] < first + a], begin, first + a), ([h for h in own if h[0] > first + b], first + b + 1, end))
+                todo += [x for x in sides if x[0]]
+
     def scan(self, text: str) -> list[tuple[str, float, int, int, int]]:
         """(template, coverage, matched words, first, end) of each match; places are characters of text."""
         get = self.words.get
@@ -125,7 +140,7 @@ class Scanner:
         found = []
         for name, own in hits.items():
             t = self.templates[name]
-            slack = 4 + len(t) // 5
+            slack = min(4 + len(t) // 5, len(t) - 1)
             groups: list[list[tuple[int, int]]] = []
             for p, d in sorted(own, key=lambda x: (x[1], x[0])):
                 if groups and d - groups[-1][-1][1] <= slack:
@@ -133,11 +148,7 @@ class Scanner:
                 else:
                     groups.append([(p, d)])
             for g in groups:
-                low, high = g[0][1] - slack, g[-1][1] + slack
-                first = max(0, low)
-                matched, a, b = align(ids[first : min(len(ids), high + len(t))], t, low - first, high - first)
-                if matched >= self.least * len(t):
-                    found.append((name, matched / len(t), matched, first + a, first + b))
+                found += [(name, matched / len(t), matched, a, b) for matched, a, b in self.occurrences(ids, t, g, slack)]
         found.sort(key=lambda m: (-m[2], m[3], m[0]))
         kept: list = []
         for m in found:

@@ -67,3 +67,12 @@ def test_odd_texts(docs_of, odd_texts, spark):
     assert license_scan.scan(docs_of([])).count() == 0
     clash = spark.createDataFrame([(None, line, "q")], "doc_id long, text string, license string")
     assert [(r["doc_id"], r["license"]) for r in license_scan.scan(clash).collect()] == [(None, "MIT-line")]
+
+
+def test_every_template_repeated_back_to_back():
+    scanner = license_scan.Scanner(TEMPLATES, 3, 3, 0.8)
+    for name, text in TEMPLATES.items():
+        for n in (2, 3):
+            hits = scanner.scan(" ".join([text] * n))
+            assert [m[0] for m in hits] == [name] * n
+            assert all(m[1] == 1.0 for m in hits) and len({m[3] for m in hits}) == n
