@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.store import fresh, materialise
+from tessella.llm.store import discard, fresh, materialise, without
 
 BLOCK = 1 << 18
 
@@ -185,7 +185,9 @@ def near_links(fps: DataFrame, threshold: int = 3, cell_limit: int = 100_000) ->
     """Links (a, b) between distinct fingerprints of the column fp that span every near group."""
     if threshold != 3:
         raise ValueError("the code covers a threshold of three bits")
-    return _cells(fps, cell_limit).mapInArrow(_links(threshold), "a long, b long").distinct()
+    # Fingerprints are few bytes but are replicated thirty-four times: more tasks than the stored files have.
+    spread = fps.repartition(max(1, fps.count() // 16_384), "fp")
+    return _cells(spread, cell_limit).mapInArrow(_links(threshold), "a long, b long").distinct()
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -202,10 +204,11 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = materialise(small, "edges")
+        done, edges = edges, materialise(small, "edges")
+        discard(done)
         after = state(edges)
         if after == before:
-            return edges.select(F.col("u").alias("v"), F.col("v").alias("label"))
+            break
         before = after
     else:
         raise RuntimeError("components didn't settle")
@@ -214,18 +217,21 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, threshold: int = 3, cell_limit: int = 100_000) -> DataFrame:
     """One row a document: id_col, fingerprint (16 hex digits), component_id."""
-    docs = materialise(df.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), shingle, seed).alias("fp")), "fingerprints")
+    docs = df.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), shingle, seed).alias("fp"), F.spark_partition_id().alias("run"))
+    docs = materialise(docs, "fingerprints")
     reps = materialise(docs.groupBy("fp").agg(F.min("id").alias("rep")), "representatives")
     found = components(near_links(reps.select("fp"), threshold, cell_limit))
     labelled = reps.join(found.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
     by_fp = labelled.join(smallest, "label").select("fp", "component_id")
-    return docs.join(by_fp, "fp").select(F.col("id").alias(id_col), hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+    # A frequent fingerprint is looked up once a run, and its rows stay spread over their runs.
+    looked_up = docs.select("run", "fp").distinct().join(by_fp, "fp")
+    return docs.join(looked_up, ["run", "fp"]).select(F.col("id").alias(id_col), hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """df with one document of each near group: the one whose id is the component's. Rows without id stay."""
     (gone,) = fresh(df, "gone")
     groups = near_components(df.where(F.col(id_col).isNotNull()), id_col, text_col, **options)
-    left = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone)).distinct()
-    return df.join(left, df[id_col] == left[gone], "left_anti")
+    left = materialise(groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone)).distinct(), "gone")
+    return without(df, left, [(id_col, gone)])

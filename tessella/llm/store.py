@@ -1,44 +1,17 @@
-"""Scratch tables in the folder that driver and executors share.
-
-Intermediate results are cut off from their lineage by writing them as Parquet below
-``spark.checkpoint.dir`` (read from the session). Only where that setting is absent, as in
-unit tests, a folder of our own is chosen.
-"""
+"""Helpers that the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for this application's intermediate tables."""
-    app = spark.sparkContext.applicationId
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _own.setdefault(app, tempfile.mkdtemp(prefix="tessella-"))
-    return f"{base.rstrip('/')}/tessella-{app}"
+from tessella.scratch import discard, materialise, release, scratch_root
 
+__all__ = ["discard", "fresh", "materialise", "release", "scratch_root", "text_or_empty", "within", "without"]
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes df once and returns the stored table, so that an executor's loss costs no recomputation
-    and non-deterministic columns (row numbers, partition numbers) are fixed."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Deletes this application's intermediate tables; call when their results have been written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+#: Bits of a bitmap that is broadcast: eight megabytes at most.
+MOST_BITS = 1 << 26
+PAGE_BITS = 8 * 4096
 
 
 def text_or_empty(name: str):
@@ -55,3 +28,45 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name)
         out.append(name)
     return out
+
+
+def _suspects(df: DataFrame, listed: DataFrame, on: list[tuple[str, str]]) -> tuple[DataFrame, str]:
+    """df with a column that is false only where a row's key surely isn't listed, and that column's name.
+
+    The listed keys' hashes are bits of a bitmap, sixteen for a key as long as it is within its bound; it is
+    broadcast in pages of 4096 bytes.
+    """
+    page, bits, suspect, place = fresh(df, "page", "bits", "suspect", "place")
+    size = min(MOST_BITS, max(PAGE_BITS, 1 << (16 * max(1, listed.count()) - 1).bit_length()))
+    at = lambda names: F.pmod(F.xxhash64(*names), F.lit(size))
+    keys = listed.select((at([b for _, b in on]) + 1).alias(place))
+    pages = keys.groupBy(F.bitmap_bucket_number(place).alias(page)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias(bits))
+    placed = df.withColumn(place, at([a for a, _ in on]))
+    met = placed.join(F.broadcast(pages), F.expr(f"`{place}` div {PAGE_BITS} + 1") == F.col(page), "left")
+    byte = F.conv(F.hex(F.expr(f"substring(`{bits}`, cast(`{place}` % {PAGE_BITS} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.expr(f"cast(`{place}` % 8 as int)")
+    return met.withColumn(suspect, F.coalesce(F.call_function("shiftright", byte, hit).bitwiseAND(F.lit(1)) == 1, F.lit(False))).drop(place, page, bits), suspect
+
+
+def _exactly(df: DataFrame, listed: DataFrame, on: list[tuple[str, str]], how: str) -> DataFrame:
+    same = F.lit(True)
+    for a, b in on:
+        same = same & df[a].eqNullSafe(listed[b])
+    return df.join(listed, same, how)
+
+
+def without(df: DataFrame, listed: DataFrame, on: list[tuple[str, str]]) -> DataFrame:
+    """The rows of df whose key isn't among those of a stored list; on: pairs of column names, df's and the list's.
+
+    Rows that a bitmap rules out stay where they are; only the others, mostly those that go, are shuffled to an
+    exact anti-join. With a list far beyond the bitmap's bound all are, and the result is the same.
+    """
+    marked, suspect = _suspects(df, listed, on)
+    sure = marked.where(~F.col(suspect)).drop(suspect)
+    return sure.unionByName(_exactly(marked.where(F.col(suspect)).drop(suspect), listed, on, "left_anti"))
+
+
+def within(df: DataFrame, listed: DataFrame, on: list[tuple[str, str]]) -> DataFrame:
+    """The rows of df whose key is among those of a stored list; rows that a bitmap rules out aren't shuffled."""
+    marked, suspect = _suspects(df, listed, on)
+    return _exactly(marked.where(F.col(suspect)).drop(suspect), listed, on, "left_semi")
