@@ -3,19 +3,32 @@
 Templates are word sequences. The hashes of their k-grams of words are winnowed (of each window of w
 neighbouring hashes the least, the rightmost of equal ones) into an inverted index. Documents are
 winnowed in the same way over their whole length; a stretch of w + k - 1 words that a template has too
-always shares a hash. Hits whose diagonals (place in the document less place in the template) lie
-close form a candidate, which is aligned with the template within a band about those diagonals:
-matches gain two, substitutions and gaps cost one. What the best local alignment matches of the
-template's words is its coverage; its first and last match give the span in the text.
-
-A match that lies within another one with more matched words is left out.
+always shares a hash. A hit is a place in the document and one in the template; its diagonal is their
+difference.
+
+Where a hit's diagonal shows the whole template word for word, that is an occurrence, and its words are
+taken. The other hits are gathered, from the lowest diagonal on, into bands of at most ``slack``
+diagonals. A band is aligned within ``slack`` diagonals on either side of it, over the stretch of the document
+that those diagonals can reach; so both the band and the stretch are bounded by the template's length,
+however long the text and however often a phrase recurs in it. A band whose stretch doesn't have enough
+of the template's words, in whatever order, isn't aligned. Matches gain two, substitutions and gaps cost
+one; of equal scores the one with more matches counts. Of all bands the alignment with the most matched
+words is taken, its words leave the others' stretches, and so on until none reaches the least coverage.
+Coverage is the share of the template's words that are matched; first and last match give the span.
+
+A match that lies within another one with more matched words (of equally many, the one that begins
+earlier, then that whose name sorts first) is left out.
 
 Cases: null and empty texts give no rows. Equal texts and repeated rows give their rows each. A null
-key is carried along. Several occurrences of a template are several rows. Other columns aren't read.
+key is carried along. Several occurrences of a template are several rows, also where they follow each
+other directly. Other columns aren't read.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -57,65 +70,127 @@ def winnow(hashes: np.ndarray, w: int) -> np.ndarray:
     return at[hashes[at] != NONE]
 
 
+#: A cell's value is its score times this, plus its matches: a higher score wins, then more matches.
+UNIT = 1 << 20
+
+
 def align(doc: np.ndarray, template: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
-    """(matched words, first, last word of doc) of the best local alignment whose diagonals lie in low..high."""
-    width = high - low + 1
-    score, start, hits, last = (np.zeros(width + 2, np.int64) for _ in range(4))
-    best = (0, 0, 0, 0)
-    for j in range(len(template)):
-        new, nstart, nhits, nlast = (np.zeros(width + 2, np.int64) for _ in range(4))
-        left = (0, 0, 0, 0)
-        for c in range(1, width + 1):
-            i = j + low + c - 1
-            if not 0 <= i < len(doc):
-                left = (0, 0, 0, 0)
-                continue
-            same = doc[i] == template[j]
-            s, a, h, e = score[c], start[c], hits[c], last[c]
-            here = (s + 2, a if s else i, h + 1, i) if same else (s - 1, a, h, e)
-            up = (score[c + 1] - 1, start[c + 1], hits[c + 1], last[c + 1])
-            side = (left[0] - 1, *left[1:])
-            cell = max(here, up, side, key=lambda x: x[0])
-            if cell[0] <= 0:
-                cell = (0, 0, 0, 0)
-            new[c], nstart[c], nhits[c], nlast[c] = cell
-            left = cell
-            if cell[0] > best[0]:
-                best = tuple(map(int, cell))
-        score, start, hits, last = new, nstart, nhits, nlast
-    return best[2], best[1], best[3]
+    """(matched words, first, last word of doc) of the best local alignment whose diagonals lie in low..high.
+
+    A row of cells is a word of the template, a cell a diagonal; gaps along the row come from a running
+    maximum. A cell remembers where its alignment's first and last match are.
+    """
+    width, n = high - low + 1, len(doc)
+    at = np.arange(width)
+    slope = at * UNIT
+    padded = np.full(width + 1 + len(template), -1, np.int64)
+    begin, end = max(0, low), min(n, high + len(template))
+    padded[begin - low : end - low] = doc[begin:end]
+    inside = np.zeros(len(padded), bool)
+    inside[begin - low : end - low] = True
+    value, first, last = np.zeros(width + 1, np.int64), np.zeros(width + 1, np.int64), np.zeros(width + 1, np.int64)
+    best = (0, 0, 0)
+    for j, word in enumerate(template.tolist()):
+        here = low + j + at
+        same = padded[j : j + width] == word
+        diagonal = value[:width] + np.where(same, 2 * UNIT + 1, -UNIT)
+        begins = np.where(same & (value[:width] == 0), here, first[:width])
+        ends = np.where(same, here, last[:width])
+        up = value[1:] - UNIT  # the template's word is left out; past the band there is nothing to come from
+        better = up > diagonal
+        base = np.where(better, up, diagonal)
+        begins, ends = np.where(better, first[1:], begins), np.where(better, last[1:], ends)
+        base = np.where(inside[j : j + width], np.maximum(base, 0), 0)
+        # A gap in the template: the best of the cells before, less one a step.
+        run = np.maximum.accumulate(base + slope)
+        source = np.maximum.accumulate(np.where(base + slope == run, at, 0))
+        row = np.where(inside[j : j + width], np.maximum(run - slope, 0), 0)
+        value, first, last = np.append(row, 0), np.append(begins[source], 0), np.append(ends[source], 0)
+        top = int(row.argmax())
+        if row[top] > best[0]:
+            best = int(row[top]), int(first[top]), int(last[top])
+    return best[0] % UNIT, best[1], best[2]
 
 
 class Scanner:
     def __init__(self, templates: dict[str, str], k: int, w: int, least: float):
         self.k, self.w, self.least = k, w, least
         self.words: dict[str, int] = {}
-        self.templates = {}
+        self.templates, self.bags = {}, {}
         self.index: dict[int, list[tuple[str, int]]] = defaultdict(list)
         for name, text in templates.items():
             ids = np.array([self.words.setdefault(x, len(self.words) + 1) for x in WORD.findall(text.lower())], np.int64)
             if len(ids) < k:
                 raise ValueError(f"template {name} has less than {k} words")
             self.templates[name] = ids
+            self.bags[name] = np.unique(ids, return_counts=True)
             h = grams(ids, k)
             for p in winnow(h, w).tolist():
                 self.index[int(h[p])].append((name, p))
         self.hashes = np.array(sorted(self.index), np.uint64)
 
-    def occurrences(self, ids: np.ndarray, t: np.ndarray, hits: list[tuple[int, int]], slack: int) -> Iterator[tuple[int, int, int]]:
-        """(matched words, first, last word) of the best alignment about the hits (place, diagonal), then of those on either side of it."""
-        todo = [(hits, 0, len(ids))]
-        while todo:
-            own, begin, end = todo.pop()
-            low, high = min(d for _, d in own) - slack, max(d for _, d in own) + slack
-            first, stop = max(begin, low), min(end, high + len(t))
-            if stop - first < self.least * len(t):
-                continue
-            matched, a, b = align(ids[first:stop], t, low - first, high - first)
-            if matched >= self.least * len(t):
-                yield matched, first + a, first + b
-                sides = (([h for h in own if h[0] < first + a], begin, first + a), ([h for h in own if h[0] > first + b], first + b + 1, end))
-                todo += [x for x in sides if x[0]]
+    def exact(self, ids: np.ndarray, t: np.ndarray, hits: np.ndarray) -> list[tuple[int, int, int]]:
+        """The places where the whole template stands, from left to right without overlaps."""
+        out, free = [], 0
+        for d in np.unique(hits[:, 0] - hits[:, 1]).tolist():
+            if d >= free and d + len(t) <= len(ids) and ids[d] == t[0] and np.array_equal(ids[d : d + len(t)], t):
+                free = d + len(t)
+                out.append((len(t), d, free - 1))
+        return out
+
+    def occurrences(self, ids: np.ndarray, name: str, hits: np.ndarray) -> list[tuple[int, int, int]]:
+        """(matched words, first, last word) of a template's occurrences, from its hits (place, place in the template)."""
+        t = self.templates[name]
+        out = self.exact(ids, t, hits)
+        if out:
+            begin, end = np.array([m[1] for m in out]), np.array([m[2] for m in out])
+            before = np.searchsorted(begin, hits[:, 0], "right") - 1
+            hits = hits[(before < 0) | (hits[:, 0] > end[before])]
+        if not len(hits):
+            return out
+        taken = sorted((a, b) for _, a, b in out)
+        slack, need = min(4 + len(t) // 5, len(t) - 1), math.ceil(self.least * len(t) - 1e-9)
+        diagonals = np.unique(hits[:, 0] - hits[:, 1])
+        waiting: list[tuple[int, int, int, int, int]] = []  # (-matched, first, last, low, high)
+
+        def measure(low: int, high: int) -> None:
+            """The best alignment of a band in each stretch that nobody has taken."""
+            reach, stop = max(0, low), min(len(ids), high + len(t))
+            i = bisect.bisect_left(taken, (reach, -1))
+            if i and taken[i - 1][1] >= reach:
+                reach = taken[i - 1][1] + 1
+            while reach < stop:
+                end = min(stop, taken[i][0]) if i < len(taken) else stop
+                if end - reach >= need and self.enough(ids[reach:end], name, need):
+                    matched, a, b = align(ids[reach:end], t, low - reach, high - reach)
+                    if matched >= need:
+                        heapq.heappush(waiting, (-matched, reach + a, reach + b, low, high))
+                reach = taken[i][1] + 1 if i < len(taken) else stop
+                i += 1
+
+        at = 0
+        while at < len(diagonals):
+            to = int(np.searchsorted(diagonals, diagonals[at] + slack, "right"))
+            measure(int(diagonals[at]) - slack, int(diagonals[to - 1]) + slack)
+            at = to
+        while waiting:
+            matched, a, b, low, high = heapq.heappop(waiting)
+            i = bisect.bisect_left(taken, (a, -1))
+            if (i < len(taken) and taken[i][0] <= b) or (i and taken[i - 1][1] >= a):
+                continue  # someone took some of its words since; what is left was measured then
+            out.append((-matched, a, b))
+            taken.insert(i, (a, b))
+            crossed = {(low, high)} | {w[3:] for w in waiting if w[1] <= b and w[2] >= a}
+            for band in crossed:
+                measure(*band)
+        return list(dict.fromkeys(out))
+
+    def enough(self, words: np.ndarray, name: str, need: int) -> bool:
+        """Whether a stretch has so many of the template's words, whatever their order."""
+        own, counts = self.bags[name]
+        at = np.minimum(np.searchsorted(own, words), len(own) - 1)
+        have = np.bincount(at[own[at] == words], minlength=len(own))
+        return np.minimum(have, counts).sum() >= need
 
     def scan(self, text: str) -> list[tuple[str, float, int, int, int]]:
         """(template, coverage, matched words, first, end) of each match; places are characters of text."""
@@ -136,25 +211,24 @@ class Scanner:
         hits = defaultdict(list)
         for p in at.tolist():
             for name, q in self.index[int(h[p])]:
-                hits[name].append((p, p - q))
+                hits[name].append((p, q))
         found = []
         for name, own in hits.items():
-            t = self.templates[name]
-            slack = min(4 + len(t) // 5, len(t) - 1)
-            groups: list[list[tuple[int, int]]] = []
-            for p, d in sorted(own, key=lambda x: (x[1], x[0])):
-                if groups and d - groups[-1][-1][1] <= slack:
-                    groups[-1].append((p, d))
-                else:
-                    groups.append([(p, d)])
-            for g in groups:
-                found += [(name, matched / len(t), matched, a, b) for matched, a, b in self.occurrences(ids, t, g, slack)]
-        found.sort(key=lambda m: (-m[2], m[3], m[0]))
-        kept: list = []
-        for m in found:
-            if not any(x[3] <= m[3] and m[4] <= x[4] for x in kept):
-                kept.append(m)
-        return [(n, c, k, spots[a].start(), spots[b].end()) for n, c, k, a, b in sorted(kept, key=lambda m: (m[3], m[0]))]
+            size = len(self.templates[name])
+            found += [(name, matched / size, matched, a, b) for matched, a, b in self.occurrences(ids, name, np.array(own, np.int64))]
+        return [(n, c, k, spots[a].start(), spots[b].end()) for n, c, k, a, b in outermost(found)]
+
+
+def outermost(found: list[tuple]) -> list[tuple]:
+    """Matches (name, coverage, matched, first, last) without those within one that ranks before, in order of place."""
+    found.sort(key=lambda m: (-m[2], m[3], m[0]))
+    firsts, lasts, kept = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64), []
+    for m in found:
+        n = len(kept)
+        if not ((firsts[:n] <= m[3]) & (lasts[:n] >= m[4])).any():
+            firsts[n], lasts[n] = m[3], m[4]
+            kept.append(m)
+    return sorted(kept, key=lambda m: (m[3], m[0]))
 
 
 @lru_cache(maxsize=4)
