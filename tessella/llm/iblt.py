@@ -1,21 +1,27 @@
 """Document fingerprints as invertible Bloom lookup sketches, in DataFrame expressions only.
 
-A document's paragraphs (its lines that aren't empty, each once) are hashed to 64-bit digests. A
-sketch has cells of (count, key, check): every digest is added to one cell of each of three
-sub-tables, keys and checks by exclusive or. Two sketches subtract cell by cell; paragraphs that both
-have cancel. Peeling then looks for cells that hold a single digest (a count of one and a check
-that fits), takes those digests out of their other cells, and goes on until nothing is left: what was
-taken out are exactly the differing paragraphs.
+A document's paragraphs (lines) are cut into pieces: of eight words, then up to the end of a sentence, of
+24 words at most; the text's first word is a piece of its own, and a word counts as several if it has
+over 64 characters. So pieces are bounded, where they end depends on the text before them within a line
+alone, and texts that share a beginning, a line or a long passage share pieces. The distinct pieces are
+hashed to 64-bit digests. A sketch has cells of (count, key, check): every digest is added to one cell
+of each of three sub-tables, keys and checks by exclusive or. Two sketches subtract cell by cell; pieces
+that both have cancel. Peeling then looks for cells that hold a single digest (a count of one and a
+check that fits), takes those digests out of their other cells, and goes on until nothing is left: what
+was taken out are exactly the differing pieces.
 
 The fingerprint is a sketch of 24 cells. If peeling the difference of two fingerprints fails, larger
-sketches are tried: digests are dealt by their leading bits to as many small sketches as the
-paragraphs need, each retried with more cells and other bits as long as it fails. All of it is one
-projection: no shuffle, no groups, nothing on the driver.
+sketches are tried, which are made from the two texts' digests (the fingerprints alone don't suffice
+then): digests are dealt by their leading bits to as many small sketches as the pieces need, each
+retried with more cells and other bits as long as it fails. All of it is one projection: no shuffle, no
+groups, nothing on the driver.
 
-likeness = shared / all distinct paragraphs (1 for two documents without any).
+likeness = shared / all distinct pieces (1 for two texts without any).
 
 Cases: null counts as empty text, whose sketch is all zero. Equal texts have equal fingerprints.
-Repeated paragraphs count once. Very long texts cost time in proportion to n ** 1.5 paragraphs at most.
+Repeated pieces count once. Very long texts cost time in proportion to n ** 1.5 pieces at most. Ids are
+integers (others are an error); rows that repeat an id, or have none, follow each other by their texts'
+hashes and lie in one range.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.llm.store import text_or_empty
 
@@ -39,9 +46,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+_SPACE = " \t\n\x0b\f\r"
+_WORD = r"\S{1,64}+"
+_GAP = r"[^\S\n]{0,64}+(?!\n)"
+#: White space, or a piece: the first word; or seven words, then such as end no sentence, then one.
+PIECE = rf"\s{{1,64}}+|(\A{_WORD}\s{{0,64}}+|(?:{_WORD}{_GAP}){{0,7}}+(?:{_WORD}(?<![.!?…。！？]){_GAP}){{0,16}}+(?:{_WORD}\s{{0,64}}+)?+)"
+
+
 def digests(text: Column) -> Column:
-    """The distinct paragraphs' digests."""
-    return F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda p: p != ""), lambda p: F.xxhash64(p)))
+    """The distinct pieces' digests; white space behind a piece doesn't count."""
+    pieces = F.regexp_extract_all(text, F.lit(PIECE), F.lit(1))
+    return F.array_distinct(F.transform(F.filter(pieces, lambda p: p != ""), lambda p: F.xxhash64(F.rtrim(p, F.lit(_SPACE)))))
 
 
 def _check(key: Column) -> Column:
@@ -64,15 +79,10 @@ def sketch(keys: Column, shape: tuple[int, int] = BASE) -> Column:
     """The cells of an array of distinct digests."""
     zero = F.lit(0).cast("bigint")
     start = F.struct(F.lit(0).alias("n"), zero.alias("key"), zero.alias("chk"))
-
-    def cell(i: Column) -> Column:
-        return F.aggregate(
-            keys,
-            start,
-            lambda c, k: F.when(_hits(k, i, shape), F.struct((c["n"] + 1).alias("n"), c["key"].bitwiseXOR(k).alias("key"), c["chk"].bitwiseXOR(_check(k)).alias("chk"))).otherwise(c),
-        )
-
-    return F.transform(F.sequence(F.lit(0), F.lit((3 << shape[0]) - 1)), cell)
+    add = lambda c, x: F.struct((c["n"] + 1).alias("n"), c["key"].bitwiseXOR(x["key"]).alias("key"), c["chk"].bitwiseXOR(x["chk"]).alias("chk"))
+    slotted = F.transform(keys, lambda k: F.struct(k.alias("key"), _check(k).alias("chk"), *[_slot(k, F.lit(t), shape).alias(f"s{t}") for t in range(3)]))
+    table = lambda xs, t: F.transform(F.sequence(F.lit(0), F.lit((1 << shape[0]) - 1)), lambda i: F.aggregate(F.filter(xs, lambda x: x[f"s{t}"] == i), start, add))
+    return let(slotted, lambda xs: F.concat(*[table(xs, t) for t in range(3)]))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -110,7 +120,7 @@ def _small(a: Column, b: Column) -> Column:
 
 
 def difference(a: Column, b: Column, of_a: Column, of_b: Column) -> Column:
-    """How many paragraphs differ. a, b: all digests of each; of_a, of_b: their fingerprints' cells."""
+    """How many pieces differ. a, b: all digests of each; of_a, of_b: their fingerprints' cells."""
     count = F.size(a) + F.size(b)
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(count, F.lit(1)) / F.lit(float(LOAD)))).cast("int"))
 
@@ -153,26 +163,29 @@ def _range_of(value: Column, splitters: list[int]) -> Column:
         return F.lit(0)
     width = max(1, int(len(splitters) ** 0.5))
     chunks = [splitters[i : i + width] for i in range(0, len(splitters), width)]
-    array = lambda xs: F.array(*[F.lit(x).cast("bigint") for x in xs])
+    array = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")  # noqa: E731 (folded to one constant)
     below = lambda xs: F.size(F.filter(xs, lambda s: s <= value))
     heads = below(array([c[0] for c in chunks]))
     inside = let(heads, lambda h: F.when(h == 0, F.lit(0)).otherwise((h - 1) * width + below(F.element_at(F.array(*map(array, chunks)), h))))
     return F.coalesce(inside, F.lit(0))
 
 
-def with_next(df: DataFrame, id_col: str, text_col: str, rows_a_range: int = 1000, max_ranges: int = 4096) -> DataFrame:
+def with_next(df: DataFrame, id_col: str, text_col: str, rows_a_range: int = 1000, many_rows: int = 50_000, max_ranges: int = 1 << 16) -> DataFrame:
     """(id, text, next_text): each row with the text that follows in descending order of id, after the
     last the first; rows of equal id by descending hash of their texts, null ids last.
 
-    Ids are cut into ranges at quantiles. Texts are shuffled once, by range; the row that follows a
-    range's last is sent along with it.
+    Ids are cut into ranges at quantiles: of rows_a_range rows up to 1024 ranges, beyond that of many_rows, and
+    of more than that only where it would take over max_ranges. Texts are shuffled once, by range; the row
+    that follows a range's last is sent along with it.
     """
+    if not isinstance(df.schema[id_col].dataType, T.IntegralType):
+        raise ValueError(f"{id_col} must be of an integer type")
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).alias("text"))
     n = docs.select("id").count()
-    ranges = max(1, min(max_ranges, n // rows_a_range))
+    ranges = max(1, min(1024, n // rows_a_range), min(max_ranges, n // many_rows))
     splitters: list[int] = []
     if ranges > 1:
-        at = docs.agg(F.percentile_approx("id", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 10 * ranges)).first()[0] or []
+        at = docs.agg(F.percentile_approx("id", F.split(F.lit(",".join(str(i / ranges) for i in range(1, ranges))), ",").cast("array<double>"), 10 * ranges)).first()[0] or []
         splitters = sorted(set(at))
     ranged = docs.withColumn("range", _range_of(F.col("id"), splitters))
     tops = sorted((r["range"], r["top"]) for r in ranged.groupBy("range").agg(F.max("id").alias("top")).collect())
