@@ -89,10 +89,12 @@ def write_archives(df: DataFrame, target: str, id_col: str = "page_id", uri_col:
     Payloads of at least least_bytes are written once: which is decided on digests alone.
     """
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(id_col).alias("rank"), F.col(uri_col).cast("string").alias("uri"), text_or_empty(payload_col).alias("payload"))
-    keyed = rows.select("rank", F.sha1(F.col("payload").cast("binary")).alias("sha"), F.octet_length("payload").alias("size"))
+    keyed = rows.select("rank", F.sha1(F.col("payload").cast("binary")).alias("sha"), F.octet_length("payload").alias("size"), F.spark_partition_id().alias("run"))
     small = materialise(keyed.where(F.col("rank").isNotNull() & (F.col("size") >= least_bytes)), "payloads")
     kept = small.groupBy("sha").agg(F.max("rank").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    refers = small.join(kept, "sha").where("rank <> keeper").select(F.col("rank").alias("r"), F.col("sha").alias("s"), F.col("keeper").cast("string").alias("keeper")).distinct()
+    # A frequent payload is looked up once a run, and its rows stay spread over their runs.
+    looked_up = small.select("run", "sha").distinct().join(kept, "sha")
+    refers = small.join(looked_up, ["run", "sha"]).where("rank <> keeper").select(F.col("rank").alias("r"), F.col("sha").alias("s"), F.col("keeper").cast("string").alias("keeper")).distinct()
     refers = materialise(refers, "revisits")
     marked = rows.withColumn("sha", F.sha1(F.col("payload").cast("binary"))).join(refers, (F.col("rank") == F.col("r")) & (F.col("sha") == F.col("s")), "left")
 
@@ -119,23 +121,25 @@ def write_archives(df: DataFrame, target: str, id_col: str = "page_id", uri_col:
 
 
 class _File:
-    """Bytes ahead of a reading position."""
+    """Bytes ahead of a reading position. What has been read lies in one buffer, of which a prefix is used up."""
+
+    CHUNK = 1 << 20
 
     def __init__(self, stream):
-        self.stream, self.held = stream, b""
+        self.stream, self.held, self.at = stream, b"", 0
 
     def peek(self, n: int) -> bytes:
-        while len(self.held) < n and (more := self.stream.read(max(n - len(self.held), 1 << 20))):
-            self.held += more
-        return self.held[:n]
+        while len(self.held) - self.at < n and (more := self.stream.read(max(n - len(self.held) + self.at, self.CHUNK))):
+            self.held, self.at = self.held[self.at :] + more, 0
+        return self.held[self.at : self.at + n]
 
     def skip(self, n: int) -> None:
-        if n <= len(self.held):
-            self.held = self.held[n:]
+        ahead = len(self.held) - self.at
+        if n <= ahead:
+            self.at += n
         else:
-            n -= len(self.held)
-            self.held = b""
-            self.stream.seek(self.stream.tell() + n)
+            self.held, self.at = b"", 0
+            self.stream.seek(self.stream.tell() + n - ahead)
 
     def take(self, n: int) -> bytes:
         out = self.peek(n)
@@ -168,13 +172,15 @@ def read_records(file: _File, wanted, payloads: bool) -> Iterator[tuple[dict[str
     """(headers, block) of the records that wanted(headers) accepts; block None if it wasn't asked for."""
     while start := file.peek(2):
         if start == b"\x1f\x8b":
-            size, inflate, head = _member_size(file), zlib.decompressobj(31), b""
-            source = file.peek(size) if size else file.peek(1 << 16)
-            while b"\r\n\r\n" not in head:
-                part = inflate.decompress(inflate.unconsumed_tail or (source if not head else b""), HEAD)
-                if not part:
+            size, inflate, head, given = _member_size(file), zlib.decompressobj(31), b"", 0
+            while b"\r\n\r\n" not in head:  # no more is read and inflated than the headers need
+                ahead = inflate.unconsumed_tail
+                if not ahead:
+                    ahead = file.peek(min(size or 1 << 62, given + HEAD))[given:]
+                    given += len(ahead)
+                if not ahead or inflate.eof:
                     raise ValueError("a record's headers don't end")
-                head += part
+                head += inflate.decompress(ahead, HEAD)
             raw, _, rest = head.partition(b"\r\n\r\n")
             headers = parse_headers(raw)
             take = wanted(headers)
@@ -183,7 +189,7 @@ def read_records(file: _File, wanted, payloads: bool) -> Iterator[tuple[dict[str
                 if take:
                     yield headers, None
                 continue
-            body, used = [rest], len(source)
+            body, used = [rest], given
             body.append(inflate.decompress(inflate.unconsumed_tail))
             while not inflate.eof:
                 file.skip(used)
@@ -222,7 +228,7 @@ class WarcReader(DataSourceReader):
         self.target = options["path"]
         self.payloads = options.get("payload", "true").lower() == "true"
         self.verify = options.get("verify", "false").lower() == "true"
-        self.bytes = int(options.get("partitionbytes", options.get("partitionBytes", 64 << 20)))
+        self.bytes = int(options.get("partitionbytes", options.get("partitionBytes", 8 << 20)))
         self.filters: list[tuple[str, frozenset]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
