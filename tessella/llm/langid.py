@@ -5,8 +5,8 @@ length, and a softmax layer reads the pooled values. A whole text is cut into wi
 ``window`` positions (a window also sees the next three bytes, so that no n-gram is lost); all
 windows are classified, in batches, and their probabilities averaged by the bytes they cover.
 
-Training takes a bounded sample: of the labelled rows that the caller allows, at most
-``per_language`` (one for each language and hash bucket, the one with the least hash of its id),
+Training takes a bounded sample: of the labelled rows that the caller allows, in the 256 most frequent
+languages, at most ``per_language`` (one for each language and hash bucket, the one with the least hash of its id),
 and of each a few windows from places all over the text. Labels serve training alone.
 
 Cases: a null text, an empty one and one without any letter is ``und`` with score 0. Without
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 WIDTHS = (2, 3, 4)
 BATCH = 512
+#: Languages that are learnt at most: the most frequent labels, so that dirty ones can't fill the driver.
+MOST_LANGUAGES = 256
 #: Characters of a slice that training takes a window from.
 SLICE = 512
 
@@ -116,6 +118,40 @@ def windows(text: str, window: int) -> Iterator[tuple[np.ndarray, int]]:
         yield full[k * window : (k + 1) * window + 3], min(window, len(raw) - k * window)
 
 
+def tap_numbers() -> dict[int, list[int]]:
+    """Which of the parameters are the taps of each width."""
+    out, at = {}, 0
+    for w in WIDTHS:
+        out[w], at = list(range(at, at + w)), at + w
+    return out
+
+
+def gradients(params: list[np.ndarray], x: np.ndarray, y: np.ndarray, share: np.ndarray, window: int, filters: int) -> tuple[float, list[np.ndarray]]:
+    """Loss (each language weighted by its share) and gradients of a batch of windows."""
+    taps_of, n = tap_numbers(), len(y)
+    pooled, where = [], {}
+    for w in WIDTHS:
+        act = sum(params[t][x[:, k : window + k]] for k, t in enumerate(taps_of[w]))
+        where[w] = act.argmax(axis=1)
+        pooled.append(np.take_along_axis(act, where[w][:, None, :], axis=1)[:, 0])
+    h = np.maximum(pre := np.concatenate(pooled, axis=1) + params[-3], 0)
+    z = h @ params[-2] + params[-1]
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    d = z / z.sum(axis=1, keepdims=True)
+    loss = float(-(share[y] * np.log(d[np.arange(n), y] + 1e-300)).mean())
+    d[np.arange(n), y] -= 1
+    d *= share[y][:, None] / n
+    grads = [np.zeros_like(p) for p in params]
+    grads[-2], grads[-1] = h.T @ d, d.sum(axis=0)
+    back = (d @ params[-2].T) * (pre > 0)
+    grads[-3] = back.sum(axis=0)
+    for i, w in enumerate(WIDTHS):
+        g, f = back[:, i * filters : (i + 1) * filters], np.broadcast_to(np.arange(filters), (n, filters))
+        for k, t in enumerate(taps_of[w]):
+            np.add.at(grads[t], (np.take_along_axis(x, where[w] + k, axis=1), f), g)
+    return loss, grads
+
+
 def train(texts: list[str], labels: list[str], window: int = 256, filters: int = 16, windows_per_text: int = 1, epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 7) -> ByteConvNet:
     """Fits the network with Adam; gradients pass through the position that each maximum came from."""
     rng = np.random.default_rng(seed)
@@ -132,34 +168,13 @@ def train(texts: list[str], labels: list[str], window: int = 256, filters: int =
     shape = [(256, filters)] * sum(WIDTHS)
     params = [rng.normal(0, 0.3, s) for s in shape] + [np.zeros(3 * filters), rng.normal(0, 0.2, (3 * filters, len(languages))), np.zeros(len(languages))]
     m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    taps_of, at = {}, 0
-    for w in WIDTHS:
-        taps_of[w], at = list(range(at, at + w)), at + w
+    taps_of = tap_numbers()
     share = np.array([len(y) / (len(languages) * max(1, (y == c).sum())) for c in range(len(languages))])
     for _ in range(epochs):
         order = rng.permutation(len(y))
         for lo in range(0, len(y), batch):
             idx = order[lo : lo + batch]
-            xb, yb, n = x[idx], y[idx], len(idx)
-            pooled, where = [], {}
-            for w in WIDTHS:
-                act = sum(params[t][xb[:, k : window + k]] for k, t in enumerate(taps_of[w]))
-                where[w] = act.argmax(axis=1)
-                pooled.append(np.take_along_axis(act, where[w][:, None, :], axis=1)[:, 0])
-            h = np.maximum(pre := np.concatenate(pooled, axis=1) + params[-3], 0)
-            z = h @ params[-2] + params[-1]
-            z = np.exp(z - z.max(axis=1, keepdims=True))
-            d = z / z.sum(axis=1, keepdims=True)
-            d[np.arange(n), yb] -= 1
-            d *= share[yb][:, None] / n
-            grads = [np.zeros_like(p) for p in params]
-            grads[-2], grads[-1] = h.T @ d, d.sum(axis=0)
-            back = (d @ params[-2].T) * (pre > 0)
-            grads[-3] = back.sum(axis=0)
-            for i, w in enumerate(WIDTHS):
-                g, f = back[:, i * filters : (i + 1) * filters], np.broadcast_to(np.arange(filters), (n, filters))
-                for k, t in enumerate(taps_of[w]):
-                    np.add.at(grads[t], (np.take_along_axis(xb, where[w] + k, axis=1), f), g)
+            _, grads = gradients(params, x[idx], y[idx], share, window, filters)
             step += 1
             for p, g, a, b in zip(params, grads, m, v, strict=True):
                 a += 0.1 * (g - a)
@@ -183,7 +198,8 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & F.col(id_col).isNotNull())
     pick = rows.groupBy(F.col(lang_col).alias("_l"), F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(per_language)).alias("_b")).agg(F.min_by(F.col(id_col), F.xxhash64(F.col(id_col))).alias("_id"))
-    ids = [r[0] for r in pick.select("_id").collect()]
+    frequent = [r[0] for r in rows.groupBy(F.col(lang_col).alias("_l")).count().orderBy(F.desc("count"), "_l").limit(MOST_LANGUAGES).collect()]
+    ids = [r[0] for r in pick.where(F.col("_l").isin(*frequent)).select("_id").collect()] if frequent else []
     spark = docs.sparkSession
     wanted = spark.createDataFrame([(i,) for i in ids], spark.createDataFrame([], docs.select(F.col(id_col).alias("_id")).schema).schema)
     text, room = F.col(text_col), F.greatest(F.length(text_col) - SLICE, F.lit(0))

@@ -77,3 +77,12 @@ def test_instruction_data_marks_answers(spark, sf):
     df = turns.selectExpr("conv_id", "text", "role = 'assistant' AS answer", "1 AS ids", "2 AS start")
     got = packing.pack(df, PATH, "conv_id", loss_col="answer", final_id=None, max_loss=1024, cuttable=False).collect()
     assert sum(r["length"] for r in got) == sum(len(Tokenizer.from_file(PATH).encode(r["text"] or "", add_special_tokens=False).ids) for r in turns.collect())
+
+
+def test_null_ids_repeated_rows_and_clashing_names(spark):
+    rows = [(None, "a b c", 1, 2), (None, "a b c", 1, 2), (5, "x y", 3, 4), (5, "x y", 3, 4), (5, "x y", 3, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key int, offset int")
+    got = packing.pack(df, PATH).collect()
+    sizes = {t: len(Tokenizer.from_file(PATH).encode(t, add_special_tokens=False).ids) + 1 for t in ("a b c", "x y")}
+    assert sum(r["length"] for r in got if r["key"] is None) == 2 * sizes["a b c"]
+    assert sum(r["length"] for r in got if r["key"] == 5) == 3 * sizes["x y"]

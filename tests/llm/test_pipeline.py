@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.sql import types as T
+from test_near_sets import brute_kept
 from test_packing import check_pieces
 from test_simhash import brute_components, brute_fingerprint
 
@@ -78,10 +79,21 @@ def test_run(spark, corpus, tmp_path):
 
 
 def test_odd_tables(spark, docs_of, odd_texts):
-    clash = docs_of(odd_texts, "en").selectExpr("*", "1 AS judged", "2 AS gone", "3 AS kid", "'x' AS dsha", "4 AS copies", "5 AS label")
+    clash = docs_of(odd_texts, "en").selectExpr("*", "1 AS judged", "2 AS gone", "3 AS kid", "'x' AS dsha", "4 AS copies", "5 AS label", "6 AS again")
+    texts = dict(enumerate(odd_texts))
+    first = {t or "": i for i, t in reversed(texts.items())}
     for name, stage in cp.STAGES:
         out = stage(spark, clash, "")
-        assert out.count() >= 0
-        if name != "packing":
+        if name == "packing":
+            check_pieces([tuple(r) for r in out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset").collect()], texts)
+        else:
             assert out.columns == clash.columns
+            kept = {r["doc_id"]: r for r in out.collect()}
+            assert all(r["text"] == texts[i] and tuple(r)[5:] == (1, 2, 3, "x", 4, 5, 6) for i, r in kept.items())
+            if name == "exact_dedup":
+                assert set(kept) == set(first.values())
+            elif name == "simhash_near_dedup":
+                assert set(kept) == brute_kept(texts)
+            else:
+                assert {texts[i] for i in kept} <= {t for t in odd_texts if t and any(map(str.isalpha, t))}
         assert stage(spark, clash.limit(0), "").count() == 0
