@@ -31,10 +31,6 @@ def _pages(plan: DataFrame) -> DataFrame:
     return p.withColumn("fields", F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in pages.R.PAGE_FIELDS])))
 
 
-def _docs(spark: SparkSession, root: str) -> DataFrame:
-    return tree.read_tree(spark, wiki.wiki_root(spark, root)).where(F.col("path").endswith(".md")).select("path", "text")
-
-
 def init(spark: SparkSession, root: str) -> DataFrame:
     made = []
     for path, body in wiki.initial_files(Path(root).resolve().name).items():
@@ -106,25 +102,25 @@ def menu(spark: SparkSession, root: str) -> DataFrame:
 
 
 def diagram_report(spark: SparkSession, root: str) -> DataFrame:
-    return _docs(spark, root).select("path", diagrams.repair(F.col("text")).alias("r")).select("path", "r.blocks", "r.fixes").where("blocks > 0")
+    return wiki.documents(spark, root).select("path", diagrams.repair(F.col("text")).alias("r")).select("path", "r.blocks", "r.fixes").where("blocks > 0")
 
 
 def quality_report(spark: SparkSession, root: str) -> DataFrame:
-    return quality.current(_docs(spark, root).where(F.col("path") != "doc-map.md")).orderBy("path")
+    return quality.current(wiki.documents(spark, root).where(F.col("path") != "doc-map.md")).orderBy("path")
 
 
 def finalise(spark: SparkSession, root: str) -> DataFrame:
-    docs = _docs(spark, root)
+    docs = wiki.documents(spark, root)
     files = docs.select(F.col("path").alias("file")).union(_files(spark, root).select("path"))
     return quality.finalise(_pages(_plan(spark, root)), files, docs)
 
 
 def titles(spark: SparkSession, root: str) -> DataFrame:
-    return _docs(spark, root).select("path", T.title_of(F.col("text"), F.regexp_extract("path", r"([^/]+)\.md$", 1)).alias("title"))
+    return wiki.documents(spark, root).select("path", T.title_of(F.col("text"), F.regexp_extract("path", r"([^/]+)\.md$", 1)).alias("title"))
 
 
 def folders(spark: SparkSession, root: str) -> DataFrame:
-    return wiki.menu_from_folders(_docs(spark, root)).orderBy("section_pos", "pos")
+    return wiki.menu_from_folders(wiki.documents(spark, root)).orderBy("section_pos", "pos")
 
 
 #: Commands whose rows are faults: they make the exit code one.

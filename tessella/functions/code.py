@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.rules import LANGUAGE_OF, MAX_CALLS, NOT_CALLS
@@ -309,28 +309,64 @@ def parsed(text: Column, ext: Column) -> Column:
     return run(text, ext)
 
 
-def resolve_candidates(source: Column, target: Column, ext: Column, source_dirs: list[str]) -> Column:
-    """Candidate files of an import, best first: a bare name in the source folders, a relative one beside the file,
-    one with slashes below the root. Join them with the files and take the first that exists."""
-    folder = F.regexp_replace(source, r"/?[^/]*$", "")
-    index = ["index.ts", "index.tsx", "index.js", "index.jsx", "__init__.py", "mod.rs", "lib.go"]
-    bare = F.flatten(F.array(*[F.array(F.concat(F.lit(f"{d}/"), target, ext), *[F.concat(F.lit(f"{d}/"), target, F.lit(f"/{i}")) for i in index]) for d in source_dirs]))
-    dotted = F.regexp_replace(F.regexp_replace(target, r"^\./", ""), r"^\.+", "")
-    beside = F.concat(F.when(folder == "", "").otherwise(F.concat(folder, F.lit("/"))), F.translate(dotted, ".", "/"))
-    relative = F.array(F.concat(F.regexp_replace(beside, "/+", "/"), ext))
-    rooted = F.array(F.concat(target, ext), target)
-    return F.when(target.startswith("."), relative).when(target.contains("/"), rooted).when(target.contains("."), F.array().cast("array<string>")).otherwise(bare)
+#: The suffixes that an import from a file of a suffix may stand for, and files that stand for their folder.
+STANDS_FOR = {".py": [".py", ".pyi"], ".ts": [".ts", ".tsx"], ".tsx": [".tsx", ".ts"], ".js": [".js", ".jsx", ".mjs", ".cjs"], ".go": [".go"], ".rs": [".rs"], ".java": [".java", ".kt"], ".kt": [".kt", ".java"]}
+FOLDER_FILES = ["index.ts", "index.tsx", "index.js", "index.jsx", "__init__.py", "mod.rs", "lib.go"]
+USUAL_DIRS = ["src", "lib", "pkg", "app", "internal", "cmd"]
 
 
-def docs_markdown(entries: list[dict], zh: bool = False) -> str:
-    """Doc entries of one file as Markdown."""
+def source_dirs(modules: DataFrame) -> list[str]:
+    """The top folders of modules (path), in order; the usual ones if there are none."""
+    found = modules.select(F.split("path", "/")[0].alias("d")).where("d <> ''").distinct().collect()
+    return sorted(r["d"] for r in found) or USUAL_DIRS
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame, dirs: list[str]) -> DataFrame:
+    """(source, target, file): the project's files (file) that imports (source, target, ext) stand for.
+
+    A bare name stands for a file and for a folder of that name in each source folder, a name that begins with a
+    dot for a file beside the source, one with slashes for a file below the root; of the possible suffixes and
+    folder files the first that exists counts. Imports that stand for no file give no row.
+    """
+    exts = F.coalesce(F.try_element_at(F.create_map(*[x for k, v in STANDS_FOR.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), F.col("ext")), F.array("ext"))
+    target, folder = F.col("target"), F.regexp_replace("source", r"/?[^/]*$", "")
+    with_ext = lambda base, place: F.transform(exts, lambda e, i: F.struct(place.alias("place"), i.alias("tier"), F.concat(base, e).alias("file")))
+    bare = []
+    for n, d in enumerate(dirs):
+        own = F.concat(F.lit(f"{d}/"), target)
+        bare += [with_ext(own, F.lit(2 * n)), F.array(*[F.struct(F.lit(2 * n + 1).alias("place"), F.lit(i).alias("tier"), F.concat(own, F.lit(f"/{f}")).alias("file")) for i, f in enumerate(FOLDER_FILES)])]
+    beside = F.regexp_replace(F.concat(folder, F.lit("/"), F.regexp_replace(F.translate(target, ".", "/"), "^/+", "")), "^/+|/+$", "")
+    relative = F.array(F.struct(F.lit(0).alias("place"), F.lit(0).alias("tier"), F.concat(beside, F.col("ext")).alias("file")))
+    rooted = with_ext(F.regexp_replace("target", r"(?<=[^/])\.[^./]+$", ""), F.lit(0))
+    none = F.slice(relative, 1, 0)
+    tries = F.when(target.startswith("."), relative).when(target.contains("/"), F.when(target.rlike(r"[*?\[]"), none).otherwise(rooted)).when(target.contains("."), none).otherwise(F.concat(*bare) if bare else none)
+    met = imports.select("source", "target", F.inline(tries)).join(files.select("file").distinct(), "file")
+    return met.groupBy("source", "target", "place").agg(F.min_by("file", "tier").alias("file")).select("source", "target", "file").distinct()
+
+
+def first_of_file(definitions: DataFrame, file: str) -> DataFrame:
+    """Of definitions of one name in a file the first; columns name and line among others."""
+    rest = [c for c in definitions.columns if c not in (file, "name")]
+    return definitions.groupBy(file, "name").agg(F.min_by(F.struct(*rest), "line").alias("r")).select(file, "name", "r.*")
+
+
+def call_graph(calls: DataFrame) -> DataFrame:
+    """(qname, calls, file, line) of calls (file, qname, line, calls): of equal names the last file's last one."""
+    return calls.groupBy("qname").agg(F.max_by(F.struct("calls", "file", "line"), F.struct("file", "line")).alias("r")).select("qname", "r.*")
+
+
+def markdown_of(docs: Column, zh: bool = False) -> Column:
+    """Doc entries of one file as Markdown, without Python."""
     label = {"params": "参数", "returns": "返回值", "examples": "示例"} if zh else {"params": "Parameters", "returns": "Returns", "examples": "Examples"}
-    out = []
-    for e in entries:
-        out.append(f"### `{e['name']}` ({e['type']})\n\n{e['description']}\n")
-        if e["params"]:
-            out.append(f"**{label['params']}**\n\n" + "\n".join(f"- `{p['name']}`" + (f" ({p['type']})" if p["type"] else "") + f": {p['description']}" for p in e["params"]) + "\n")
-        if e["returns"]:
-            out.append(f"**{label['returns']}**: {e['returns']}\n")
-        out += [f"**{label['examples']}**\n\n```\n{x}\n```\n" for x in e["examples"]]
-    return "\n".join(out)
+    kind = lambda p: F.when(p["type"] != "", F.concat(F.lit(" ("), p["type"], F.lit(")"))).otherwise("")
+
+    def entry(e: Column) -> Column:
+        params = F.array_join(F.transform(e["params"], lambda p: F.concat(F.lit("- `"), p["name"], F.lit("`"), kind(p), F.lit(": "), p["description"])), "\n")
+        return F.concat(
+            F.lit("### `"), e["name"], F.lit("` ("), e["type"], F.lit(")\n\n"), F.coalesce(e["description"], F.lit("")), F.lit("\n"),
+            F.when(F.size(e["params"]) > 0, F.concat(F.lit(f"\n**{label['params']}**\n\n"), params, F.lit("\n"))).otherwise(""),
+            F.when(F.coalesce(e["returns"], F.lit("")) != "", F.concat(F.lit(f"\n**{label['returns']}**: "), e["returns"], F.lit("\n"))).otherwise(""),
+            F.array_join(F.transform(e["examples"], lambda x: F.concat(F.lit(f"\n**{label['examples']}**\n\n```\n"), x, F.lit("\n```\n"))), ""),
+        )
+
+    return F.array_join(F.transform(docs, entry), "\n")

@@ -154,5 +154,12 @@ STATIC_PAGES = [
     ("concept:development-guide", "concept", "继续开发指南", "wiki/concepts/development-guide.md"),
     ("reference:api-surface", "reference", "接口与配置索引", "wiki/reference/api-surface.md"),
 ]
+#: Components that a page of a type must have, and should have.
+PAGE_PROFILES = {
+    "overview": (["overview", "architecture-fit", "nav-links", "source-citations"], ["mermaid-diagram", "api-table"]),
+    "concept": (["overview", "execution-flow", "source-citations"], ["data-flow", "design-rationale", "nav-links"]),
+    "deep-dive": (["relevant-source-files", "overview", "internal-structure", "execution-flow", "source-citations"], ["code-walkthrough", "mermaid-diagram", "risk-and-boundaries", "extension-points"]),
+    "reference": (["relevant-source-files", "overview", "api-table", "source-citations"], ["nav-links", "risk-and-boundaries"]),
+}
 MAX_CALLS, MAX_DEPTH, MAX_CORE_FILES = 20, 6, 20
 SNIPPET_CONTEXT, SNIPPET_CHARS, EXCERPT_CHARS = 5, 30_000, 12_000

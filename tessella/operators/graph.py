@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import classify as C
 from tessella.functions import rules as R
 from tessella.functions.columns import lookup
+from tessella.scratch import discard, materialise
 
 
 def in_degree(edges: DataFrame) -> DataFrame:
@@ -59,19 +58,12 @@ def call_graph_of(calls: DataFrame, files: DataFrame) -> DataFrame:
     return calls.join(files.select(F.col("file").alias("qname")), "qname", "left_semi")
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
-    """Cuts lineage by a checkpoint in the folder that the cluster shares."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix=f"tessella-{label}-"))
-    return df.checkpoint()
-
-
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over edges (src, dst) taken both ways. Large-star and
-    small-star rounds, of which a logarithmic number suffices."""
+    small-star rounds, of which a logarithmic number suffices; an error if they don't settle. Each round's
+    stars are written and read again, and the round's before deleted."""
     state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-    stars = store(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct(), "stars")
+    stars = materialise(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct(), "stars")
     before = state(stars)
     for _ in range(max_rounds):
         both = stars.union(stars.select("v", "u"))
@@ -79,10 +71,13 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         met = large.join(low, "u")
-        stars = store(met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(met.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "stars")
+        done, stars = stars, materialise(met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(met.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "stars")
+        discard(done)
         if (after := state(stars)) == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
     return nodes.select("node").distinct().join(stars.select(F.col("u").alias("node"), F.col("v").alias("c")), "node", "left").select("node", F.coalesce("c", "node").alias("component"))
 
 
@@ -100,19 +95,19 @@ def visits(calls: DataFrame, starts: DataFrame, max_depth: int = R.MAX_DEPTH, no
     """(start, node, depth, ord): breadth-first order from each start over calls (src, pos, dst), as a queue gives
     it: by the visit order of the caller, then by the place of the call. One join a level. nodes: (node) what is
     known, without it whatever calls something; only known nodes are visited."""
-    known = store((calls.select(F.col("src").alias("node")) if nodes is None else nodes.select("node")).distinct(), "known")
-    edges = store(calls.join(known.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "pos", "dst"), "calls")
-    seen = store(starts.select(F.col("start"), F.col("start").alias("node")).join(known, "node", "left_semi").select("start", "node", F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("ord")), "seen")
+    known = materialise((calls.select(F.col("src").alias("node")) if nodes is None else nodes.select("node")).distinct(), "known")
+    edges = materialise(calls.join(known.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "pos", "dst"), "calls")
+    seen = materialise(starts.select(F.col("start"), F.col("start").alias("node")).join(known, "node", "left_semi").select("start", "node", F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("ord")), "seen")
     frontier = seen
     for depth in range(1, max_depth + 1):
         reach = frontier.join(edges, frontier["node"] == edges["src"]).select("start", F.col("dst").alias("node"), F.struct("ord", "pos").alias("at"))
         fresh = reach.groupBy("start", "node").agg(F.min("at").alias("at")).join(seen, ["start", "node"], "left_anti")
         counted = seen.groupBy("start").agg(F.count(F.lit(1)).alias("base"))
         w = Window.partitionBy("start").orderBy("at")
-        frontier = store(fresh.join(counted, "start").select("start", "node", F.lit(depth).alias("depth"), (F.col("base") + F.row_number().over(w) - 1).alias("ord")), "frontier")
+        frontier = materialise(fresh.join(counted, "start").select("start", "node", F.lit(depth).alias("depth"), (F.col("base") + F.row_number().over(w) - 1).alias("ord")), "frontier")
         if frontier.isEmpty():
             break
-        seen = store(seen.unionByName(frontier), "seen")
+        seen = materialise(seen.unionByName(frontier), "seen")
     return seen
 
 
@@ -135,7 +130,11 @@ def entry_handlers(entries: DataFrame, calls: DataFrame) -> DataFrame:
     usual = busy.where(F.col("qname").isin(*R.HANDLER_NAMES)).select(F.min_by("qname", lookup(F.col("qname"), {n: i for i, n in enumerate(R.HANDLER_NAMES)})).alias("usual"))
     e = entries.select("name", F.regexp_extract("name", r"([^/]+?)(?:\.[^./]+)?$", 1).alias("stem"))
     exact = e.join(calls.select(F.col("qname").alias("stem"), F.lit(True).alias("known")), "stem", "left")
-    part = e.join(busy, F.contains(F.lower("qname"), F.lower("stem"))).groupBy("name").agg(F.min("qname").alias("part"))
+    # A stem lies within a name if it is one of the name's parts of that length: an equality join, for the few lengths that stems have.
+    sizes = sorted(r[0] for r in e.select(F.length("stem")).distinct().collect())
+    cut = lambda n: F.when(F.length("qname") >= n, F.transform(F.sequence(F.lit(1), F.length("qname") - n + 1), lambda i: F.substring(F.lower("qname"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    parts = busy.select("qname", F.explode(F.array_distinct(F.flatten(F.array(*map(cut, sizes))))).alias("low")) if sizes else busy.select("qname", F.lit("").alias("low"))
+    part = e.join(parts, F.lower("stem") == F.col("low")).groupBy("name").agg(F.min("qname").alias("part"))
     return exact.join(part, "name", "left").crossJoin(F.broadcast(usual)).select("name", F.when(F.col("known"), F.col("stem")).otherwise(F.coalesce("usual", "part", "stem")).alias("handler"))
 
 
@@ -183,14 +182,14 @@ def split_modules(inv: DataFrame, root: str, max_depth: int = 8) -> DataFrame:
     folders = code.select(F.explode(ancestors(parent(F.col("path")))).alias("path")).where((F.col("path") == root) | F.col("path").startswith(root + "/")).groupBy("path").agg(F.count(F.lit(1)).alias("files"))
     children = folders.groupBy(parent(F.col("path")).alias("path")).agg(F.count(F.lit(1)).alias("children"))
     depth: Column = F.size(F.split("path", "/"))
-    known = store(folders.join(children, "path", "left").withColumn("splits", (F.coalesce("children", F.lit(0)) >= 2) & (depth < max_depth)), "folders")
+    known = materialise(folders.join(children, "path", "left").withColumn("splits", (F.coalesce("children", F.lit(0)) >= 2) & (depth < max_depth)), "folders")
     level = known.where(F.col("path") == root)
     done = None
     for _ in range(max_depth + 1):
         leaf = level.where(~F.col("splits")).select("path", "files")
         done = leaf if done is None else done.unionByName(leaf)
         up = level.where("splits").select(F.col("path").alias("above"))
-        level = store(known.join(up, parent(known["path"]) == up["above"], "left_semi"), "level")
+        level = materialise(known.join(up, parent(known["path"]) == up["above"], "left_semi"), "level")
         if level.isEmpty():
             break
     return done

@@ -80,11 +80,20 @@ def doc_map(menu: DataFrame, title: str) -> DataFrame:
     return whole.select(F.concat(F.lit(f"# {title} Documentation Map\n\n"), F.col("body")).alias("text"))
 
 
-def neighbours(menu: DataFrame, by: list[str]) -> DataFrame:
-    """Menu leaves with the paths of their neighbours; planned ones are skipped. The order is within by (a menu each)."""
-    leaves = menu.where("NOT planned")
-    w = Window.partitionBy(*by).orderBy("section_pos", "pos")
-    return leaves.select(*by, "path", F.lag("path").over(w).alias("previous"), F.lead("path").over(w).alias("next"))
+def neighbours(menu: DataFrame, by: list[str], block: int = 65_536) -> DataFrame:
+    """Menu leaves with the paths of their neighbours; planned ones are skipped. The order is within by (a menu each).
+
+    Leaves are ordered in blocks of places, so that a section however long lies in no single task; the ends of
+    blocks meet on a table of one row a block.
+    """
+    leaves = menu.where("NOT planned").withColumn("_block", F.floor(F.col("pos") / block))
+    keys = [*dict.fromkeys([*by, "section_pos"]), "_block"]
+    inside, across = Window.partitionBy(*keys).orderBy("pos"), Window.partitionBy(*by).orderBy("section_pos", "_block")
+    ends = leaves.groupBy(*keys).agg(F.min_by("path", "pos").alias("_first"), F.max_by("path", "pos").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    ends = ends.select(*keys, "_n", F.lag("_last").over(across).alias("_before"), F.lead("_first").over(across).alias("_after"))
+    ranked = leaves.select("*", F.row_number().over(inside).alias("_k"), F.lag("path").over(inside).alias("_lag"), F.lead("path").over(inside).alias("_lead"))
+    met = ranked.join(ends, keys)
+    return met.select(*by, "path", F.when(F.col("_k") == 1, F.col("_before")).otherwise(F.col("_lag")).alias("previous"), F.when(F.col("_k") == F.col("_n"), F.col("_after")).otherwise(F.col("_lead")).alias("next"))
 
 
 def dedupe(menu: DataFrame, by: list[str]) -> DataFrame:

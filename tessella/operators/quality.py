@@ -194,3 +194,20 @@ def wiki_key(df: DataFrame, keys: DataFrame, plan: DataFrame) -> DataFrame:
     ]
     found = reduce(lambda a, b: a.unionByName(b), tries)
     return found.groupBy("page").agg(F.min_by("module", F.struct("tier", "pos")).alias("module"))
+
+
+def self_check(files: DataFrame, required: DataFrame, front: str, name: str, phrases: list[str]) -> DataFrame:
+    """(message) for a package's files (path, text): required ones (path) that are missing, a front page without its
+    front matter, name or description, and phrases that required files must not have. It is fine if there are no rows."""
+    missing = required.join(files.select("path"), "path", "left_anti").select(F.concat(F.lit("missing required file: "), "path").alias("message"))
+    says = lambda lack, what: (~lack, f"{front} missing {what}")
+    page = files.where(F.col("path") == front).select(F.explode(messages(says(F.col("text").startswith("---"), "YAML frontmatter"), says(F.col("text").contains(f"name: {name}"), f"name: {name}"), says(F.col("text").contains("description:"), "description"))).alias("message"))
+    hits = F.filter(F.array(*map(F.lit, phrases)), lambda x: F.contains(F.lower("text"), x))
+    declares = files.join(required, "path", "left_semi").select("path", F.explode(hits).alias("phrase")).select(F.concat("path", F.lit(" declares legacy dependency: "), "phrase").alias("message"))
+    return missing.unionByName(page).unionByName(declares)
+
+
+def check_report(errors: DataFrame, total: DataFrame) -> DataFrame:
+    """One row of counts: total, failed and passed items. errors: (item) with an error each; total: (item)."""
+    failed = errors.select("item").distinct().agg(F.count(F.lit(1)).alias("failed"))
+    return total.agg(F.count(F.lit(1)).alias("total")).crossJoin(F.broadcast(failed)).select("total", "failed", (F.col("total") - F.col("failed")).alias("passed"))

@@ -99,8 +99,10 @@ def module_scores(df: DataFrame, module: str = "module") -> DataFrame:
     """Each module's mean importance, and its first core files (by path)."""
     hundredths = F.round(F.col("importance_score") * 100).cast("bigint")
     total = df.groupBy(module).agg(F.count(F.lit(1)).alias("files"), F.sum(hundredths).alias("s"))
-    w = Window.partitionBy(module).orderBy("path")
-    core = df.where("is_core").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= R.MAX_CORE_FILES).groupBy(module).agg(F.sort_array(F.collect_list("path")).alias("core_files"))
+    # The first few of each module: of each of 64 parts of it first, so that no module's files meet in one task.
+    cored = df.where("is_core").select(module, "path", F.pmod(F.xxhash64("path"), F.lit(64)).alias("_part"))
+    first = lambda rows, *keys: rows.withColumn("_rn", F.row_number().over(Window.partitionBy(module, *keys).orderBy("path"))).where(F.col("_rn") <= R.MAX_CORE_FILES)
+    core = first(first(cored, "_part")).groupBy(module).agg(F.sort_array(F.collect_list("path")).alias("core_files"))
     out = total.join(core, module, "left")
     return out.select(module, "files", py_round(F.col("s") / 100.0 / F.col("files"), 2).alias("importance_score"), F.coalesce(F.size("core_files"), F.lit(0)).cast("bigint").alias("core_files_count"), F.coalesce(F.array_join("core_files", ","), F.lit("")).alias("core_files"))
 

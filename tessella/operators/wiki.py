@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions import rules as R
 from tessella.functions import text as T
 from tessella.functions.columns import ancestors, base_name, normal_path, parent, stem
 
@@ -26,6 +27,13 @@ def wiki_root(spark: SparkSession, root: str) -> str:
     return next((p for p in (f"{root}/.tessella/wiki", f"{root}/wiki") if exists(spark, p)), root)
 
 
+def documents(spark: SparkSession, root: str) -> DataFrame:
+    """(path, text) of a project's Markdown documents."""
+    from tessella.sources.tree import read_tree
+
+    return read_tree(spark, wiki_root(spark, root)).where(F.col("path").endswith(".md")).select("path", "text")
+
+
 def menu_from_folders(docs: DataFrame, language: str = "zh") -> DataFrame:
     """(section_pos, section, group, pos, title, path) of documents (path, text): overview pages, a section a folder
     of knowledge, and a last one with other top-level pages and other folders as groups."""
@@ -42,6 +50,26 @@ def menu_from_folders(docs: DataFrame, language: str = "zh") -> DataFrame:
     return d.select(section.alias("section_pos"), F.element_at(F.array(*map(F.lit, labels)), section + 1).alias("section"), group.alias("group"), F.when(F.col("place") > 0, F.lpad(F.col("place").cast("string"), 9, "0")).otherwise(F.col("name")).alias("pos"), title.alias("title"), "path")
 
 
+def nest(menu: DataFrame) -> DataFrame:
+    """(section_pos, section, items) of a flat menu: items are pages (title, path) and, after them, groups with pages
+    of their own. A section is one row: a menu is a document, which somebody is to read."""
+    page = F.struct("pos", "title", "path")
+    strip = lambda xs: F.transform(F.array_sort(xs), lambda x: F.struct(x["title"].alias("title"), x["path"].alias("path")))
+    own = menu.groupBy("section_pos", "section", "group").agg(strip(F.collect_list(page)).alias("pages"))
+    none = F.array().cast("array<struct<title:string,path:string>>")
+    single = F.transform("pages", lambda x: F.struct(x["title"].alias("title"), x["path"].alias("path"), none.alias("pages")))
+    grouped = F.array(F.struct(F.col("group").alias("title"), F.lit(None).cast("string").alias("path"), F.col("pages").alias("pages")))
+    made = own.select("section_pos", "section", F.coalesce("group", F.lit("")).alias("g"), F.when(F.col("group").isNull(), single).otherwise(grouped).alias("items"))
+    return made.groupBy("section_pos", "section").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("g", "items"))), lambda x: x["items"])).alias("items"))
+
+
+def walk(nested: DataFrame) -> DataFrame:
+    """(section, depth, title, path) of every node of nested sections: items at depth one, a group's pages at two."""
+    items = nested.select("section", F.inline("items"))
+    below = items.select("section", F.explode("pages").alias("p")).select("section", F.lit(2).alias("depth"), "p.title", "p.path")
+    return items.select("section", F.lit(1).alias("depth"), "title", "path").unionByName(below)
+
+
 def menu_from_topology(groupings: DataFrame, pages: DataFrame) -> DataFrame:
     """(section_pos, section, group, pos, title, path) of groupings (section_pos, section, group, pos, page_id) joined with
     pages (id, title, output_path); ids without a page go, paths lose their wiki/ prefix."""
@@ -115,19 +143,23 @@ def without_keys(map_: Column, keys: list[str]) -> Column:
     return F.map_filter(map_, lambda k, _: ~k.isin(*keys))
 
 
-def by_rule(pages: DataFrame, rules: DataFrame, on: str) -> DataFrame:
-    """Pages with the components that a (small) rule table asks for; pages without a rule keep none."""
-    return pages.join(rules, on, "left")
+def components_of(pages: DataFrame) -> DataFrame:
+    """pages (page_type among others) with the components that their type requires and recommends (arrays, empty
+    for types without a rule), from the small fixed table, as a lookup without a join."""
+    table = lambda i: F.create_map(*[x for k, v in R.PAGE_PROFILES.items() for x in (F.lit(k), F.array(*map(F.lit, v[i])))])
+    own = lambda i: F.coalesce(F.try_element_at(table(i), F.col("page_type")), F.array().cast("array<string>"))
+    return pages.withColumns({"required": own(0), "recommended": own(1)})
 
 
 def reconcile_dependencies(parsed: DataFrame, hinted: DataFrame) -> DataFrame:
-    """(src, dst, verdict) of edges found by parsing and edges that analysis hints at: confirmed, parsed_only, hinted_only
-    or reversed."""
+    """(src, dst, verdict) of edges found by parsing and edges that an analysis hints at. A parsed edge always stays:
+    confirmed if it is hinted at, conflict if only its reverse is, parsed_only otherwise. A hint without an edge of
+    either direction stays as hinted_only; one that conflicts goes."""
     a, b = parsed.select("src", "dst", F.lit(True).alias("p")).distinct(), hinted.select("src", "dst", F.lit(True).alias("h")).distinct()
-    both = a.join(b, ["src", "dst"], "full_outer")
-    back = a.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(True).alias("r"))
-    verdict = F.when(F.col("p") & F.col("h"), "confirmed").when(F.col("p"), "parsed_only").when(F.col("r"), "reversed").otherwise("hinted_only")
-    return both.join(back, ["src", "dst"], "left").select("src", "dst", verdict.alias("verdict"))
+    turned = lambda t, name: t.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(True).alias(name))
+    both = a.join(b, ["src", "dst"], "full_outer").join(turned(b, "rh"), ["src", "dst"], "left").join(turned(a, "rp"), ["src", "dst"], "left")
+    verdict = F.when(F.col("p") & F.col("h"), "confirmed").when(F.col("p") & F.col("rh"), "conflict").when(F.col("p"), "parsed_only").when(F.col("rp").isNull(), "hinted_only")
+    return both.select("src", "dst", verdict.alias("verdict")).where("verdict IS NOT NULL")
 
 
 def initial_files(name: str) -> dict[str, str]:

@@ -11,7 +11,8 @@ from tessella.functions import rules as R
 from tessella.functions import text as T
 from tessella.functions.columns import base_name, lookup, suffix
 from tessella.operators import diff, graph, inventory, pages, quality, scoring
-from tessella.plans import bind
+from tessella.plans import bind, code_queries, oracle, tree_queries, wiki_queries
+from tessella.scratch import materialise
 from tessella.session import ship
 
 
@@ -23,8 +24,13 @@ def _scored(spark, sf):
     return scoring.importance(bind.vfiles(spark, sf))
 
 
+def _normal(spark, sf):
+    """Scores, written once: ids, paths and numbers without texts, over which several passes go."""
+    return materialise(scoring.normalise(materialise(_scored(spark, sf).drop("text"), "scores")), "normalised")
+
+
 def _ranked(spark, sf):
-    return scoring.flag(scoring.normalise(_scored(spark, sf)))
+    return scoring.flag(_normal(spark, sf))
 
 
 def inventory_files(spark, sf):
@@ -81,14 +87,14 @@ def importance_score(spark, sf):
 
 def module_percentile(spark, sf):
     """The module is found by an equality join on ancestors."""
-    files = _scored(spark, sf)
+    files = materialise(_scored(spark, sf).drop("text"), "scores")
     found = scoring.with_module(files.drop("module"), bind.vmodules(files))
     return scoring.normalise(found).select("doc_id", "module", "percentile", "path_score_normalized", "importance_score")
 
 
 def dynamic_thresholds(spark, sf):
     """W3."""
-    return scoring.thresholds(scoring.normalise(_scored(spark, sf)))
+    return scoring.thresholds(_normal(spark, sf))
 
 
 def module_scores(spark, sf):
@@ -184,7 +190,7 @@ def import_filter(spark, sf):
 
 def module_components(spark, sf):
     """Turns of a conversation are one component."""
-    c = bind.calls(spark, sf).where("pos = 0")
+    c = bind.calls(spark, sf)
     nodes = bind.turns(spark, sf).select(bind.node().alias("node"))
     return graph.components(nodes, c)
 
@@ -343,10 +349,11 @@ def menu_dedupe(spark, sf):
 
 
 def menu_redundant(spark, sf):
-    """Five built-in groups of site targets; which are wholly covered by others."""
+    """Five built-in groups and an own one; links go by their place in the page, those of the third group by target."""
     links = bind.site_links(spark, sf)
     names = F.element_at(F.array(*map(F.lit, [*R.BUILTIN_GROUPS, "own"])), (F.col("page_id") % 6 + 1).cast("int"))
-    return pages.redundant_groups(links.select(names.alias("group"), F.col("target").alias("path")))
+    path = F.when(F.col("page_id") % 6 == 2, F.col("target")).otherwise(F.concat(F.lit("p"), F.col("pos").cast("string")))
+    return pages.redundant_groups(links.select(names.alias("group"), path.alias("path")))
 
 
 def plan_validation(spark, sf):
@@ -371,8 +378,8 @@ def doc_topology(spark, sf):
 
 def evidence_claims(spark, sf):
     """Documents as modules, labelled ones have evidence."""
-    d = bind.vfiles(spark, sf).join(bind.read(spark, sf, "labels").select("doc_id", F.col("quality").alias("q")).dropDuplicates(["doc_id"]), "doc_id", "left")
-    m = d.select(F.col("path").alias("module"), F.substring("text", 1, 40).alias("module_summary"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("role "), F.col("doc_id").cast("string"))).alias("module_role"), F.when(F.col("q") == 1, F.array(F.lit("f"))).otherwise(F.array().cast("array<string>")).alias("evidence_files"))
+    d = bind.vfiles(spark, sf).join(bind.read(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("q")), "doc_id", "left")
+    m = d.select(F.col("path").alias("module"), F.col("text").alias("module_summary"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("role "), F.col("doc_id").cast("string"))).alias("module_role"), F.when(F.col("q") == 1, F.array(F.lit("f"))).otherwise(F.array().cast("array<string>")).alias("evidence_files"))
     return pages.claims(m)
 
 
@@ -399,9 +406,9 @@ def line_metrics(spark, sf):
 
 
 def mermaid_repair(spark, sf):
-    """Diagrams of vdocs repaired in place (rows only: the repairs call back into code)."""
+    """Diagrams of vdocs repaired in place."""
     docs = bind.vdocs(ship(spark), sf)
-    return docs.select("conv_id", diagrams.repair(F.col("text")).alias("r")).select("conv_id", "r.blocks", "r.fixes", F.sha2("r.text", 256).alias("text_sha256"))
+    return docs.select("conv_id", diagrams.repair(F.col("text")).alias("r")).select("conv_id", "r.blocks", "r.changed", "r.fixes", F.sha2("r.text", 256).alias("text_sha256"))
 
 
 def token_costs(spark, sf):
@@ -424,5 +431,9 @@ QUERIES = {
 }
 
 
+QUERIES |= code_queries.QUERIES | tree_queries.QUERIES | wiki_queries.QUERIES
+ORACLE_SQL = oracle.ORACLE_SQL | code_queries.ORACLE_SQL | tree_queries.ORACLE_SQL | wiki_queries.ORACLE_SQL
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return module_percentile(spark, sf)

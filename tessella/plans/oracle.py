@@ -263,7 +263,7 @@ ORACLE_SQL = {
     "menu_by_type": f"WITH {PLAN} SELECT min(pos) OVER (PARTITION BY page_type) AS section_pos, section, pos, shown AS title, output_path AS path FROM labelled",
     "menu_prev_next": f"WITH {PLAN} SELECT section, output_path AS path, lag(output_path) OVER w AS previous, lead(output_path) OVER w AS next FROM labelled WHERE pos % 8 <> 2 WINDOW w AS (PARTITION BY section ORDER BY pos)",
     "menu_dedupe": f"WITH {LINKS} SELECT page_id % 5 AS section, min(page_id * 1000 + pos) AS pos, target AS path FROM links WHERE target <> '' GROUP BY ALL UNION ALL SELECT page_id % 5, page_id * 1000 + pos, target FROM links WHERE target = ''",
-    "menu_redundant": f"""WITH {LINKS}, g AS (SELECT DISTINCT list_extract([{q([*R.BUILTIN_GROUPS, "own"])}], CAST(page_id % 6 AS INT) + 1) AS "group", target AS path FROM links), n AS (SELECT *, count(*) OVER (PARTITION BY path) AS spread FROM g)
+    "menu_redundant": f"""WITH {LINKS}, g AS (SELECT DISTINCT list_extract([{q([*R.BUILTIN_GROUPS, "own"])}], CAST(page_id % 6 AS INT) + 1) AS "group", CASE WHEN page_id % 6 = 2 THEN target ELSE 'p' || pos END AS path FROM links), n AS (SELECT *, count(*) OVER (PARTITION BY path) AS spread FROM g)
         SELECT "group" FROM n WHERE "group" <> 'own' GROUP BY "group" HAVING min(spread) > 1""",
     "plan_validation": f"""WITH {PLAN}, ord AS (SELECT page_id FROM plan WHERE pos % 12 <> 1 UNION SELECT page_id || '-x' FROM plan WHERE pos % 40 = 0)
         SELECT 'pages[' || pos || '] missing fields: status, title' AS message FROM plan WHERE pos % 30 = 11
@@ -280,10 +280,12 @@ ORACLE_SQL = {
                'wiki/deep-dive/' || coalesce(package || '/mod_' || n, name) || '.md' AS output_path, package AS package_group,
                CASE n % 3 WHEN 0 THEN 'packages/' || package || '/src/' WHEN 1 THEN 'apps/' || package || '/' ELSE 'src/' END || 'mod_' || n AS source_module FROM m
         UNION ALL SELECT *, NULL, NULL FROM (VALUES {", ".join(f"({q(p)})" for p in R.STATIC_PAGES)})""",
-    "evidence_claims": f"""WITH {VFILES}, l AS (SELECT doc_id, any_value(quality) AS q FROM labels GROUP BY doc_id),
-        m AS (SELECT path, substr(text, 1, 40) AS module_summary, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'role ' || doc_id END AS module_role, CASE WHEN q = 1 THEN 'high' ELSE 'low' END AS confidence FROM vfiles LEFT JOIN l USING (doc_id))
+    "evidence_claims": f"""WITH {VFILES}, l AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id),
+        m AS (SELECT path, text AS module_summary, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'role ' || doc_id END AS module_role, CASE WHEN q = 1 THEN 'high' ELSE 'low' END AS confidence FROM vfiles LEFT JOIN l USING (doc_id))
         SELECT 'deep-dive:' || path || ':module_summary' AS claim_id, 'deep-dive:' || path AS page_id, module_summary AS claim_text, confidence FROM m WHERE module_summary <> ''
         UNION ALL SELECT 'deep-dive:' || path || ':module_role', 'deep-dive:' || path, module_role, confidence FROM m WHERE module_role <> ''""",
+    "mermaid_repair": f"""WITH {VDOCS}, b AS (SELECT conv_id, text, CASE WHEN conv_id % 2 = 0 THEN answers ELSE 0 END::BIGINT AS n FROM vdocs)
+        SELECT conv_id, n AS blocks, n AS changed, n AS fixes, sha256(CASE WHEN n > 0 THEN replace(text, 'flowchart TD' || chr(10) || 'A[step one]', 'flowchart TD' || chr(10) || 'A["step one"]') ELSE text END) AS text_sha256 FROM b""",
     "missing_required_fields": f"""WITH {VFILES}, m AS (SELECT path, array_to_string(list_filter([{", ".join(f"CASE WHEN doc_id % {i + 3} <= 1 THEN '{c}' END" for i, c in enumerate(_GAPS))}], lambda x: x IS NOT NULL), ',') AS missing FROM vfiles) SELECT * FROM m WHERE missing <> ''""",
     "toc": """WITH h AS (SELECT page_id, regexp_extract_all(replace(replace(coalesce(html, ''), '<h1>', '<h2>'), '</h1>', '</h2>'), '(?is)<h2[^>]*>.*?</h2>') AS h FROM pages WHERE page_id IS NOT NULL),
         u AS (SELECT page_id, unnest(h) AS x, unnest(range(len(h))) AS pos FROM h) SELECT page_id, pos::INT AS pos, 2::INT AS level, trim(regexp_replace(x, '<[^>]+>', '', 'g'), ' ') AS text FROM u""",

@@ -22,8 +22,14 @@ def local_session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> Sp
     return spark
 
 
+#: Rows of a batch that a Python worker is handed, unless the session says otherwise: texts may be long.
+BATCH_ROWS = "2000"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Makes this package importable in executors' Python workers, wherever they run."""
+    """Makes this package importable in executors' Python workers, wherever they run, and bounds their batches."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         _shipped.add(app)

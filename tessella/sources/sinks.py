@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,13 +25,19 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Overwrites a Parquet table that df itself may read: it is written beside the old one and then takes its place."""
+    """Overwrites a Parquet table that df itself may read: it is written beside the old one, which is renamed out of
+    the way and deleted only when the new one has taken its place, so that one of the two is always there."""
     spark = df.sparkSession
-    beside = f"{path}.{uuid.uuid4().hex}"
-    df.write.parquet(beside)
+    fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    df.write.parquet(fresh)
     fs, p, jvm = _fs(spark, path)
-    fs.delete(p, True)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(beside), p)
+    at = jvm.org.apache.hadoop.fs.Path
+    if fs.exists(p) and not fs.rename(p, at(old)):
+        raise OSError(f"{path} can't be moved out of the way")
+    if not fs.rename(at(fresh), p):
+        fs.rename(at(old), p)
+        raise OSError(f"{path} can't be replaced")
+    fs.delete(at(old), True)
 
 
 def merge(parts: DataFrame, path: str, key: str, order: str, full_replace: bool = False) -> None:
@@ -55,6 +63,29 @@ def pages(df: DataFrame, path: str, key: str = "page_id") -> None:
     df.withColumn("page", safe_id(F.col(key))).write.mode("overwrite").partitionBy("page").json(path)
 
 
+def tree(df: DataFrame, root: str) -> int:
+    """A file for each row (path, text) below root, written by the tasks that hold the rows; says how many. A file is
+    written beside its place and then renamed, so that a task that is run again leaves whole files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, top = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root.removeprefix("file:"))
+        n = 0
+        for batch in batches:
+            for path, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                target = f"{top}/{path}"
+                beside = f"{target}.{uuid.uuid4().hex}"
+                system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(beside, compression=None) as f:
+                    f.write((body or "").encode("utf-8"))
+                system.move(beside, target)
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    return df.select(F.col("path").cast("string"), F.col("text").cast("string")).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def text(df: DataFrame, path: str, column: str = "text") -> None:
     """A rendered document: one row, one file."""
     df.select(column).coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(path)

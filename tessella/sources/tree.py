@@ -31,6 +31,24 @@ def gitignore(text: str) -> tuple[list[str], list[str]]:
     return literals, globs
 
 
+def excludes(config: str) -> tuple[list[str], list[str]]:
+    """(literal names, globs) of the list under ``exclude`` in a configuration's YAML, as block or in brackets; globs
+    lose leading stars. A configuration without such a list excludes nothing."""
+    found, inside = [], False
+    for line in config.splitlines():
+        bare = line.split(" #", 1)[0].rstrip()
+        head, colon, rest = bare.partition(":")
+        if colon and head == head.strip() and not head.startswith(("-", "#")):
+            inside = head == "exclude"
+            if inside and rest.strip().startswith("["):
+                found += rest.strip().strip("[]").split(",")
+        elif inside and bare.strip().startswith("-"):
+            found.append(bare.strip()[1:])
+    names = [x.strip().strip("'\"").strip() for x in found]
+    wild = lambda x: any(c in x for c in "*?[")
+    return [x for x in names if x and not wild(x)], [g for x in names if wild(x) and (g := x.lstrip("*"))]
+
+
 class Files(InputPartition):
     def __init__(self, files: list[tuple[str, str, int, bool]]):
         self.files = files

@@ -6,8 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tessella.plans.catalog import QUERIES
-from tessella.plans.oracle import ORACLE_SQL
+from tessella.plans.catalog import ORACLE_SQL, QUERIES
 
 
 @pytest.fixture(scope="module")

@@ -74,16 +74,23 @@ def test_languages_with_braces():
     assert {(d["name"], d["parent"]) for d in rs["definitions"]} == {("f", ""), ("P", ""), ("m", "P")} and rs["imports"] == ["core::x"] and rs["docs"][0]["examples"] == ["y()"]
     jv = code.parse("import a.b.C;\n/** Does. @x */\npublic class T {\n  public int go(int a) { if (a > 1) { call(a); } return 1; }\n}\n", ".java")
     assert {(d["name"], d["parent"]) for d in jv["definitions"]} == {("T", ""), ("go", "T")} and jv["imports"] == ["a.b.C"] and jv["complexity"] > 0
-    assert "`add`" in code.docs_markdown(js["docs"]) and "参数" in code.docs_markdown(js["docs"], zh=True)
 
 
 def test_parsing_in_batches(spark):
     df = spark.createDataFrame([("a.py", ".py", PY), ("b.ts", ".ts", "function f() { g() }"), ("c", "", None)], "path string, ext string, text string")
     got = {r["path"]: r["p"] for r in df.select("path", code.parsed(F.col("text"), F.col("ext")).alias("p")).collect()}
     assert len(got["a.py"]["definitions"]) == 3 and got["b.ts"]["calls"][0]["calls"] == [] or got["b.ts"]["calls"][0]["qname"] == "f"
-    c = spark.createDataFrame([("src/a.py", "helper", ".py"), ("src/x/a.py", ".util", ".py"), ("a.ts", "lib/b", ".ts"), ("a.py", "p.q", ".py")], "s string, t string, e string")
-    out = [r[0] for r in c.select(code.resolve_candidates(F.col("s"), F.col("t"), F.col("e"), ["src"])).collect()]
-    assert out[0][0] == "src/helper.py" and "src/helper/__init__.py" in out[0] and out[1] == ["src/x/util.py"] and out[2][0] == "lib/b.ts" and out[3] == []
+    docs = df.where("path = 'a.py'").select(code.parsed(F.col("text"), F.col("ext"))["docs"].alias("d")).select(code.markdown_of(F.col("d")).alias("en"), code.markdown_of(F.col("d"), zh=True).alias("zh")).first()
+    assert docs["en"].startswith("### `") and docs["zh"].startswith("### `")
+
+
+def test_imports_are_resolved_to_files_that_exist(spark):
+    imports = [("src/a.py", "helper", ".py"), ("src/x/a.py", ".util", ".py"), ("a.ts", "lib/b", ".ts"), ("a.py", "p.q", ".py"), ("a.py", "gone", ".py"), ("a.ts", "lib/*", ".ts"), ("src/x/a.py", ".", ".py")]
+    files = ["src/helper.pyi", "src/helper/__init__.py", "src/helper/mod.rs", "src/x/util.py", "lib/b.tsx", "p/q.py"]
+    got = code.resolve_imports(spark.createDataFrame(imports, "source string, target string, ext string"), spark.createDataFrame([(f,) for f in files], "file string"), ["src", "lib"])
+    assert {tuple(r) for r in got.collect()} == {("src/a.py", "helper", "src/helper.pyi"), ("src/a.py", "helper", "src/helper/__init__.py"), ("src/x/a.py", ".util", "src/x/util.py"), ("a.ts", "lib/b", "lib/b.tsx")}
+    assert code.source_dirs(spark.createDataFrame([("src/a",), ("lib",), ("",)], "path string")) == ["lib", "src"]
+    assert code.source_dirs(spark.createDataFrame([], "path string")) == code.USUAL_DIRS
 
 
 def test_diagrams(spark):

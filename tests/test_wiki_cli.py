@@ -65,12 +65,12 @@ def test_lookups(spark):
     assert hit.count() == miss.count() == 1
     e = lambda rows: spark.createDataFrame(rows, "src string, dst string")
     got = {(r["src"], r["dst"]): r["verdict"] for r in wiki.reconcile_dependencies(e([("a", "b"), ("a", "c"), ("d", "e")]), e([("a", "b"), ("e", "d"), ("x", "y")])).collect()}
-    assert got == {("a", "b"): "confirmed", ("a", "c"): "parsed_only", ("d", "e"): "parsed_only", ("e", "d"): "reversed", ("x", "y"): "hinted_only"}
+    assert got == {("a", "b"): "confirmed", ("a", "c"): "parsed_only", ("d", "e"): "conflict", ("x", "y"): "hinted_only"}
     r = spark.createDataFrame([("---\nname: x\ndesc: a b\n---\n[l](a.md) [m](http://x) [n](#q)",)], "t string").select(wiki.front_matter(F.col("t")).alias("m"), wiki.local_links(F.col("t")).alias("l")).first()
     assert r["m"] == {"name": "x", "desc": "a b"} and r["l"] == ["a.md"]
     mm = spark.sql("SELECT map('a', 1, 'b', 2) m").select(wiki.only_keys(F.col("m"), ["a"]).alias("o"), wiki.without_keys(F.col("m"), ["a"]).alias("w")).first()
     assert mm["o"] == {"a": 1} and mm["w"] == {"b": 2}
     top = wiki.menu_from_topology(spark.createDataFrame([(0, "S", None, 0, "p1"), (0, "S", None, 1, "zz")], "section_pos int, section string, group string, pos int, page_id string"), spark.createDataFrame([("p1", "T", "wiki/a.md")], "id string, title string, output_path string"))
     assert [(x["title"], x["path"]) for x in top.collect()] == [("T", "a.md")]
-    rules = spark.createDataFrame([("overview", "toc")], "page_type string, component string")
-    assert wiki.by_rule(spark.createDataFrame([("overview",), ("x",)], "page_type string"), rules, "page_type").where("component IS NULL").count() == 1
+    parts = {r["page_type"]: r for r in wiki.components_of(spark.createDataFrame([("overview",), ("x",)], "page_type string")).collect()}
+    assert "nav-links" in parts["overview"]["required"] and parts["x"]["required"] == parts["x"]["recommended"] == []
