@@ -4,7 +4,7 @@ A page becomes its sequence of leaf blocks. Each block has a vector: its tag pat
 the words of class, id and role), hashed and embedded, its words, hashed and embedded, and a few
 measures of its text. A bidirectional LSTM reads the whole sequence, so every block is classified with
 the page's context on both sides. It is trained here, on generated pages whose labels are known; no
-row of any table is used.
+row of any table is used. Its weights are stored beside this module.
 
 Cases: a null or empty page has empty text. Unclosed tags, comments, quotes and raw elements are read
 to the end of the page. Very long pages are one sequence. Repeated rows give repeated rows; other
@@ -13,11 +13,14 @@ columns aren't read.
 
 from __future__ import annotations
 
+import hashlib
+import inspect
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -27,7 +30,8 @@ from pyspark.sql import functions as F
 from tessella.llm.html_blocks import Block, blocks
 from tessella.llm.html_pages import labelled
 
-PATHS, WORDS, MEASURES, HIDDEN = 1024, 64, 9, 24
+PATHS, WORDS, MEASURES, HIDDEN = 1024, 256, 14, 24
+WEIGHTS = Path(__file__).with_name("html_weights.npz")
 
 
 def bucket(token: str, n: int) -> int:
@@ -65,9 +69,28 @@ def word_vectors(texts: list[list[str]]) -> np.ndarray:
     return np.sqrt(counts.reshape(-1, WORDS) / np.maximum(sizes, 1)[:, None]).astype(np.float32)
 
 
+END = ".!?…"
+
+
+def kin(page: list[Block]) -> list[list[float]]:
+    """For each block, of all those of the page that lie in parts of the same marks: their share of the page's text,
+    how much of it is linked, how long they are, how many end as sentences do; and how much of the page is linked."""
+    total = sum(len(b.text) for b in page) or 1
+    parts: dict = {}
+    for b in page:
+        own = parts.setdefault(b.path[:-1], [0, 0, 0, 0])
+        own[0] += len(b.text)
+        own[1] += b.linked
+        own[2] += 1
+        own[3] += b.text[-1] in END
+    all_linked = min(1.0, sum(b.linked for b in page) / total)
+    of = {k: [size / total, min(1.0, linked / max(1, size)), np.log1p(size / n) / 6, ends / n, all_linked] for k, (size, linked, n, ends) in parts.items()}
+    return [of[b.path[:-1]] for b in page]
+
+
 def measures(b: Block, words: list[str], at: int, n: int) -> list[float]:
     size = len(b.text)
-    return [np.log1p(size) / 6, np.log1p(len(words)) / 4, min(1.0, b.linked / max(1, size)), float(b.text[-1] in ".!?…"), b.text.count(",") / max(1, len(words)), len(DIGIT.findall(b.text)) / max(1, size), at / max(1, n - 1), len(b.path) / 10, 1.0]
+    return [np.log1p(size) / 6, np.log1p(len(words)) / 4, min(1.0, b.linked / max(1, size)), float(b.text[-1] in END), b.text.count(",") / max(1, len(words)), len(DIGIT.findall(b.text)) / max(1, size), at / max(1, n - 1), len(b.path) / 10, 1.0]
 
 
 class BlockLabeller:
@@ -93,7 +116,8 @@ class BlockLabeller:
                 hit = self.cache[b.path] = (p["path"][ids].sum(axis=0), ids)
             x.append(hit[0]), toks.append(hit[1])
         words = [b.text.split() for b in page]
-        w, m = word_vectors(words), np.array([measures(b, own, at, len(page)) for at, (b, own) in enumerate(zip(page, words, strict=True))], np.float32)
+        own = [measures(b, of, at, len(page)) + k for at, (b, of, k) in enumerate(zip(page, words, kin(page), strict=True))]
+        w, m = word_vectors(words), np.array(own, np.float32)
         return np.array(x) + w @ p["word"] + m @ p["size"], toks, w, m
 
     def _run(self, x: np.ndarray, mask: np.ndarray, rec: np.ndarray, keep: list | None) -> np.ndarray:
@@ -204,9 +228,22 @@ class BlockLabeller:
         return out
 
 
+def recipe(pages: int, epochs: int, seed: int) -> str:
+    """What the weights depend on: the sources that make pages and blocks, and how training goes."""
+    sources = [Path(__file__).with_name(name).read_bytes() for name in ("html_blocks.py", "html_pages.py")]
+    return hashlib.sha256(b"".join(sources) + repr((PATHS, WORDS, MEASURES, HIDDEN, pages, epochs, seed)).encode()).hexdigest()
+
+
 @lru_cache(maxsize=2)
-def trained(pages: int = 2400, epochs: int = 6, seed: int = 11) -> BlockLabeller:
-    """The labeller, fitted once a process."""
+def trained(pages: int = 12_000, epochs: int = 9, seed: int = 11) -> BlockLabeller:
+    """The labeller with the weights that were stored with the package, if they are by this recipe; else fitted
+    now, once a process. ``python -m tessella.llm.html_main`` fits and stores them."""
+    if WEIGHTS.exists():
+        with np.load(WEIGHTS) as stored:
+            if str(stored["recipe"]) == recipe(pages, epochs, seed):
+                model = BlockLabeller()
+                model.p = {k: stored[k].astype(np.float32) for k in model.p}
+                return model
     return BlockLabeller().fit(labelled(pages, seed), epochs)
 
 
@@ -229,3 +266,14 @@ def main_text(page: Column, model: BlockLabeller | None = None) -> Column:
             yield pd.Series(extract(pages.tolist(), model), dtype=object)
 
     return run(page)
+
+
+def store_weights() -> None:
+    """Fits the labeller and stores its weights with the package, in half precision."""
+    options = [p.default for p in inspect.signature(trained.__wrapped__).parameters.values()]
+    model = BlockLabeller().fit(labelled(options[0], options[2]), options[1])
+    np.savez_compressed(WEIGHTS, recipe=np.array(recipe(*options)), **{k: v.astype(np.float16) for k, v in model.p.items()})
+
+
+if __name__ == "__main__":
+    store_weights()

@@ -1,7 +1,10 @@
 """Generated pages with known labels, which the block labeller is trained on.
 
 Layouts, container names, places of boilerplate and languages vary by chance; words are made of
-syllables, so that no vocabulary of any table is learnt.
+syllables, so that no vocabulary of any table is learnt. There are four families: pages whose tags and
+names tell what a part is; the same with names that say nothing, or none; pages of nothing but div
+elements; and layouts made of tables. In the last three, boilerplate is such that a reader could tell it
+by its words, links, fields or place.
 """
 
 from __future__ import annotations
@@ -28,12 +31,12 @@ JUNK = {
 }
 PHRASES = {
     "nav": "Home|About|Contact|News|Next|Previous|Sports|Archive".split("|"),
-    "footer": "All rights reserved|Copyright 2020|Terms of use|Privacy policy|©|Impressum".split("|"),
+    "footer": "All rights reserved|Copyright 2020|Terms of use|Privacy policy|©|Impressum|Last updated|Last modified|Webmaster|Powered by|Best viewed with".split("|"),
     "notice": "We use cookies|Accept all|By using this site you agree|Subscribe to our newsletter|Please log in".split("|"),
     "side": "Related articles|Most read|Popular posts|Recent posts|See also".split("|"),
     "ad": "Advertisement|Sponsored|Buy now|Sale ends today|Click here".split("|"),
     "form": "Search|Your name|E-mail|Send|Password|Log in".split("|"),
-    "comment": "Leave a reply|Comments|says|Reply|Posted by|likes".split("|"),
+    "comment": "Leave a reply|Comments|says|Reply|Posted by|likes|wrote".split("|"),
     "header": "Welcome|The daily|Log in|Edition".split("|"),
     "share": "Share|Tweet|Print|Follow us".split("|"),
 }
@@ -43,9 +46,17 @@ def r_few(r: random.Random) -> int:
     return r.randint(1, 3)
 
 
+FAMILIES = ("named", "unnamed", "flat", "table")
+TAGS = re.compile(r"<(/?)(article|main|section|nav|header|footer|aside|p|h[1-6]|ul|ol|li|blockquote|figure|figcaption|pre|div)\b([^>]*)>")
+ATTRIBUTE = re.compile(r"""\s(?:class|id|role)=(?:"[^"]*"|'[^']*')""")
+
+
 class PageMaker:
+    """plain: boilerplate must be recognisable without names; every element is closed."""
+
     def __init__(self, seed: int):
         self.r = random.Random(seed)
+        self.plain = self.noisy = False
 
     def word(self) -> str:
         r = self.r
@@ -56,6 +67,11 @@ class PageMaker:
         s = " ".join(self.word() for _ in range(self.r.randint(least, most)))
         return s[:1].upper() + s[1:] + self.r.choice("....!?")
 
+    def title(self, least: int = 1, most: int = 10) -> str:
+        """A heading, mostly without a mark at its end."""
+        s = self.sentence(least, most)
+        return s if self.r.random() < 0.25 else s.rstrip(".!?") or s
+
     def odd(self) -> str:
         """Text that isn't prose: few words again and again, numbers, addresses, symbols, capitals, one word."""
         r, w = self.r, [self.word() for _ in range(r_few(self.r))]
@@ -99,11 +115,39 @@ class PageMaker:
         return " ".join(words)
 
     def tag(self, name: str, body: str, attributes: str = "") -> str:
-        end = "" if name in ("p", "li") and self.r.random() < 0.1 else f"</{name}>"
+        end = "" if name in ("p", "li") and not self.plain and self.r.random() < 0.1 else f"</{name}>"
         return f"<{name}{' ' + attributes if attributes else ''}>{body}{end}"
 
+    def plain_junk(self, kind: str) -> str:
+        """A piece of boilerplate that its words, links or fields give away."""
+        r, says = self.r, PHRASES[kind]
+        named = self.name(JUNK[kind])
+        own = lambda: html.escape(r.choice(says))
+        link = lambda: f'<a href="/{self.word()}">{own() if r.random() < 0.3 else html.escape(" ".join(self.word() for _ in range(r.randint(1, 5))).title())}</a>'
+        some = lambda least, most: [link() for _ in range(r.randint(least, most))]
+        listed = lambda least, most: r.choice(("<ul>" + "".join(f"<li>{x}</li>" for x in some(least, most)) + "</ul>", "".join(f"<div>{x}</div>" for x in some(least, most)), r.choice((" ", " | ", " &middot; ")).join(some(least, most))))
+        if kind in ("nav", "share"):
+            inner = listed(2, 9)
+        elif kind == "header":
+            inner = r.choice((f"<div>{link()}</div>", f"<div>{' '.join(self.word() for _ in range(r.randint(1, 3))).title()}</div>" + listed(2, 6), listed(2, 6), f"<p>{own()} {link()}</p>"))
+        elif kind == "footer":
+            inner = r.choice((f"<p>{own()} {html.escape(self.sentence(1, 6))}</p>", f"&copy; {r.randint(1995, 2025)} {self.word().title()} &middot; {own()}", f"{r.choice(('Copyright', '(c)', 'Copyright &copy;'))} {r.randint(1995, 2025)} {' '.join(self.word() for _ in range(r.randint(1, 3))).title()}. {own()}.", f"<div>{own()} {r.randint(1, 28)}.{r.randint(1, 12)}.{r.randint(1996, 2024)}, {own()}</div>", listed(2, 6), f"<p>{own()}</p>" + listed(1, 4)))
+        elif kind == "side":
+            inner = f"<h3>{own()}</h3>" * (r.random() < 0.7) + listed(3, 8)
+        elif kind == "comment":
+            one = lambda: f"<div><b>{self.word().title()}</b> {r.choice(('says', 'wrote', 'Posted by', 'Reply'))}</div><div>{html.escape(self.prose(2))}</div>" + f"<div>{link()}</div>" * (r.random() < 0.4)
+            inner = f"<h3>{r.choice(('', str(r.randint(1, 99)) + ' '))}{r.choice(('Comments', 'Leave a reply'))}</h3>" + "".join(one() for _ in range(r.randint(1, 4)))
+        elif kind == "form":
+            inner = f"<form action='/s'><label>{own()}</label><input name='q'><button>{own()}</button></form>"
+        else:
+            inner = f"<p>{own()} {html.escape(self.sentence(1, 8))}</p>" + f"<div>{link()}</div>" * (r.random() < 0.5)
+        tag = {"nav": "nav", "header": "header", "footer": "footer", "side": "aside"}.get(kind, "section")
+        return r.choice((f"<{tag} {named}>{inner}</{tag}>", f"<div {named}>{inner}</div>"))
+
     def junk(self, kind: str) -> str:
         """A piece of boilerplate."""
+        if self.plain:
+            return self.plain_junk(kind)
         r, says = self.r, PHRASES[kind]
         short = lambda: r.choice(says) if r.random() < 0.4 else " ".join(self.word() for _ in range(r.randint(1, 4))).title()
         link = lambda: f'<a href="/{self.word()}">{html.escape(short())}</a>'
@@ -135,24 +179,24 @@ class PageMaker:
         """The parts of an article."""
         r, out = self.r, []
         if r.random() < 0.75:
-            h1 = f"<h1>{self.inline(self.sentence(1, 10))}</h1>"
+            h1 = f"<h1>{self.inline(self.title())}</h1>"
             out.append(f"<header>{h1}</header>" if r.random() < 0.08 else h1)
         for _ in range(r.choice((1, 1, 2, 3, 4, 6, 9, 14))):
             kind = r.random()
-            if kind < 0.66:
+            if kind < 0.62:
                 out.append(self.tag("p", self.inline(self.prose(6))))
-            elif kind < 0.72:
-                out.append(f"<p><b>{self.inline(self.prose(2))}<br>")
+            elif kind < 0.68:
+                out.append(f"<p><b>{self.inline(self.prose(2))}<br>" + "</b></p>" * self.plain)
             elif kind < 0.76:
-                out.append(self.tag("p", self.sentence(1, 4)))
+                out.append(self.tag("p", self.sentence(1, 6)))
             elif kind < 0.84:
-                out.append(self.tag(f"h{r.randint(2, 4)}", self.inline(self.sentence(1, 7))))
+                out.append(self.tag(f"h{r.randint(2, 4)}", self.inline(self.title(1, 7))))
             elif kind < 0.89:
-                out.append("<ul>" + "".join(self.tag("li", self.inline(self.sentence(1, 12))) for _ in range(r.randint(1, 5))) + "</ul>")
+                out.append("<ul>" + "".join(self.tag("li", self.inline(self.title(1, 12))) for _ in range(r.randint(1, 5))) + "</ul>")
             elif kind < 0.93:
                 out.append(f"<blockquote>{r.choice((f'<p>{html.escape(self.prose(2))}</p>', html.escape(self.prose(2))))}</blockquote>")
             elif kind < 0.95:
-                out.append(f"<figure><img src='x'><figcaption>{self.sentence()}</figcaption></figure>")
+                out.append(f"<figure><img src='x'><figcaption>{self.title()}</figcaption></figure>")
             elif kind < 0.97:
                 out.append("<table>" + "".join("<tr>" + "".join(self.tag("td", self.word()) for _ in range(3)) + "</tr>" for _ in range(2)) + "</table>")
             elif kind < 0.985:
@@ -161,10 +205,8 @@ class PageMaker:
                 out.append(f"<div>{html.escape(self.prose(3))}</div>")
         return out
 
-    def page(self) -> str:
-        """A page; its main blocks' texts begin with the mark \x01, which label() takes off."""
+    def named_page(self) -> str:
         r = self.r
-        self.noisy = r.random() < 0.15
         main = [_marked(p) for p in self.story()]
         inside = [self.junk(r.choice(("ad", "share", "side", "notice", "form", "footer", "comment"))) for _ in range(r.choice((0, 0, 0, 1, 1, 2)))]
         for j in inside:
@@ -191,17 +233,78 @@ class PageMaker:
         gap = r.choice(("", "\n", "<!-- x -->"))
         return f"<!DOCTYPE html><html>{head}<body>{gap.join([*before, body, *after])}</body></html>"
 
+    def dull(self) -> str:
+        """A name that says nothing."""
+        r = self.r
+        return r.choice((f"css-{r.getrandbits(24):x}", f"{r.choice('abcdxyz')}{r.randint(1, 99)}", f"{self.word() or 'q'}-{r.randint(1, 9)}", f"{r.choice(('box', 'wrap', 'blk', 'cell', 'item', 'part', 'unit', 'txt', 'hl', 'story', 'c', 'l', 'm'))}-{r.randint(1, 60)}", f"sc-{self.word()}{self.word().title()}", r.choice(WRAP)))
+
+    def renamed(self, page: str, tags: bool) -> str:
+        """A page whose names say nothing, the same name for the same part; with tags, all become div."""
+        r, names, bare = self.r, {}, self.r.random() < 0.25
+
+        def change(m: re.Match) -> str:
+            tag = "div" if tags else m[2]
+            if m[1]:
+                return f"</{tag}>"
+            old = " ".join(ATTRIBUTE.findall(m[3]))
+            key = (m[2], old)
+            if key not in names:
+                names[key] = "" if bare or (not old and r.random() < (0.4 if tags else 0.8)) else f' {r.choice(("class", "class", "id"))}="{self.dull()}"'
+            return f"<{tag}{names[key]}{ATTRIBUTE.sub('', m[3])}>"
+
+        return TAGS.sub(change, page)
+
+    def table_page(self) -> str:
+        """A page laid out by tables: a title row, bars of links, a menu beside the text, a last row of notes."""
+        r = self.r
+        link = lambda: f'<a href="{self.word()}.html">{html.escape(" ".join(self.word() for _ in range(r.randint(1, 3))).title())}</a>'
+        cell = lambda inner, more="": f"<td{more}{r.choice(('', ' valign=top', ' align=left', ' bgcolor=#ffffff'))}>{inner}</td>"
+        font = lambda x: r.choice((x, f"<font size={r.randint(1, 4)}>{x}</font>", f"<b>{x}</b>"))
+        title = r.choice((f"<h1>\x01{self.title(1, 8)}</h1>", f"<h2>\x01{self.title(1, 8)}</h2>", f"<p><font size=5>\x01{self.title(1, 8)}</font></p>", ""))
+        texts = [self.inline(self.prose(6)) for _ in range(r.choice((1, 1, 2, 3, 4, 6)))]
+        main = title + r.choice(("".join(f"<p>\x01{t}</p>" for t in texts), "".join(f"<p>\x01{t}" for t in texts), "\x01" + "<br><br>".join(texts), "".join(f"<div>\x01{t}</div>" for t in texts)))
+        bar = r.choice((" | ", " &nbsp; ", " - ", " ")).join(link() for _ in range(r.randint(3, 8)))
+        menu = r.choice(("<br>".join(link() for _ in range(r.randint(3, 9))), "".join(f"<p>{link()}</p>" for _ in range(r.randint(3, 9))), "<ul>" + "".join(f"<li>{link()}" for _ in range(r.randint(3, 9))) + "</ul>", "<table>" + "".join(f"<tr><td>{link()}</td></tr>" for _ in range(r.randint(3, 9))) + "</table>"))
+        says = lambda: r.choice(PHRASES["footer"])
+        notes = r.choice((f"{says()} {r.randint(1, 28)}.{r.randint(1, 12)}.{r.randint(1996, 2012)} {says()} {link()}", f"&copy; {r.randint(1996, 2012)} {self.word().title()}. {says()}", f"{says()} {link()}", bar))
+        rows = [f"<tr>{cell(font(' '.join(self.word() for _ in range(r.randint(1, 4))).title()), ' colspan=2')}</tr>"] * (r.random() < 0.7)
+        rows += [f"<tr>{cell(bar, ' colspan=2')}</tr>"] * (r.random() < 0.6)
+        middle = [cell(main)]
+        if r.random() < 0.8:
+            middle.insert(r.choice((0, 0, 0, 1)), cell(menu, r.choice((" width=150", ' width="20%"', ""))))
+        if r.random() < 0.2:
+            middle.append(cell(r.choice((f"{r.choice(PHRASES['ad'])} {link()}", f"<b>{r.choice(PHRASES['side'])}</b><br>" + "<br>".join(link() for _ in range(4))))))
+        rows.append(f"<tr>{''.join(middle)}</tr>")
+        last = font(notes)
+        if r.random() < 0.5:
+            rows.append(f"<tr>{cell(r.choice(('', '<hr>')) + last, ' colspan=2')}</tr>")
+            last = ""
+        table = f"<table width=100% border=0>{''.join(rows)}</table>"
+        if r.random() < 0.3:
+            table = f"<table><tr><td>{table}</td></tr></table>"
+        return f"<html><head><title>{self.sentence(1, 6)}</title></head><body bgcolor=#ffffff>{table}{r.choice(('', '<hr>', '<p>')) + last}</body></html>"
+
+    def page(self, family: str | None = None) -> str:
+        """A page of a family, or of any; its main blocks' texts begin with the mark \x01, which labelled() takes off."""
+        r = self.r
+        family = family or r.choices(FAMILIES, (13, 3, 4, 3))[0]
+        self.plain, self.noisy = family != "named", r.random() < 0.15 and family == "named"
+        if family == "table":
+            return self.table_page()
+        page = self.named_page()
+        return page if family == "named" else self.renamed(page, family == "flat")
+
 
 def _marked(part: str) -> str:
     """Puts the mark ahead of every text that begins a block of an article's part."""
     return re.sub(r"(<(?:p|h[1-6]|li|blockquote|figcaption|td|pre|div)\b[^>]*>)(?!<p>)", "\\1\x01", part)
 
 
-def labelled(count: int, seed: int) -> list:
-    """Pages as lists of blocks, and their labels."""
+def labelled(count: int, seed: int, families: tuple[str, ...] = ()) -> list:
+    """Pages (of the given families, or of all) as lists of blocks, and their labels."""
     maker, out = PageMaker(seed), []
-    for _ in range(count):
-        own = blocks(maker.page())
+    for n in range(count):
+        own = blocks(maker.page(families[n % len(families)] if families else None))
         labels = ["\x01" in b.text for b in own]
         for b in own:
             b.text = b.text.replace("\x01", "")

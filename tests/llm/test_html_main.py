@@ -27,11 +27,47 @@ def test_query_equals_rule_on_the_whole_table(spark, model):
         assert r["text"] == article_of(pages[r["page_id"]]["html"]) and r["n_chars"] == len(r["text"]) and r["url"] == pages[r["page_id"]]["url"]
 
 
-def test_held_out_accuracy(model):
-    pages = html_pages.labelled(200, 4242)
+def accuracy(model, pages):
     guesses = model.label([p for p, _ in pages])
     pairs = [(a, b) for g, (_, y) in zip(guesses, pages, strict=True) for a, b in zip(g, y, strict=True)]
-    assert sum(a == b for a, b in pairs) / len(pairs) > 0.99
+    return sum(a == b for a, b in pairs) / len(pairs)
+
+
+def test_held_out_accuracy(model):
+    assert accuracy(model, html_pages.labelled(200, 4242, ("named",))) > 0.99
+    for family in html_pages.FAMILIES:
+        assert accuracy(model, html_pages.labelled(200, 4243, (family,))) > 0.95
+
+
+def test_stored_weights_are_those_of_the_recipe(model):
+    import numpy as np
+
+    with np.load(html_main.WEIGHTS) as stored:
+        assert str(stored["recipe"]) == html_main.recipe(*[p.default for p in __import__("inspect").signature(html_main.trained.__wrapped__).parameters.values()])
+        assert all(np.array_equal(stored[k].astype(np.float32), v) for k, v in model.p.items())
+
+
+NEWS = "Council approves new bridge over the river|The city council voted on Tuesday to approve the construction of a new bridge, which is expected to open in three years.|Residents had asked for it for a long time, and many of them came to the meeting to speak in favour of the plan.".split("|")
+#: Layouts that the generator doesn't make: what surrounds the parts of NEWS, and how each part stands.
+FOREIGN = {
+    "divs": ('<div class="c-1"><div><a href=/>Home</a> <a href=/n>News</a> <a href=/s>Sport</a></div></div><div class="story-wrap-7">{}</div><div class="b9">Copyright 2020 The Gazette. All rights reserved.</div>', '<div class="hl">{}</div>', '<div class="txt">{}</div>'),
+    "bare divs": ("<div><div><a href=/>Home</a></div><div><a href=/n>News</a></div><div><a href=/c>Contact</a></div></div><div>{}</div><div><div>© 2021 Site. Privacy policy</div></div>", "<div>{}</div>", "<div>{}</div>"),
+    "tables": ("<table width=100%><tr><td colspan=2><a href=a.html>Home</a> | <a href=b.html>Links</a> | <a href=c.html>Guestbook</a></td></tr><tr><td width=150><a href=1.html>Trout</a><br><a href=2.html>Pike</a><br><a href=3.html>Salmon</a></td><td>{}</td></tr><tr><td colspan=2><font size=1>Last updated 3 May 1998 by the Webmaster</font></td></tr></table>", "<h1>{}</h1>", "<p>{}</p>"),
+    "sections": ('<section class="t0"><ul><li><a href=/>Home</a><li><a href=/w>World</a><li><a href=/t>Tech</a></ul></section><section class="k4">{}</section><section class="z2"><h4>Related articles</h4><ul><li><a href=/1>First other story</a><li><a href=/2>Second other story</a><li><a href=/3>Third story of today</a></ul></section>', "<h2>{}</h2>", "<p>{}</p>"),
+    "comments": ('<div id="root"><div class="css-9x"><a href="/">Start</a><a href="/x">About</a></div><div class="css-77">{}</div><div class="css-4"><div>3 Comments</div><div>Anna says</div><div>I like this very much, thank you.</div></div></div>', '<div class="css-5">{}</div>', '<div class="css-6">{}</div>'),
+}
+
+
+@pytest.mark.parametrize("layout", FOREIGN)
+def test_layouts_that_the_generator_does_not_make(model, layout):
+    around, head, body = FOREIGN[layout]
+    page = "<html><head><title>x</title></head><body>" + around.format(head.format(NEWS[0]) + "".join(body.format(t) for t in NEWS[1:])) + "</body></html>"
+    assert html_main.extract([page], model) == ["\n".join(NEWS)]
+
+
+def test_a_short_article(model):
+    page = '<html><body><div class="m"><a href="/">Start</a> <a href="/x">About</a></div><div class="s"><div class="a1">A short note</div><div class="a2">This is the only paragraph of the story, and it is not very long.</div></div><div class="f">Copyright 2020. All rights reserved.</div></body></html>'
+    assert html_main.extract([page], model) == ["A short note\nThis is the only paragraph of the story, and it is not very long."]
 
 
 def test_usual_boilerplate_goes(model):
