@@ -209,3 +209,68 @@ def test_cross_groups_and_stale(spark):
     one = spark.createDataFrame([("m", "h1"), ("n", "h2")], "module string, input_hash string")
     assert [r["module"] for r in diff.stale(one, one.where("module = 'm'")).collect()] == ["n"]
     assert diff.included(spark.createDataFrame([("a/b.py",), ("dist/c.py",), ("d.log",), ("e.md",), ("x.gen.py",)], "path string"), ["dist"], [], ["*.gen.py"]).count() == 2
+
+
+def test_components_settle_or_fail(spark):
+    import pytest
+
+    chain = spark.range(200).selectExpr("lpad(id, 4, '0') AS src", "lpad(id + 1, 4, '0') AS dst")
+    nodes = spark.range(202).selectExpr("lpad(id, 4, '0') AS node")
+    got = {r["node"]: r["component"] for r in graph.components(nodes, chain).collect()}
+    assert set(got.values()) == {"0000", "0201"} and got["0200"] == "0000"
+    with pytest.raises(RuntimeError, match="settle"):
+        graph.components(nodes, chain, max_rounds=2)
+
+
+def test_neighbours_meet_across_blocks(spark):
+    rows = [("s", 0, n, f"p{n}", n % 7 == 3) for n in range(40)] + [("t", 1, 5, "q", False)]
+    menu = spark.createDataFrame(rows, "section string, section_pos int, pos long, path string, planned boolean")
+    want = [f"p{n}" for n in range(40) if n % 7 != 3]
+    for block in (1, 4, 100):
+        got = {r["path"]: (r["previous"], r["next"]) for r in pages.neighbours(menu, ["section"], block).collect()}
+        assert got.pop("q") == (None, None)
+        assert got == {p: (want[i - 1] if i else None, want[i + 1] if i + 1 < len(want) else None) for i, p in enumerate(want)}
+
+
+def test_handlers_by_parts_of_names(spark):
+    calls = spark.createDataFrame([("XmainY", ["a"]), ("cli", []), ("zz", ["b"])], "qname string, calls array<string>")
+    entries = spark.createDataFrame([("src/main.py",), ("src/cli.py",), ("none.py",), ("z.ts",)], "name string")
+    assert {tuple(r) for r in graph.entry_handlers(entries, calls).collect()} == {("src/main.py", "XmainY"), ("src/cli.py", "cli"), ("none.py", "none"), ("z.ts", "zz")}
+
+
+def test_self_check(spark):
+    files = spark.createDataFrame([("F.md", "---\nname: tool\ndescription: x\n---"), ("a.md", "Reads IT now")], "path string, text string")
+    required = spark.createDataFrame([("F.md",), ("a.md",), ("b.md",)], "path string")
+    got = {r["message"] for r in quality.self_check(files, required, "F.md", "tool", ["reads it"]).collect()}
+    assert got == {"missing required file: b.md", "a.md declares legacy dependency: reads it"}
+    assert quality.self_check(files, required.where("path = 'F.md'"), "F.md", "tool", ["reads it"]).count() == 0
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from tessella.scratch import scratch_root
+
+    def session(master, folder=None):
+        context = SimpleNamespace(applicationId="app-1", master=master, getCheckpointDir=lambda: None)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: folder))
+
+    for master in ("spark://h:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            scratch_root(session(master))
+        assert scratch_root(session(master, "hdfs://n/x/")) == "hdfs://n/x/tessella-app-1"
+    assert scratch_root(session("local[4]")).endswith("/tessella-app-1")
+
+
+def test_scratch_is_released(spark):
+    import os
+
+    from tessella.scratch import discard, materialise, scratch_root
+
+    one, two = materialise(spark.range(3), "one"), materialise(spark.range(4), "two")
+    path = one._scratch
+    assert os.path.isdir(path) and path.startswith(scratch_root(spark))
+    discard(one)
+    assert not os.path.exists(path) and two.count() == 4

@@ -106,6 +106,69 @@ def test_diagrams(spark):
     assert "graph LR\nX" in diagrams.apply_fix(doc, 1, "```mermaid\ngraph LR\nX\n```")
 
 
+FLOW = [
+    ("A[Data Processing] --> B", 'A["Data Processing"] --> B', 1),
+    ("A[Process] --> B", "A[Process] --> B", 0),
+    ('A["Skill.run("message, context")"] --> B["init"]', "A[\"Skill.run('message, context')\"] --> B[\"init\"]", 1),
+    ('A["fn("x", "y")"] --> B["plain"]', "A[\"fn('x', 'y')\"] --> B[\"plain\"]", 1),
+    ("A -->|error handler| B", 'A -->|"error handler"| B', 1),
+    ("api-gw[HTTP 请求] --> chat[POST /api/chat]", 'api-gw["HTTP 请求"] --> chat["POST /api/chat"]', 2),
+    ("C --> WS[WS /ws/{id}]", 'C --> WS["WS /ws/{id}"]', 1),
+    ("MW --> WS[/ws/chat]", 'MW --> WS["/ws/chat"]', 1),
+    ("S(HTTP 请求) --> D{ok?} --> DB[(SQLite DB)]", 'S("HTTP 请求") --> D{"ok?"} --> DB[("SQLite DB")]', 3),
+    ('A(["text x"]) --> B((round x))', 'A(["text x"]) --> B(("round x"))', 1),
+    ("A[open", "A[open", 0),
+    ("style E4 fill:#f9f,stroke:#333", "style E4 fill:#f9f,stroke:#333", 0),
+    ("A[First] --> B\nA[Second] --> C\nA --> D", "A[First] --> B\nA_2[Second] --> C\nA_2 --> D", 1),
+]
+CLASSES = [
+    ('class "Model~TApi~" {\n  +string id\n}\nModel~TApi~ : "tagged with"', 'class "Model<TApi>" as Model {\n  +string id\n}\nModel : "tagged with"', 2),
+    ("  +Record~string,string~ headers", "  +Record<string, string> headers", 1),
+    ("  -Map~string, Api~ registry", "  -Map<string, Api> registry", 1),
+    ("  +result() Promise~Message~", "  +result() Promise<Message>", 1),
+    ("  +process data()", '  +"process data"()', 1),
+    ("  +process()\n  -helper()\n  +get() X[]", "  +process()\n  -helper()\n  +get() X[]", 0),
+    ("A --|> B : extends it", 'A --|> B : "extends it"', 1),
+    ("A --> B : manages", "A --> B : manages", 0),
+    ("class My.Type {", 'class "My.Type" {', 1),
+    ('class "Box~T~"\nBox~T~ --> B : holds', 'class "Box<T>" as Box\nBox --> B : holds', 2),
+]
+
+
+def test_repairs_by_input_and_output():
+    for kind, cases in (("flowchart TD", FLOW), ("classDiagram", CLASSES)):
+        for text, want, n in cases:
+            assert diagrams.fix(f"{kind}\n{text}") == (f"{kind}\n{want}", n), text
+            again = diagrams.fix(f"{kind}\n{want}")
+            assert again == (f"{kind}\n{want}", 0), want
+    assert diagrams.fix("sequenceDiagram\nA->>B:send request\nA->>B:hello\nactor P as My App") == ('sequenceDiagram\nA->>B:"send request"\nA->>B:hello\nactor P as "My App"', 2)
+    assert diagrams.fix("sequenceDiagram\nA->>B:send request", thorough=False)[1] == 0
+    assert diagrams.fix("erDiagram\nUSER ||--o{ ORDER : places\nMY-T.x {\n  string id\n}") == ("erDiagram\nUSER ||--o{ ORDER : places\nMY_T_x {\n  string id\n}", 1)
+    assert diagrams.fix("pie title Languages\n\"Python\" : 40") == ('pie title Languages\n"Python" : 40', 0)
+
+
+def test_excludes_of_a_configuration():
+    assert tree.excludes("a: 1\nexclude:\n  - dist # built\n  - 'x y'\n  - '**/*.log'\n  -\nb:\n  - no\n") == (["dist", "x y"], ["/*.log"])
+    assert tree.excludes("exclude: [a, 'b', \"*.c\"]\n") == (["a", "b"], [".c"])
+    assert tree.excludes("") == ([], [])
+
+
+def test_a_table_is_replaced_by_what_is_read_from_it(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.replace(spark.range(5), path)
+    for n in (4, 3):
+        sinks.replace(spark.read.parquet(path).where(f"id < {n}"), path)
+        assert spark.read.parquet(path).count() == n
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_trees_are_written_and_read_back(spark, tmp_path):
+    rows = [("a/b.py", "x"), ("c.md", None), (".h/d", "é")]
+    assert sinks.tree(spark.createDataFrame(rows, "path string, text string"), str(tmp_path / "r")) == 3
+    assert {(r["path"], r["text"]) for r in tree.read_tree(spark, str(tmp_path / "r")).collect()} == {("a/b.py", "x"), ("c.md", ""), (".h/d", "é")}
+    assert sinks.tree(spark.createDataFrame([], "path string, text string"), str(tmp_path / "e")) == 0
+
+
 def test_sinks(spark, tmp_path):
     path = str(tmp_path / "t")
     part = lambda rows: spark.createDataFrame(rows, "k string, v int, part int")
