@@ -8,6 +8,10 @@ encoded once, and the ids go back to each block in the order of its words. There
 the texts by position. A frequent word thus crosses an exchange once a block, however often it occurs.
 Words, ids and texts travel compressed.
 
+Buckets grow with the root of the input's size, so that neither their number nor what one holds grows in
+proportion to it. A task remembers a bounded number of a bucket's words; beyond it forgets them, and a
+word that comes again is encoded again.
+
 Block numbers come from partition and position. Should a re-run deal rows differently, a bucket
 whose checksum differs is left aside and its words are encoded on the spot, so results stay whole.
 
@@ -37,6 +41,8 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LOOSE = re.compile(f" (?=[{SPACE}]|\\Z)")
 BREAK = re.compile(f" (?=[^{SPACE}])")
 BLOCK_CHARS = 12_000_000
+#: Words of a bucket that a task remembers.
+MOST_WORDS = 1_000_000
 
 _loaded: dict[str, tuple] = {}
 
@@ -132,6 +138,8 @@ def _encode_words(path: str):
                 if k != bucket:
                     bucket, known = k, {}
                 words = unsqueeze(blob)
+                if len(known) > MOST_WORDS:
+                    known = {}
                 new = [w for w in words if w not in known]
                 for at in range(0, len(new), 8192):
                     part = new[at : at + 8192]
@@ -214,7 +222,9 @@ def encode(df: DataFrame, tokenizer: str, key: str = "doc_id", text_col: str = "
     key: a column of long or string."""
     kind = "string" if df.schema[key].dataType.simpleString() == "string" else "long"
     source = df.select(F.col(key).cast(kind).alias("key"), F.col(text_col).alias("text"))
-    buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(4 * partitions, min(1 << 16, int(4 * (size / BLOCK_CHARS) ** 0.5)))
     words = source.mapInArrow(_distinct_words(tokenizer, buckets), "bucket int, block long, words binary")
     ids = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(tokenizer), "bucket int, block long, check long, ids binary")
     texts = source.mapInArrow(_packed_texts, f"block long, keys array<{kind}>, blob binary")

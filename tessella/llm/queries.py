@@ -90,4 +90,14 @@ ORACLE_SQL = {
         FROM documents
         WINDOW g AS (PARTITION BY coalesce(text, ''))
     """,
+    # Base32 by hand: of each five bits of the SHA-1, out of the two hex digits that hold them.
+    "op7_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+        d AS (
+          SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, max(page_id) OVER (PARTITION BY html) AS keeper,
+                 array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (5 * i // 4 + 1)::INT, 2))::INT >> (3 - 5 * i % 4)::INT) & 31) + 1, 1)), '') AS payload_digest
+          FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+        FROM d
+    """,
 }

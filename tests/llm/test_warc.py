@@ -23,6 +23,16 @@ def test_query_equals_brute_force(spark, sf):
     assert {tuple(r) for r in queries.op7_warc(spark, sf).collect()} == brute(pages)
 
 
+def test_query_equals_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    result = con.execute(queries.ORACLE_SQL["op7_warc"])
+    names = [c[0] for c in result.description]
+    assert {tuple(r) for r in queries.op7_warc(spark, sf).select(*names).collect()} == set(result.fetchall())
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "http://a/\r\nX: y", ""), (3, "u", "é" * 70_000), (4, "u", "é" * 70_000), (5, "u", "a\r\n\r\nb"), (7, "u", "x" * 3_000_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
