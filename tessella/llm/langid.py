@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -220,11 +220,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def language(text: Column, model: ByteConvNet | None) -> Column:
     """struct(lang_pred, score) of the whole text."""
 
-    @F.pandas_udf("lang_pred string, score double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            labels, scores = model.predict(iter(texts)) if model else ([UNKNOWN] * len(texts), [0.0] * len(texts))
-            yield pd.DataFrame({"lang_pred": labels, "score": scores})
+            labels, scores = model.predict(iter(texts.to_pylist())) if model else ([UNKNOWN] * len(texts), [0.0] * len(texts))
+            yield pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     return run(text)
 
@@ -285,11 +285,13 @@ def familiarise(texts: list[str], labels: list[str], tolerance: float = 0.8, qua
 def judged(text: Column, model: ByteConvNet, familiar: Familiar) -> Column:
     """struct(lang_pred, score, familiar: whether the whole text looks like that language), in one pass."""
 
-    @F.pandas_udf("lang_pred string, score double, familiar boolean")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+    @F.arrow_udf("lang_pred string, score double, familiar boolean")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            texts = batch.to_pylist()
             labels, scores = model.predict(iter(texts))
-            yield pd.DataFrame({"lang_pred": labels, "score": scores, "familiar": [familiar.accepts(t, g) for t, g in zip(texts, labels, strict=True)]})
+            known = [familiar.accepts(t, g) for t, g in zip(texts, labels, strict=True)]
+            yield pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array(known, pa.bool_())], ["lang_pred", "score", "familiar"])
 
     return run(text)
 

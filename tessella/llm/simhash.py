@@ -25,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -57,10 +56,10 @@ def fingerprint_bytes(text: str | None, shingle: int = 3, seed: int = 42) -> byt
 def fingerprint(text: Column, shingle: int = 3, seed: int = 42) -> Column:
     """The fingerprint as a long."""
 
-    @F.pandas_udf("long")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series([int.from_bytes(fingerprint_bytes(t, shingle, seed), "big", signed=True) for t in texts], dtype="int64")
+            yield pa.array([int.from_bytes(fingerprint_bytes(t, shingle, seed), "big", signed=True) for t in texts.to_pylist()], pa.int64())
 
     return run(text)
 
