@@ -1,7 +1,7 @@
 """Document fingerprints as invertible Bloom lookup sketches, in DataFrame expressions only.
 
-A document's paragraphs (lines) are cut into pieces: of eight words, then up to the end of a sentence, of
-24 words at most; the text's first word is a piece of its own, and a word counts as several if it has
+A document's paragraphs (lines) are cut into pieces: of twelve words, then up to the end of a sentence, of
+32 words at most; the text's first word is a piece of its own, and a word counts as several if it has
 over 64 characters. So pieces are bounded, where they end depends on the text before them within a line
 alone, and texts that share a beginning, a line or a long passage share pieces. The distinct pieces are
 hashed to 64-bit digests. A sketch has cells of (count, key, check): every digest is added to one cell
@@ -49,8 +49,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 _SPACE = " \t\n\x0b\f\r"
 _WORD = r"\S{1,64}+"
 _GAP = r"[^\S\n]{0,64}+(?!\n)"
-#: White space, or a piece: the first word; or seven words, then such as end no sentence, then one.
-PIECE = rf"\s{{1,64}}+|(\A{_WORD}\s{{0,64}}+|(?:{_WORD}{_GAP}){{0,7}}+(?:{_WORD}(?<![.!?…。！？]){_GAP}){{0,16}}+(?:{_WORD}\s{{0,64}}+)?+)"
+#: White space, or a piece: the first word; or eleven words, then such as end no sentence, then one.
+PIECE = rf"\s{{1,64}}+|(\A{_WORD}\s{{0,64}}+|(?:{_WORD}{_GAP}){{0,11}}+(?:{_WORD}(?<![.!?…。！？]){_GAP}){{0,20}}+(?:{_WORD}\s{{0,64}}+)?+)"
 
 
 def digests(text: Column) -> Column:
@@ -98,11 +98,13 @@ def peel(cells: Column, shape: tuple[int, int]) -> Column:
         return F.transform(cs, lambda c, i: F.aggregate(found, c, lambda acc, f: F.when(_hits(f["key"], i, shape), without(acc, f)).otherwise(acc)))
 
     def turn(state: Column, _: Column) -> Column:
-        step = lambda found: F.when(F.size(found) == 0, state).otherwise(F.struct(take(state["cells"], found).alias("cells"), F.concat(state["found"], found).alias("found")))
-        return F.when(state["cells"].isNull(), state).otherwise(let(pure(state["cells"]), step))
+        """Once a turn finds nothing, no later one would: they pass the state on as it is."""
+        same = F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(True).alias("done"))
+        step = lambda found: F.when(F.size(found) == 0, same).otherwise(F.struct(take(state["cells"], found).alias("cells"), F.concat(state["found"], found).alias("found"), F.lit(False).alias("done")))
+        return F.when(state["done"] | state["cells"].isNull(), state).otherwise(let(pure(state["cells"]), step))
 
     turns = 6 + 2 * shape[0]
-    begin = F.struct(cells.alias("cells"), F.array().cast("array<struct<key:bigint,sign:int>>").alias("found"))
+    begin = F.struct(cells.alias("cells"), F.array().cast("array<struct<key:bigint,sign:int>>").alias("found"), F.lit(False).alias("done"))
     end = F.aggregate(F.sequence(F.lit(1), F.lit(turns)), begin, turn)
     clean = lambda s: F.when(~F.exists(s["cells"], lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["chk"] != 0)), s["found"])
     return let(end, clean)

@@ -11,7 +11,7 @@ SPACE = " \t\n\x0b\f\r"
 
 
 def pieces(text):
-    """Letter by letter: the first word, then pieces of eight words and up to a sentence's or line's end, 24 at most."""
+    """Letter by letter: the first word, then pieces of twelve words and up to a sentence's or line's end, 32 at most."""
     out, at, n = [], 0, len(text)
 
     def word(e):
@@ -37,7 +37,7 @@ def pieces(text):
         while e < n and text[e] not in SPACE:
             count, w = count + 1, word(e)
             e = gap(w, True)
-            if e < n and text[e] == "\n" or count == 24 or (count > 7 and text[w - 1] in ".!?…。！？"):
+            if e < n and text[e] == "\n" or count == 32 or (count > 11 and text[w - 1] in ".!?…。！？"):
                 e = gap(w, False)
                 break
         out.append(text[at:e])
