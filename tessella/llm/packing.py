@@ -18,7 +18,7 @@ result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,9 +36,10 @@ TAIL = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
 
 class WordTokenizer:
     """Ids of whole texts for a tokenizer whose words never span white space, end in a marked piece and are
-    independent of each other. A chunk between white space is encoded once a worker and remembered."""
+    independent of each other. A chunk between white space is encoded once a worker and remembered, in two
+    generations of bounded size: what isn't met again while a new one fills is forgotten with the older."""
 
-    LIMIT = 1_500_000
+    LIMIT = 450_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -48,6 +49,7 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for p, i in vocab.items() if p.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _plain(self, words: list[str]) -> None:
         """Words of letters alone: encoded as one text and cut at the marked pieces."""
@@ -66,29 +68,36 @@ class WordTokenizer:
             for c, e in zip(part, self.full.encode_batch(part, add_special_tokens=False), strict=True):
                 self.known[c] = np.array(e.ids, "<u4").tobytes()
 
+    def missing(self, chunks: Iterable[str]) -> set[str]:
+        """Those that neither generation knows; what the older one knows passes to the new one."""
+        out = set()
+        for c in chunks:
+            if c not in self.known:
+                if (ids := self.older.get(c)) is None:
+                    out.add(c)
+                else:
+                    self.known[c] = ids
+        return out
+
     def learn(self, chunks: set[str]) -> None:
         new = chunks.difference(self.known)
         if len(self.known) + len(new) > self.LIMIT:
-            self.known = {}
+            self.older, self.known = self.known, {}
             new = chunks
+        new = self.missing(new)
         if not new:
             return
         # The tokenizer lowers case, so letters alone are looked up and encoded in lower case.
-        plain, parts, other = set(), [], []
+        parts, other = [], []
         for c in new:
             if PLAIN.fullmatch(c):
                 parts.append((c, c.lower(), ""))
             elif m := TAIL.fullmatch(c):
                 parts.append((c, m[1].lower(), m[2]))
-                if m[2] not in self.known:
-                    other.append(m[2])
             else:
                 other.append(c)
-                continue
-            if parts[-1][1] not in self.known:
-                plain.add(parts[-1][1])
-        self._plain(list(plain))
-        self._each(list(dict.fromkeys(other)))
+        self._each([*other, *self.missing({tail for _, _, tail in parts if tail})])
+        self._plain(list(self.missing({word for _, word, _ in parts})))
         for c, word, tail in parts:
             self.known[c] = self.known[word] + self.known[tail] if tail else self.known[word]
 
@@ -249,7 +258,7 @@ def powers(bin_: list[Item]) -> Iterator[list[Item]]:
         yield out
 
 
-def pack_items(items: Iterator[Item], max_tokens: int, max_segments: int, max_loss: int, cuttable: bool = True, pool: int = 4096) -> Iterator[list[Item]]:
+def pack_items(items: Iterator[Item], max_tokens: int, max_segments: int, max_loss: int, cuttable: bool = True, pool: int = 1024) -> Iterator[list[Item]]:
     """Sequences, as lists of items. Without cutting, an item that exceeds a limit by itself is still cut."""
     packer = Packer((max_tokens, max_segments, max_loss), cuttable, pool)
 
@@ -311,7 +320,7 @@ def pack(df: DataFrame, tokenizer: str, key: str = "doc_id", text_col: str = "te
                 rows.append((i.key, i.start, len(i.ids), i.ids.tobytes(), i.total, base + number, offset))
                 offset += len(i.ids)
             number += 1
-            if len(rows) >= 4096:
+            if len(rows) >= 512:
                 yield columns()
                 rows.clear()
         if rows:
