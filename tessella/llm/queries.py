@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, exact_dedup, html_main, iblt, langid, license_scan, packing, sharding, simhash, warc
+from tessella.llm import alignment, bpe, exact_dedup, html_main, iblt, langid, license_scan, packing, sharding, simhash, url_filter, warc, whitening
 from tessella.session import ship
 
 
@@ -78,7 +78,29 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.versions(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_html_extraction, op3_language_id, op4_bpe, op5_exact_dedup, op6_license_scan, op7_warc, op8_simhash, op9_sharding, op10_fingerprints)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 11 over all embeddings: up to 32 whitened components from an exact scatter matrix. A deviation that is no long is an error."""
+    done = whitening.whiten(_read(spark, sf_dir, "embeddings"))
+    return done.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+#: The rules that all URLs are judged by first.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 12 over all pages: rules first, then logistic regression on hashed character n-grams."""
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    model = url_filter.fit(url_filter.labelled_table(spark))
+    return url_filter.judged(pages, model, URL_RULES).drop("url")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 13 over all documents: two tokenizers aligned by distinct segments, links rated by documents that hold them."""
+    return alignment.align(_read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_html_extraction, op3_language_id, op4_bpe, op5_exact_dedup, op6_license_scan, op7_warc, op8_simhash, op9_sharding, op10_fingerprints, op11_whitening, op12_url_filter, op13_alignment)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": """
