@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.bpe import BLOCK_CHARS, SPACE, byte_of_char, squeeze, unsqueeze
-from tessella.llm.store import materialise
+from tessella.llm.store import discard, materialise
 
 #: Distinct segments of a block, segments of a stored row, and bytes of alignments that a task remembers.
 MOST_DISTINCT = 400_000
@@ -202,7 +202,7 @@ def _align(path_a: str, path_b: str):
                     size += sum(map(len, part)) + sum(len(x[3]) + len(x[4]) + 200 for x in done)
                 rows = [known[s] for s in segments]
                 counts = np.array([(*r[:3], len(r[3]) // 8) for r in rows], "<u4").reshape(-1, 4)
-                out.append(squeeze([numbers, counts.tobytes(), b"".join(r[3] for r in rows), b"\n".join(r[4] for r in rows)], 3))
+                out.append(squeeze([numbers, counts.tobytes(), b"".join(r[3] for r in rows), b"\n".join(r[4] for r in rows)]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["block", "blob"])
 
     return run
@@ -312,6 +312,7 @@ def align(df: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text_col
     documents = stored.where("bucket is null").select("block", "keys", "blob")
     composed = documents.groupBy("block").cogroup(aligned.groupBy("block")).applyInArrow(_compose(second), f"block long, keys array<{kind}>, blob binary, pairs array<struct<i: int, a: int, b: int, docs: long>>")
     composed = materialise(composed, "composed")
+    discard(stored)
 
     pairs = composed.where("keys is null").select(F.col("block").alias("home"), F.inline("pairs"))
     held = pairs.groupBy("a", "b").agg(F.sum("docs").alias("docs"))

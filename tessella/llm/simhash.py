@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.store import discard, fresh, materialise, without
+from tessella.llm.store import discard, exactly, fresh, materialise, suspects
 
 BLOCK = 1 << 18
 
@@ -228,9 +228,15 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.join(looked_up, ["run", "fp"]).select(F.col("id").alias(id_col), hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """df with one document of each near group: the one whose id is the component's. Rows without id stay."""
-    (gone,) = fresh(df, "gone")
-    groups = near_components(df.where(F.col(id_col).isNotNull()), id_col, text_col, **options)
-    left = materialise(groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone)).distinct(), "gone")
-    return without(df, left, [(id_col, gone)])
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, **options) -> DataFrame:
+    """df with one document of each near group: the one whose id is the component's. Rows without id stay.
+
+    A row goes by its id and its fingerprint. Of rows that share an id each is judged by its own text; those of a
+    group that share the smallest id all stay.
+    """
+    gone, gone_print, own = fresh(df, "gone", "gone_print", "own_print")
+    groups = near_components(df.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, seed, **options)
+    left = materialise(groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone), F.col("fingerprint").alias(gone_print)).distinct(), "gone")
+    marked, suspect = suspects(df, left, [(id_col, gone)])
+    some = marked.where(F.col(suspect)).drop(suspect).withColumn(own, hex_fingerprint(fingerprint(F.col(text_col), shingle, seed)))
+    return marked.where(~F.col(suspect)).drop(suspect).unionByName(exactly(some, left, [(id_col, gone), (own, gone_print)], "left_anti").drop(own))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.scratch import discard, materialise, release, scratch_root
 
-__all__ = ["discard", "fresh", "materialise", "release", "scratch_root", "text_or_empty", "within", "without"]
+__all__ = ["discard", "exactly", "fresh", "materialise", "release", "scratch_root", "suspects", "text_or_empty", "within", "without"]
 
 #: Bits of a bitmap that is broadcast: eight megabytes at most.
 MOST_BITS = 1 << 26
@@ -30,7 +30,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def _suspects(df: DataFrame, listed: DataFrame, on: list[tuple[str, str]]) -> tuple[DataFrame, str]:
+def suspects(df: DataFrame, listed: DataFrame, on: list[tuple[str, str]]) -> tuple[DataFrame, str]:
     """df with a column that is false only where a row's key surely isn't listed, and that column's name.
 
     The listed keys' hashes are bits of a bitmap, sixteen for a key as long as it is within its bound; it is
@@ -48,7 +48,8 @@ def _suspects(df: DataFrame, listed: DataFrame, on: list[tuple[str, str]]) -> tu
     return met.withColumn(suspect, F.coalesce(F.call_function("shiftright", byte, hit).bitwiseAND(F.lit(1)) == 1, F.lit(False))).drop(place, page, bits), suspect
 
 
-def _exactly(df: DataFrame, listed: DataFrame, on: list[tuple[str, str]], how: str) -> DataFrame:
+def exactly(df: DataFrame, listed: DataFrame, on: list[tuple[str, str]], how: str) -> DataFrame:
+    """A join of that kind on equal keys, nulls being equal."""
     same = F.lit(True)
     for a, b in on:
         same = same & df[a].eqNullSafe(listed[b])
@@ -61,12 +62,12 @@ def without(df: DataFrame, listed: DataFrame, on: list[tuple[str, str]]) -> Data
     Rows that a bitmap rules out stay where they are; only the others, mostly those that go, are shuffled to an
     exact anti-join. With a list far beyond the bitmap's bound all are, and the result is the same.
     """
-    marked, suspect = _suspects(df, listed, on)
+    marked, suspect = suspects(df, listed, on)
     sure = marked.where(~F.col(suspect)).drop(suspect)
-    return sure.unionByName(_exactly(marked.where(F.col(suspect)).drop(suspect), listed, on, "left_anti"))
+    return sure.unionByName(exactly(marked.where(F.col(suspect)).drop(suspect), listed, on, "left_anti"))
 
 
 def within(df: DataFrame, listed: DataFrame, on: list[tuple[str, str]]) -> DataFrame:
     """The rows of df whose key is among those of a stored list; rows that a bitmap rules out aren't shuffled."""
-    marked, suspect = _suspects(df, listed, on)
-    return _exactly(marked.where(F.col(suspect)).drop(suspect), listed, on, "left_semi")
+    marked, suspect = suspects(df, listed, on)
+    return exactly(marked.where(F.col(suspect)).drop(suspect), listed, on, "left_semi")

@@ -1,7 +1,7 @@
 import numpy as np
 
 import corpus_pipeline as cp
-from tessella.llm import near_sets
+from tessella.llm import near_sets, simhash
 
 
 def brute_set(text, size=5):
@@ -9,23 +9,26 @@ def brute_set(text, size=5):
     return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
 
 
-def brute_kept(texts):
-    """texts: {id: text}; the ids whose component at a Jaccard similarity of 0.8 has no smaller one."""
-    ids, sets = sorted(texts), {i: brute_set(t) for i, t in texts.items()}
-    parent = {i: i for i in ids}
+def brute_kept(rows):
+    """rows: (id, text) in any number; those whose component at a Jaccard similarity of 0.8 has no smaller id, in order."""
+    rows, sets = list(rows), [brute_set(t) for _, t in rows]
+    parent = list(range(len(rows)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for n, i in enumerate(ids):
-        for j in ids[n + 1 :]:
-            a, b = sets[i], sets[j]
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            b = sets[j]
             if 4 * max(len(a), len(b)) <= 5 * min(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b):
-                x, y = find(i), find(j)
-                parent[max(x, y)] = min(x, y)
-    return {i for i in ids if find(i) == i}
+                parent[find(j)] = find(i)
+    least = {}
+    for n, (i, _) in enumerate(rows):
+        root = find(n)
+        least[root] = min(least.get(root, i), i)
+    return [r for n, r in enumerate(rows) if least[find(n)] == r[0]]
 
 
 def test_stage_equals_brute_force_at_0_8(spark, docs_of):
@@ -43,6 +46,28 @@ def test_stage_equals_brute_force_at_0_8(spark, docs_of):
     order = rng.permutation(len(texts)).tolist()
     df = docs_of(list(zip(order, texts, strict=True)))
     got = {r["doc_id"] for r in dict(cp.STAGES)["simhash_near_dedup"](spark, df, "").collect()}
-    assert got == (want := brute_kept(dict(zip(order, texts, strict=True))))
+    assert got == (want := {i for i, _ in brute_kept(list(zip(order, texts, strict=True)))})
     assert 30 < len(want) < len(texts)
     assert {r["doc_id"] for r in near_sets.keep_one(df, sample=0).collect()} == want
+
+
+def test_rows_that_share_an_id_go_by_their_own_text(docs_of):
+    t, u, v = ("".join(f"{w}{i} " for i in range(60)) for w in "tuv")
+    rows = [(1, t), (2, t + " end"), (2, u), (3, v), (4, v + " more"), (1, u + " x"), (5, ""), (6, None)]
+    for rows_ in (rows[:4], rows):
+        want = brute_kept(rows_)
+        df = docs_of(rows_)
+        assert sorted(((r["doc_id"], r["text"]) for r in near_sets.keep_one(df).collect()), key=str) == sorted(want, key=str)
+        assert {(1, t), (2, u), (3, v)} <= {(r["doc_id"], r["text"]) for r in simhash.keep_one(df).collect()} | ({(2, u)} if rows_ is rows else set())
+    assert (2, u) in brute_kept(rows[:4])
+
+
+def test_a_hub_and_a_common_line(docs_of):
+    """Many near copies of one text, and a line that a part of all texts share: one link a copy, and no text without copies goes."""
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(200)]
+    line = " ".join(f"c{i}" for i in range(8))
+    rows = [(i, " ".join([*base[:190], f"x{i}"])) for i in range(1500)]
+    rows += [(2000 + i, f"{line} " + " ".join(f"w{n}" for n in rng.integers(0, 10**6, 12))) for i in range(1500)]
+    kept = {r["doc_id"] for r in near_sets.keep_one(docs_of(rows).repartition(4)).collect()}
+    assert kept == {0, *range(2000, 3500)}
