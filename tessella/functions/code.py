@@ -1,10 +1,9 @@
 """Parsing of source files: definitions, calls, imports, doc comments, complexity.
 
-Python is parsed by its own grammar. TypeScript, JavaScript, Go, Rust, Java and Kotlin are read by
-lexers: comments and strings are blanked out, then declarations are matched and bodies found by their
-braces. That is an approximation: nested generics in a signature, macros, regular-expression literals
-with braces and template strings with code in them can mislead it. A Python file with a syntax error has
-no definitions, calls or imports; its measures fall back to lines. One Arrow-batched UDF gives it all.
+Python is parsed by its own grammar, the languages with braces by tokens (``braces``). A file with a syntax
+error has no definitions, calls or imports; its measures fall back to lines. ``parsed`` gives it all as one Arrow
+column; ``parsed_once`` keeps the results in a stored table by content, so that equal sources, and later
+queries over the same ones, are parsed once.
 """
 
 from __future__ import annotations
@@ -13,93 +12,23 @@ import ast
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
+from tessella.functions.braces import READERS, TAGGED
 from tessella.functions.rules import LANGUAGE_OF, MAX_CALLS, NOT_CALLS
+from tessella.scratch import materialise
 
 SCHEMA = "language string, definitions array<struct<name:string,kind:string,line:int,end_line:int,parent:string>>, calls array<struct<qname:string,line:int,calls:array<string>>>, imports array<string>, docs array<struct<name:string,type:string,description:string,params:array<struct<name:string,type:string,description:string>>,returns:string,examples:array<string>,line:int>>, complexity int, important_lines int"
 
-#: Words that open declarations and control flow, by language.
-DECLARED = {
-    "javascript": [("class", r"\bclass\s+([A-Za-z_$][\w$]*)"), ("function", r"\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)\s*\("), ("function", r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=;]+)?=\s*(?:async\s*)?(?:function\b|\([^()]*\)\s*(?::[^=>{]+)?=>|[A-Za-z_$][\w$]*\s*=>)"), ("interface", r"\binterface\s+([A-Za-z_$][\w$]*)"), ("type", r"\btype\s+([A-Za-z_$][\w$]*)\s*(?:<[^=]*>)?="), ("enum", r"\benum\s+([A-Za-z_$][\w$]*)")],
-    "go": [("method", r"\bfunc\s+\(\s*\w*\s*\*?([A-Za-z_]\w*)[^)]*\)\s*([A-Za-z_]\w*)\s*\("), ("function", r"\bfunc\s+([A-Za-z_]\w*)\s*[\(\[]"), ("struct", r"\btype\s+([A-Za-z_]\w*)\s+struct\b"), ("interface", r"\btype\s+([A-Za-z_]\w*)\s+interface\b")],
-    "rust": [("function", r"\bfn\s+([A-Za-z_]\w*)"), ("struct", r"\bstruct\s+([A-Za-z_]\w*)"), ("enum", r"\benum\s+([A-Za-z_]\w*)"), ("trait", r"\btrait\s+([A-Za-z_]\w*)"), ("impl", r"\bimpl\b(?:\s*<[^>]*>)?\s+(?:[\w:<>, ]+\s+for\s+)?([A-Za-z_]\w*)")],
-    "java": [("class", r"\bclass\s+([A-Za-z_]\w*)"), ("interface", r"\binterface\s+([A-Za-z_]\w*)"), ("enum", r"\benum\s+([A-Za-z_]\w*)"), ("method", r"(?m)^[ \t]*(?:(?:public|protected|private|static|final|abstract|synchronized|native|default)\s+)+(?:<[^>]+>\s*)?[\w<>\[\],.? ]+?\s+([A-Za-z_]\w*)\s*\([^;{}]*\)\s*(?:throws[\w,. ]+)?\{")],
-    "kotlin": [("class", r"\bclass\s+([A-Za-z_]\w*)"), ("interface", r"\binterface\s+([A-Za-z_]\w*)"), ("object", r"\bobject\s+([A-Za-z_]\w*)"), ("function", r"\bfun\s+(?:<[^>]+>\s*)?(?:[\w.]+\.)?([A-Za-z_]\w*)\s*\(")],
-}
-DECLARED["typescript"] = DECLARED["javascript"]
-SCOPES = {"class", "impl", "trait", "interface", "object"}
-CONTROL = {"javascript": r"\b(?:if|for|while|switch|try|catch)\b", "go": r"\b(?:if|for|switch|select)\b", "rust": r"\b(?:if|for|while|loop|match)\b", "java": r"\b(?:if|for|while|switch|try|catch)\b", "kotlin": r"\b(?:if|for|while|when|try|catch)\b"}
-CONTROL["typescript"] = CONTROL["javascript"]
-IMPORTED = {"javascript": r"""(?:\bimport\s+(?:[^'";]*?\s+from\s+)?|\bexport\s+[^'";]*?\s+from\s+|\brequire\s*\(\s*|\bimport\s*\(\s*)['"]([^'"]+)['"]""", "java": r"(?m)^\s*import\s+(?:static\s+)?([\w.*]+)\s*;", "kotlin": r"(?m)^\s*import\s+([\w.*]+)", "rust": r"(?m)^\s*(?:pub\s+)?use\s+([^;{]+)"}
-IMPORTED["typescript"] = IMPORTED["javascript"]
-METHOD = re.compile(r"(?m)^[ \t]*(?:(?:public|private|protected|static|async|get|set|readonly|override)\s+)*([A-Za-z_$#][\w$]*)\s*(?:<[^>]*>)?\([^;{}]*\)\s*(?::[^{;=]+)?\{")
-CALL = re.compile(r"(?<![\w$.])((?:[A-Za-z_$][\w$]*\.)*[A-Za-z_$][\w$]*)\s*\(")
 OPEN_WORK = re.compile(r"(?:TODO|FIXME|HACK|NOTE|WARN|XXX)\s*[:\(]")
-BLANK = re.compile(r"""/\*.*?\*/|//[^\n]*|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`""", re.S)
 
 
-def blanked(text: str, lang: str, strings: bool = True) -> str:
-    """Comments, and strings if so asked, as spaces; line ends stay."""
-    keep = lambda m: m[0] if not strings and m[0][0] in "\"'`" else re.sub(r"[^\n]", " ", m[0])
-    # In Rust a single quote mostly opens a lifetime, not a string.
-    pattern = re.compile(BLANK.pattern.replace(r"|'(?:\\.|[^'\\\n])*'", r"|'(?:\\.|[^'\\\n])'"), re.S) if lang == "rust" else BLANK
-    return pattern.sub(keep, text)
-
-
-def body_end(text: str, at: int) -> int:
-    """Where the block that opens at or after a place ends; the end of the line if none opens before ';'."""
-    opening = re.compile(r"[{;]").search(text, at)
-    if not opening or opening[0] == ";":
-        return opening.start() if opening else len(text)
-    depth = 0
-    for m in re.compile(r"[{}]").finditer(text, opening.start()):
-        depth += 1 if m[0] == "{" else -1
-        if not depth:
-            return m.end()
-    return len(text)
-
-
-def line_of(text: str, at: int) -> int:
-    return text.count("\n", 0, at) + 1
-
-
-def braces(text: str, lang: str) -> list[dict]:
-    """Definitions of a language with braces, in order of lines."""
-    clean, out, seen = blanked(text, lang), [], set()
-
-    def add(name: str, kind: str, start: int, after: int, parent: str = "") -> None:
-        if (name, kind, start) not in seen and name not in NOT_CALLS:
-            seen.add((name, kind, start))
-            end = body_end(clean, after)
-            out.append({"name": name, "kind": kind, "line": line_of(clean, start), "end_line": line_of(clean, max(start, end - 1)), "parent": parent, "_at": (start, after, end)})
-
-    for kind, pattern in DECLARED[lang]:
-        for m in re.finditer(pattern, clean):
-            if kind == "method" and lang == "go":
-                add(m[2], kind, m.start(), m.end() - 1, m[1])
-            else:
-                start = m.start(1) if lang == "java" and kind == "method" else m.start()
-                add(m[1], kind, start, m.end() - (clean[m.end() - 1] == "{"))
-    scopes = [d for d in out if d["kind"] in SCOPES]
-    if lang in ("javascript", "typescript"):
-        for s in [d for d in scopes if d["kind"] == "class"]:
-            a, b = s["_at"][1], s["_at"][2]
-            for m in METHOD.finditer(clean, clean.find("{", a) + 1, b):
-                if m[1] not in NOT_CALLS:
-                    add(m[1], "method", m.start(1), m.end() - 1, s["name"])
-    for d in out:
-        around = [s for s in scopes if s is not d and s["_at"][0] < d["_at"][0] < s["_at"][2]]
-        if around and not d["parent"]:
-            d["parent"] = max(around, key=lambda s: s["_at"][0])["name"]
-            d["kind"] = "method" if d["kind"] == "function" else d["kind"]
-    return sorted((d for d in out if d["kind"] != "impl"), key=lambda d: (d["line"], d["name"]))
-
-
-def qualified(d: dict) -> str:
-    return f"{d['parent']}.{d['name']}" if d["parent"] else d["name"]
+def qualified(name: str, parent: str) -> str:
+    return f"{parent}.{name}" if parent else name
 
 
 def tidy_calls(names: list[str], own: str) -> list[str]:
@@ -121,24 +50,25 @@ def parse_python(text: str) -> dict:
             return f"{inner}.{node.attr}" if inner else ""
         return ""
 
-    def walk(node: ast.AST, parent: str) -> None:
+    def walk(node: ast.AST, parent: str, top: bool = False) -> None:
+        """parent: the outermost class around."""
         nonlocal control
         for child in ast.iter_child_nodes(node):
             inside = parent
             if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 kind = "class" if isinstance(child, ast.ClassDef) else "method" if parent else "function"
-                d = {"name": child.name, "kind": kind, "line": child.lineno, "end_line": child.end_lineno, "parent": parent}
+                d = {"name": child.name, "kind": kind, "line": child.lineno, "end_line": child.end_lineno, "parent": "" if kind == "class" else parent}
                 definitions.append(d)
                 marked.add(child.lineno)
                 marked.update(x.lineno for x in child.decorator_list)
-                if doc := ast.get_docstring(child):
+                if top and (doc := ast.get_docstring(child)):
                     docs.append({"name": child.name, "type": kind, "line": child.lineno, **python_doc(doc)})
                 if kind == "class":
-                    inside = child.name
+                    inside = parent or child.name
                 else:
                     found = [dotted(c.func) for s in child.body for c in ast.walk(s) if isinstance(c, ast.Call)]
-                    calls.append({"qname": qualified(d), "line": child.lineno, "calls": tidy_calls([f for f in found if f], child.name)})
-                    inside = ""
+                    own = qualified(child.name, parent)
+                    calls.append({"qname": own, "line": child.lineno, "calls": tidy_calls([f for f in found if f], own)})
             elif isinstance(child, ast.Import):
                 imports.extend(a.name for a in child.names)
                 marked.add(child.lineno)
@@ -149,131 +79,122 @@ def parse_python(text: str) -> dict:
                 control += 1
             walk(child, inside)
 
-    walk(tree, "")
+    walk(tree, "", True)
     if doc := ast.get_docstring(tree):
-        docs.insert(0, {"name": "", "type": "module", "line": 1, **python_doc(doc)})
+        docs.insert(0, {"name": "module", "type": "module", "line": 1, **python_doc(doc)})
     definitions.sort(key=lambda d: (d["line"], d["name"]))
-    return {"definitions": definitions, "calls": calls, "imports": list(dict.fromkeys(imports)), "docs": docs, "_control": control, "_marked": marked}
+    return {"definitions": definitions, "calls": calls, "imports": list(dict.fromkeys(imports)), "docs": docs, "_control": control, "_counted": len(definitions), "_marked": marked}
+
+
+#: Headings of a docstring's sections.
+SECTIONS = {"params": ["Args:", "Arguments:", "Parameters:", "参数:", "参数："], "returns": ["Returns:", "Return:", "返回:", "返回值：", "返回值:"], "examples": ["Example:", "Examples:", "示例:", "示例："]}
+SECTION_OF = {head: part for part, heads in SECTIONS.items() for head in heads}
+
+
+def _doc(description: list[str], params: list[dict] = (), returns: str | None = None, examples: list[str] = ()) -> dict:
+    return {"description": " ".join(description).strip(), "params": list(params), "returns": returns, "examples": list(examples)}
+
+
+def _param(name: str, kind: str, description: str) -> dict:
+    return {"name": name, "type": kind, "description": description}
 
 
 def python_doc(doc: str) -> dict:
-    """A docstring with sections of arguments, returns and examples."""
-    out, section, held = {"description": "", "params": [], "returns": None, "examples": []}, "", []
-
-    def close() -> None:
-        body = "\n".join(held).strip()
-        if section == "" and body:
-            out["description"] = body
-        elif section == "returns":
-            out["returns"] = body or None
-        elif section == "examples" and body:
-            out["examples"].append(body)
-        held.clear()
-
-    for line in doc.split("\n"):
-        head = re.match(r"^\s*(args|arguments|parameters|params|returns?|yields?|examples?|raises|notes?)\s*:?\s*$", line, re.I)
-        if head:
-            close()
-            word = head[1].lower()
-            section = "params" if word[0] in "ap" else "returns" if word[0] in "y" or word.startswith("return") else "examples" if word[0] == "e" else "other"
-        elif section == "params":
-            if m := re.match(r"^\s*\*{0,2}(\w+)\s*(?:\(([^)]*)\))?\s*:\s*(.*)$", line):
-                out["params"].append({"name": m[1], "type": m[2] or "", "description": m[3].strip()})
-            elif out["params"] and line.strip():
-                out["params"][-1]["description"] += " " + line.strip()
-        elif m := re.match(r"^\s*:param\s+(?:(\w+)\s+)?(\w+):\s*(.*)$", line):
-            out["params"].append({"name": m[2], "type": m[1] or "", "description": m[3].strip()})
-        elif m := re.match(r"^\s*:returns?:\s*(.*)$", line):
-            out["returns"] = m[1].strip()
+    """A docstring with sections of arguments, returns and examples; any other heading ends a section."""
+    parts: dict[str, list[str]] = {"description": [], "params": [], "returns": [], "examples": [], "other": []}
+    section = "description"
+    for line in map(str.strip, doc.split("\n")):
+        if line in SECTION_OF or line.endswith(":") and ":" not in line[:-1]:
+            section = SECTION_OF.get(line, "other")
         else:
-            held.append(line.strip() if section == "" else line)
-    close()
-    return out
-
-
-def tagged_doc(raw: str) -> dict:
-    """A block comment with @param, @returns and @example tags."""
-    lines = [re.sub(r"^\s*\*? ?", "", x).rstrip() for x in raw.strip().removeprefix("/**").removesuffix("*/").split("\n")]
-    out, at = {"description": "", "params": [], "returns": None, "examples": []}, None
-    for line in lines:
-        if m := re.match(r"@param\s+(?:\{([^}]*)\}\s*)?\[?([\w.$]+)(?:=[^\]]*)?\]?\s*-?\s*(.*)", line):
-            out["params"].append({"name": m[2], "type": m[1] or "", "description": m[3]})
-            at = "param"
-        elif m := re.match(r"@returns?\s+(?:\{([^}]*)\}\s*)?(.*)", line):
-            out["returns"], at = m[2] or m[1], "returns"
-        elif m := re.match(r"@example\s*(.*)", line):
-            out["examples"].append(m[1])
-            at = "example"
-        elif line.startswith("@"):
-            at = "other"
-        elif at is None:
-            out["description"] += ("\n" if out["description"] else "") + line
-        elif at == "param" and line:
-            out["params"][-1]["description"] += " " + line
-        elif at == "example":
-            out["examples"][-1] += "\n" + line
-        elif at == "returns" and line:
-            out["returns"] = f"{out['returns']} {line}"
-    out["description"] = re.sub(r"<[^>]+>", "", out["description"]).strip()
-    out["examples"] = [e.strip() for e in out["examples"] if e.strip()]
-    return out
-
-
-def line_doc(lines: list[str], lang: str) -> dict:
-    """Consecutive line comments (Go, Rust); Rust's '# Examples' fences are examples."""
-    text, examples = "\n".join(re.sub(r"^\s*//[/!]? ?", "", x) for x in lines), []
-    if lang == "rust":
-        examples = [m.strip() for m in re.findall(r"```[^\n]*\n(.*?)```", text, re.S)]
-        text = re.split(r"(?m)^#\s+\w+", text)[0]
-    return {"description": text.strip(), "params": [], "returns": None, "examples": examples}
-
-
-def doc_comments(text: str, lang: str, definitions: list[dict]) -> list[dict]:
-    """The comment right above each definition."""
-    lines, out = text.split("\n"), []
-    for d in definitions:
-        at = d["line"] - 2
-        while at >= 0 and re.match(r"^\s*(@\w|#\[)", lines[at]):
-            at -= 1
-        if at < 0:
-            continue
-        doc = None
-        if lang in ("go", "rust"):
-            top, mark = at, "//" if lang == "go" else "///"
-            while top >= 0 and lines[top].strip().startswith(mark):
-                top -= 1
-            if top < at:
-                doc = line_doc(lines[top + 1 : at + 1], lang)
-        elif lines[at].rstrip().endswith("*/"):
-            top = at
-            while top >= 0 and "/**" not in lines[top] and "/*" not in lines[top]:
-                top -= 1
-            if top >= 0 and "/**" in lines[top]:
-                doc = tagged_doc("\n".join(lines[top : at + 1]))
-        if doc:
-            out.append({"name": d["name"], "type": d["kind"], "line": d["line"], **doc})
-    return out
-
-
-def parse_braces(text: str, lang: str) -> dict:
-    definitions = braces(text, lang)
-    clean = blanked(text, lang)
+            parts[section].append(line)
+    found = [m for line in parts["params"] if (m := re.match(r"(\w+)\s*(?:\(([^)]+)\))?\s*:\s*(.*)", line))]
+    return _doc(parts["description"], [_param(m[1], m[2] or "Any", m[3]) for m in found], " ".join(filter(None, parts["returns"])) or None, parts["examples"])
+
+
+def tagged_doc(raw: str, java: bool) -> dict:
+    """A block comment with @param, @returns and @example tags. Java's parameters have no types, and it has no examples."""
+    description, params, returns, examples = [], [], None, []
+    for line in raw.strip().removeprefix("/**").removesuffix("*/").split("\n"):
+        line = line.strip().removeprefix("*").strip()
+        if line.startswith("@param"):
+            m = re.match(r"@param\s+(\w+)\s+-?\s*(.*)" if java else r"@param\s+(?:\{([^}]+)\}\s+)?\[?(\w+)[^\s]*\s*-?\s*(.*)", line)
+            if m:
+                params.append(_param(m[1], "any", m[2]) if java else _param(m[2], m[1] or "", m[3]))
+        elif line.startswith("@return"):
+            m = re.match(r"@returns?\s+(.*)" if java else r"@returns?\s+(?:\{([^}]+)\}\s*)?(.*)", line)
+            if m:
+                returns = m[1] if java or not m[1] else f"{m[1]}: {m[2]}"
+                returns = returns if java or m[1] else m[2]
+        elif line.startswith("@example") and not java:
+            examples.append(line.removeprefix("@example").strip())
+        elif not line.startswith("@"):
+            if examples:
+                examples[-1] += "\n" + line if examples[-1] else line
+            else:
+                description.append(line)
+    return _doc(description, params, returns, [e.strip() for e in examples])
+
+
+def go_doc(lines: list[str]) -> dict:
+    lines = [x.lstrip("/").strip() for x in lines]
+    return _doc([f"[Deprecated] {x.removeprefix('Deprecated:').strip()}" if x.startswith("Deprecated:") else x for x in lines])
+
+
+#: Sections of Rust's doc comments; those of None stay in the description as marks.
+RUST_SECTIONS = {"examples": "examples", "example": "examples", "arguments": "params", "parameters": "params", "args": "params", "returns": "returns", "return": "returns", "panics": None, "errors": None, "safety": None}
+
+
+def rust_doc(lines: list[str]) -> dict:
+    parts: dict[str, list[str]] = {"description": [], "params": [], "returns": [], "examples": []}
+    section = "description"
+    for line in (x.removeprefix("///").removeprefix(" ") for x in lines):
+        if line.startswith("# "):
+            section = RUST_SECTIONS.get(line[2:].strip().lower(), "description") or "description"
+            if RUST_SECTIONS.get(line[2:].strip().lower(), "") is None:
+                parts["description"].append(f"[{line[2:].strip()}]")
+        else:
+            parts[section].append(line)
+    found = [m for x in parts["params"] if (m := re.match(r"[*-]?\s*`?(\w+)`?\s*[-:]\s*(.*)", x.strip()))]
+    return _doc(list(filter(None, parts["description"])), [_param(m[1], "any", m[2]) for m in found], " ".join(x.strip() for x in parts["returns"] if x.strip()) or None, parts["examples"])
+
+
+#: What a doc entry's type is called, where it isn't the definition's kind.
+ENTRY_TYPE = {"go": {"struct": "type", "interface": "type"}, "rust": {"struct": "type", "trait": "interface", "method": "function"}, "java": {"record": "type", "method": "function"}, "kotlin": {"method": "function"}}
+
+
+def doc_of(comments: list[tuple[str, int, int]], lang: str) -> tuple[int, dict] | None:
+    """(line, doc) of the comments (text, first line, last line) before a definition."""
+    if lang in ("go", "rust"):
+        mark, kept = "//" if lang == "go" else "///", []
+        for c in reversed(comments):
+            if not c[0].startswith(mark) or kept and c[2] < kept[-1][1] - 1:
+                break
+            kept.append(c)
+        lines = [c[0].rstrip() for c in reversed(kept)]
+        return (kept[-1][1], go_doc(lines) if lang == "go" else rust_doc(lines)) if kept else None
+    for text, line, _ in reversed(comments):
+        if text.startswith("/**") and text.endswith("*/"):
+            return line, tagged_doc(text, lang in ("java", "kotlin"))
+        if text.startswith("/*") and lang in ("java", "kotlin"):
+            return None
+    return None
+
+
+def parse_braces(text: str, lang: str, ext: str) -> dict:
+    reader = READERS[lang](text, ext in TAGGED)
+    found, line = reader.read(), reader.t.line
+    definitions = [{"name": d.name, "kind": d.kind, "line": line[d.first], "end_line": line[d.last], "parent": d.parent} for d in found["definitions"]]
     calls = []
-    for d in definitions:
-        if d["kind"] in ("function", "method"):
-            a = clean.find("{", d["_at"][1] - 1)
-            a = d["_at"][1] if a < 0 or a > d["_at"][2] else a
-            calls.append({"qname": qualified(d), "line": d["line"], "calls": tidy_calls([m[1] for m in CALL.finditer(clean, a, d["_at"][2])], d["name"])})
-    code = blanked(text, lang, strings=False)
-    if lang == "go":
-        groups = re.findall(r"\bimport\s*\(([^)]*)\)", code)
-        found = re.findall(r'"([^"]+)"', "\n".join(groups)) + re.findall(r'\bimport\s+(?:\w+\s+)?"([^"]+)"', code)
-    else:
-        found = [x.strip() for x in re.findall(IMPORTED[lang], code)]
-    if lang == "rust":
-        found = [re.sub(r"\b(?:self|super|crate)::", "", x).rstrip(":") for x in found]
-    marked = {d["line"] for d in definitions} | {line_of(code, m.start()) for m in re.finditer(r"\b(?:import|export|require|use|package)\b", clean)}
-    return {"definitions": definitions, "calls": calls, "imports": [x for x in dict.fromkeys(found) if x], "docs": doc_comments(text, lang, definitions), "_control": len(re.findall(CONTROL[lang], clean)), "_marked": marked}
+    for d, names in found["calls"]:
+        own = qualified(d.name, d.parent)
+        calls.append({"qname": own, "line": line[d.first], "calls": tidy_calls(names, own)})
+    docs = []
+    for d, comments in found["docs"]:
+        if doc := doc_of(comments, lang):
+            docs.append({"name": d.name, "type": ENTRY_TYPE.get(lang, {}).get(d.kind, d.kind), "line": doc[0], **doc[1]})
+    order = lambda d: (d["line"], d["name"])
+    return {"definitions": sorted(definitions, key=order), "calls": calls, "imports": found["imports"], "docs": docs, "_control": found["control"], "_counted": found["counted"], "_marked": found["marked"]}
 
 
 def parse(text: str | None, ext: str | None) -> dict:
@@ -286,29 +207,46 @@ def parse(text: str | None, ext: str | None) -> dict:
     if lang is None:
         return nothing | {"important_lines": len(filled)}
     try:
-        found = parse_python(text) if lang == "python" else parse_braces(text, lang)
+        found = parse_python(text) if lang == "python" else parse_braces(text, lang, ext)
     except (SyntaxError, ValueError, RecursionError):
         return nothing | {"important_lines": len(filled)}
     loc = sum(1 for x in filled if not x.strip().startswith(("#", "//", "/*", "*")))
     marked = found.pop("_marked") | {i + 1 for i, x in enumerate(text.split("\n")) if OPEN_WORK.search(x)}
-    control = found.pop("_control")
-    for d in found["definitions"]:
-        d.pop("_at", None)
-    return nothing | found | {"complexity": min((control * 2 + len(found["definitions"])) * 100 // max(loc, 1), 100), "important_lines": len(marked)}
+    control, counted = found.pop("_control"), found.pop("_counted")
+    return nothing | found | {"complexity": min((control * 2 + counted) * 100 // max(loc, 1), 100), "important_lines": len(marked)}
+
+
+FIELDS = ["language", "definitions", "calls", "imports", "docs", "complexity", "important_lines"]
 
 
 def parsed(text: Column, ext: Column) -> Column:
     """The struct of SCHEMA for a column of source text and its extension."""
+    types = to_arrow_schema(_parse_datatype_string(SCHEMA))
 
-    @F.pandas_udf(SCHEMA)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(SCHEMA)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, exts in batches:
-            rows = [parse(t, e) for t, e in zip(texts, exts, strict=True)]
-            yield pd.DataFrame(rows, columns=["language", "definitions", "calls", "imports", "docs", "complexity", "important_lines"])
+            rows = [parse(t, e) for t, e in zip(texts.to_pylist(), exts.to_pylist(), strict=True)]
+            yield pa.StructArray.from_arrays([pa.array([r[name] for r in rows], types.field(name).type) for name in FIELDS], FIELDS)
 
     return run(text, ext)
 
 
+def parsed_once(sources: DataFrame, text: str, ext: str, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sources with the columns of SCHEMA in place of text, the table of results by content).
+
+    Of equal contents one is parsed, and none that `stored`, such a table of an earlier call, has. The
+    table's key is the digest of extension and text; what isn't new is neither parsed nor written again.
+    """
+    key = F.sha2(F.concat_ws("\0", F.coalesce(ext, F.lit("")), F.coalesce(text, F.lit(""))), 256)
+    keyed = sources.withColumn("content", key)
+    new = keyed if stored is None else keyed.join(stored.select("content"), "content", "left_anti")
+    found = new.groupBy("content").agg(F.first(F.struct(F.col(text).alias("text"), F.col(ext).alias("ext"))).alias("s"))
+    made = materialise(found.select("content", parsed(F.col("s.text"), F.col("s.ext")).alias("p")).select("content", "p.*"), "parsed")
+    table = made if stored is None else stored if made.isEmpty() else stored.unionByName(made)
+    return keyed.drop(text).join(table, "content").drop("content"), table
+
+
 #: The suffixes that an import from a file of a suffix may stand for, and files that stand for their folder.
 STANDS_FOR = {".py": [".py", ".pyi"], ".ts": [".ts", ".tsx"], ".tsx": [".tsx", ".ts"], ".js": [".js", ".jsx", ".mjs", ".cjs"], ".go": [".go"], ".rs": [".rs"], ".java": [".java", ".kt"], ".kt": [".kt", ".java"]}
 FOLDER_FILES = ["index.ts", "index.tsx", "index.js", "index.jsx", "__init__.py", "mod.rs", "lib.go"]
@@ -351,8 +289,8 @@ def first_of_file(definitions: DataFrame, file: str) -> DataFrame:
 
 
 def call_graph(calls: DataFrame) -> DataFrame:
-    """(qname, calls, file, line) of calls (file, qname, line, calls): of equal names the last file's last one."""
-    return calls.groupBy("qname").agg(F.max_by(F.struct("calls", "file", "line"), F.struct("file", "line")).alias("r")).select("qname", "r.*")
+    """(qname, calls, file, line) of calls (file, qname, line, calls): of equal names the last file's first one."""
+    return calls.groupBy("qname").agg(F.max_by(F.struct("calls", "file", "line"), F.struct("file", -F.col("line"))).alias("r")).select("qname", "r.*")
 
 
 def markdown_of(docs: Column, zh: bool = False) -> Column:

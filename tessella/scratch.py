@@ -46,6 +46,14 @@ def _delete(spark: SparkSession, address: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def exists(stored: DataFrame) -> bool:
+    """Whether all files of a table that materialise() gave, or of a union of such tables, are still there."""
+    spark = stored.sparkSession
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f) for f in stored.inputFiles()]
+    return all(p.getFileSystem(conf).exists(p) for p in paths)
+
+
 def discard(stored: DataFrame) -> None:
     """Deletes a table that materialise() gave, once nothing reads it any more (an earlier round's)."""
     if path := getattr(stored, "_scratch", None):

