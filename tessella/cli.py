@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import code, diagrams
+from tessella.functions import schema as S
 from tessella.functions import text as T
 from tessella.operators import diff, graph, inventory, pages, quality, scoring, wiki
 from tessella.sources import sinks, tree
@@ -123,8 +124,22 @@ def folders(spark: SparkSession, root: str) -> DataFrame:
     return wiki.menu_from_folders(wiki.documents(spark, root)).orderBy("section_pos", "pos")
 
 
+#: Stored documents and their contracts.
+STORED = {"page-plan.json": S.PAGE_PLAN, "semantic-analysis.json": S.ANALYSIS, "menu.json": S.STORED_MENU}
+
+
+def validate_schemas(spark: SparkSession, root: str) -> DataFrame:
+    """Faults of the stored documents under their contracts; documents that aren't there have none."""
+    found = spark.createDataFrame([], "file string, path string, rule string, message string")
+    for name, schema in STORED.items():
+        if sinks.exists(spark, at := f"{root}/.tessella/cache/{name}"):
+            text = spark.read.text(at, wholetext=True).select(F.lit(name).alias("file"), F.col("value").alias("text"))
+            found = found.unionByName(quality.schema_faults(text, schema))
+    return found
+
+
 #: Commands whose rows are faults: they make the exit code one.
-CHECKS = {"validate-plan": validate_plan, "finalise": finalise}
+CHECKS = {"validate-plan": validate_plan, "validate-schemas": validate_schemas, "finalise": finalise}
 COMMANDS = {"init": init, "inventory": prepare_inventory, "analyse": analyse, "structure": structure, "sequences": sequences, "changes": changes, "page-context": page_context, "menu": menu, "diagrams": diagram_report, "quality": quality_report, "titles": titles, "folders": folders, **CHECKS}
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import classify as C
 from tessella.functions import rules as R
+from tessella.functions import schema as S
 from tessella.functions import text as T
 from tessella.functions.columns import base_name, contains_any, lookup, normal_path, parent, stem
 
@@ -211,3 +212,9 @@ def check_report(errors: DataFrame, total: DataFrame) -> DataFrame:
     """One row of counts: total, failed and passed items. errors: (item) with an error each; total: (item)."""
     failed = errors.select("item").distinct().agg(F.count(F.lit(1)).alias("failed"))
     return total.agg(F.count(F.lit(1)).alias("total")).crossJoin(F.broadcast(failed)).select("total", "failed", (F.col("total") - F.col("failed")).alias("passed"))
+
+
+def schema_faults(documents: DataFrame, schema: dict, text_col: str = "text", levels: int = 4) -> DataFrame:
+    """A row for each fault of a JSON document under a schema: documents' other columns, path, rule, message."""
+    rest = [c for c in documents.columns if c != text_col]
+    return documents.select(*rest, F.inline(S.faults(F.try_parse_json(text_col), schema, levels)))

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.columns import safe_id
+from tessella.functions.schema import MENU
+from tessella.operators import quality
 from tessella.operators.diff import upsert
 
 
@@ -91,9 +93,18 @@ def text(df: DataFrame, path: str, column: str = "text") -> None:
     df.select(column).coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(path)
 
 
+def checked(documents: DataFrame, schema: dict, levels: int = 4, shown: int = 10) -> DataFrame:
+    """documents (text), once none of them has a fault under the schema; else an error that names the first few."""
+    found = quality.schema_faults(documents.select("text"), schema, levels=levels).limit(shown).collect()
+    if found:
+        raise ValueError("; ".join(f"{r.path}: {r.message}" for r in found))
+    return documents
+
+
 def menu(df: DataFrame, path: str, title: str) -> None:
-    """A menu (section_pos, section, pos, title, path) as one JSON document."""
+    """A menu (section_pos, section, pos, title, path) as one JSON document; one that breaks the contract isn't written."""
     items = F.transform(F.sort_array(F.collect_list(F.struct("pos", "title", "path"))), lambda x: F.struct(x["title"].alias("title"), x["path"].alias("path")))
     sections = df.groupBy("section_pos", "section").agg(items.alias("items"))
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("section_pos", "section", "items"))), lambda x: F.struct(x["section"].alias("title"), x["items"].alias("items")))
-    sections.agg(F.to_json(F.struct(F.lit(title).alias("title"), ordered.alias("items"))).alias("text")).coalesce(1).write.mode("overwrite").text(path)
+    made = sections.agg(F.to_json(F.struct(F.lit(title).alias("title"), ordered.alias("items"))).alias("text"))
+    checked(made, MENU, levels=1).coalesce(1).write.mode("overwrite").text(path)
