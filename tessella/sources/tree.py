@@ -1,13 +1,17 @@
 """A file tree as a table: a Python data source, since the built-in file sources skip names that begin with '_' or '.'.
 
-Folders that rules leave out are never walked into. Reading is planned over files of bounded total size;
-content is read only if it is asked for.
+Folders that rules leave out are never walked into. The driver opens a bounded number of folders, those nearest to
+the root; the folders below are walked by the tasks that read them, so what the driver holds doesn't grow with the
+tree (but with what lies right in the folders it opened). Content is read only if it is asked for.
 """
 
 from __future__ import annotations
 
 import fnmatch
+from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -49,24 +53,42 @@ def excludes(config: str) -> tuple[list[str], list[str]]:
     return [x for x in names if x and not wild(x)], [g for x in names if wild(x) and (g := x.lstrip("*"))]
 
 
-class Files(InputPartition):
-    def __init__(self, files: list[tuple[str, str, int, bool]]):
-        self.files = files
+@dataclass(frozen=True)
+class Rules:
+    """What is left out: folders and names by their whole name, names by globs, files by suffix."""
 
+    names: frozenset[str]
+    globs: tuple[str, ...]
+    binary: tuple[str, ...]
 
-def walk(system, root: str, dirs: set[str], names: set[str], globs: list[str]) -> Iterator[tuple[str, str, int, bool]]:
-    """(relative path, address, size, is folder) below root, without what the rules leave out."""
+    def leaves_out(self, name: str) -> bool:
+        return name in self.names or any(fnmatch.fnmatch(name, g) for g in self.globs)
+
+
+class Share(InputPartition):
+    """What one task reads: entries that were listed, and folders that it walks itself."""
+
+    def __init__(self, entries: list[tuple[str, str, int, bool]], folders: list[str], root: str, rules: Rules):
+        self.entries, self.folders, self.root, self.rules = entries, folders, root, rules
+
+
+def listing(system, root: str, folder: str, rules: Rules) -> Iterator[tuple[str, str, int, bool]]:
+    """(relative path, address, size, is folder) of what lies right in a folder, without what the rules leave out."""
     from pyarrow import fs
 
-    todo = [root]
+    for i in sorted(system.get_file_info(fs.FileSelector(folder)), key=lambda i: i.path):
+        if not rules.leaves_out(i.base_name):
+            yield i.path[len(root) :].lstrip("/"), i.path, max(i.size or 0, 0), i.type == fs.FileType.Directory
+
+
+def walk(system, root: str, folders: list[str], rules: Rules) -> Iterator[tuple[str, str, int, bool]]:
+    """What lies below folders. A folder that is left out is never opened."""
+    todo = list(folders)
     while todo:
-        for i in sorted(system.get_file_info(fs.FileSelector(todo.pop())), key=lambda i: i.path):
-            rel = i.path[len(root) :].lstrip("/")
-            if i.base_name in dirs or i.base_name in names or any(fnmatch.fnmatch(i.base_name, g) for g in globs):
-                continue
-            if i.type == fs.FileType.Directory:
-                todo.append(i.path)
-            yield rel, i.path, max(i.size or 0, 0), i.type == fs.FileType.Directory
+        for entry in listing(system, root, todo.pop(), rules):
+            if entry[3]:
+                todo.append(entry[1])
+            yield entry
 
 
 class TreeReader(DataSourceReader):
@@ -77,6 +99,7 @@ class TreeReader(DataSourceReader):
         self.git = options.get("gitignore", "false").lower() == "true"
         self.wide = options.get("rules", "current") == "archived"
         self.bytes = int(options.get("partitionbytes", 64 << 20))
+        self.share = int(options.get("share", 64))
 
     def system(self):
         from pyarrow import fs
@@ -85,31 +108,48 @@ class TreeReader(DataSourceReader):
             return fs.FileSystem.from_uri(self.root)
         return fs.LocalFileSystem(), self.root.removeprefix("file:")
 
-    def partitions(self) -> list[Files]:
-        system, root = self.system()
-        dirs, names = set(R.MORE_IGNORED_DIRS if self.wide else R.IGNORED_DIRS), set(R.MORE_IGNORED_FILES if self.wide else R.IGNORED_FILES)
-        binary, globs = tuple(R.MORE_BINARY_SUFFIXES if self.wide else R.BINARY_SUFFIXES), []
+    def rules(self, system, root: str) -> Rules:
+        names = set(R.MORE_IGNORED_DIRS if self.wide else R.IGNORED_DIRS) | set(R.MORE_IGNORED_FILES if self.wide else R.IGNORED_FILES)
+        globs: list[str] = []
         if self.git:
             try:
                 with system.open_input_file(f"{root}/.gitignore") as f:
                     literals, globs = gitignore(f.read().decode("utf-8", "ignore"))
-                    dirs |= set(literals)
+                    names |= set(literals)
             except FileNotFoundError:
                 pass
-        out, own, size = [], [], 0
-        for entry in walk(system, root, dirs, names, globs):
-            if entry[3] and not self.folders or not entry[3] and entry[0].lower().endswith(binary):
-                continue
-            if own and size + entry[2] > self.bytes:
-                out.append(Files(own))
-                own, size = [], 0
-            own.append(entry)
-            size += entry[2]
-        return [*out, Files(own)]
-
-    def read(self, partition: Files) -> Iterator[tuple]:
+        return Rules(frozenset(names), tuple(globs), tuple(R.MORE_BINARY_SUFFIXES if self.wide else R.BINARY_SUFFIXES))
+
+    def wanted(self, entry: tuple[str, str, int, bool], rules: Rules) -> bool:
+        return self.folders if entry[3] else not entry[0].lower().endswith(rules.binary)
+
+    def partitions(self) -> list[Share]:
+        """Folders are opened here, those nearest to the root first, only until there are enough to share or so many
+        have been opened; what they hold is dealt by size, and each folder left is a task's to walk."""
+        system, root = self.system()
+        rules = self.rules(system, root)
+        todo, opened, shares, own, size = deque([root]), 0, [], [], 0
+        while todo and opened < self.share and len(todo) < self.share:
+            opened += 1
+            for entry in listing(system, root, todo.popleft(), rules):
+                if entry[3]:
+                    todo.append(entry[1])
+                if not self.wanted(entry, rules):
+                    continue
+                if own and size + entry[2] > self.bytes:
+                    shares.append(Share(own, [], root, rules))
+                    own, size = [], 0
+                own.append(entry)
+                size += entry[2]
+        shares.append(Share(own, [], root, rules))
+        # Neighbours go to different tasks; more tasks than twice the share would each have next to nothing.
+        tasks = min(len(todo), 2 * self.share)
+        return shares + [Share([], list(todo)[k::tasks], root, rules) for k in range(tasks)]
+
+    def read(self, partition: Share) -> Iterator[tuple]:
         system = self.system()[0]
-        for rel, address, size, folder in partition.files:
+        walked = (e for e in walk(system, partition.root, partition.folders, partition.rules) if self.wanted(e, partition.rules))
+        for rel, address, size, folder in chain(partition.entries, walked):
             data = None
             if self.content and not folder:
                 with system.open_input_stream(address, compression=None) as f:
@@ -118,7 +158,8 @@ class TreeReader(DataSourceReader):
 
 
 class TreeSource(DataSource):
-    """spark.read.format("tree").load(folder). Options: folders, content, gitignore, rules (current, archived), partitionBytes."""
+    """spark.read.format("tree").load(folder). Options: folders, content, gitignore,
+    rules (current, archived), partitionBytes, share (how many folders the driver opens at most, and looks for)."""
 
     @classmethod
     def name(cls) -> str:
