@@ -18,7 +18,7 @@ result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,10 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "key {}, start long, length long, ids binary, item_tokens long, sequence_id long, offset long"
-PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: What makes a text go to the library whole: separators that str.split() alone honours, marks of special tokens.
 WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
-TAIL = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class WordTokenizer:
@@ -39,7 +38,7 @@ class WordTokenizer:
     independent of each other. A chunk between white space is encoded once a worker and remembered, in two
     generations of bounded size: what isn't met again while a new one fills is forgotten with the older."""
 
-    LIMIT = 450_000
+    LIMIT = 250_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -55,29 +54,26 @@ class WordTokenizer:
         """Words of letters alone: encoded as one text and cut at the marked pieces."""
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
-            ids = np.array(self.full.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
+            ids = np.array(self.full.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
             if len(ends) == len(part):
-                self.known.update(zip(part, (x.tobytes() for x in np.split(ids, ends[:-1])), strict=True))
+                raw = ids.tobytes()
+                self.known.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
             else:
                 self._each(part)
 
     def _each(self, chunks: list[str]) -> None:
         for at in range(0, len(chunks), 4096):
             part = chunks[at : at + 4096]
-            for c, e in zip(part, self.full.encode_batch(part, add_special_tokens=False), strict=True):
+            for c, e in zip(part, self.full.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.known[c] = np.array(e.ids, "<u4").tobytes()
 
-    def missing(self, chunks: Iterable[str]) -> set[str]:
+    def missing(self, chunks: set[str]) -> set[str]:
         """Those that neither generation knows; what the older one knows passes to the new one."""
-        out = set()
-        for c in chunks:
-            if c not in self.known:
-                if (ids := self.older.get(c)) is None:
-                    out.add(c)
-                else:
-                    self.known[c] = ids
-        return out
+        chunks = chunks.difference(self.known)
+        again = chunks & self.older.keys()
+        self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        return chunks - again
 
     def learn(self, chunks: set[str]) -> None:
         new = chunks.difference(self.known)
@@ -88,18 +84,18 @@ class WordTokenizer:
         if not new:
             return
         # The tokenizer lowers case, so letters alone are looked up and encoded in lower case.
-        parts, other = [], []
+        parts, other, match = [], [], WORD.fullmatch
         for c in new:
-            if PLAIN.fullmatch(c):
-                parts.append((c, c.lower(), ""))
-            elif m := TAIL.fullmatch(c):
-                parts.append((c, m[1].lower(), m[2]))
+            if m := match(c):
+                word, tail = m.groups()
+                parts.append((c, word.lower(), tail))
             else:
                 other.append(c)
         self._each([*other, *self.missing({tail for _, _, tail in parts if tail})])
         self._plain(list(self.missing({word for _, word, _ in parts})))
+        known = self.known
         for c, word, tail in parts:
-            self.known[c] = self.known[word] + self.known[tail] if tail else self.known[word]
+            known[c] = known[word] + known[tail] if tail else known[word]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text. Texts with separators that only str.split() honours, or with marks of special
