@@ -23,11 +23,12 @@ def local_session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> Sp
 
 
 #: Rows of a batch that a Python worker is handed, unless the session says otherwise: texts may be long.
-BATCH_ROWS = "2000"
+BATCH_ROWS = "512"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Makes this package importable in executors' Python workers, wherever they run, and bounds their batches."""
+    """Makes this package importable in executors' Python workers, wherever they run, and bounds their batches: the
+    session's spark.sql.execution.arrow.maxRecordsPerBatch is set, where it has its default."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     app = spark.sparkContext.applicationId
