@@ -34,11 +34,38 @@ def ignored(path: Column, dirs: list[str], names: list[str]) -> Column:
 
 
 def ignored_by(path: Column, literals: list[str], globs: list[str]) -> Column:
-    """Literal rules hold for any part of a path, globs for its name."""
-    out = F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, literals))) if literals else F.lit(False)
-    for g in globs:
-        out = out | base_name(path).rlike(glob_regex(g))
-    return out
+    """Literal rules hold for any part of a path, globs for its name.
+
+    Rules are looked up in sets, of parts, of names, and of beginnings and ends of each length that rules have; what
+    is left is one pattern. So the cost doesn't grow with the number of rules, but for globs of other forms.
+    """
+    name, out = base_name(path), F.lit(False)
+    if literals:
+        out = out | F.exists(F.split(path, "/"), lambda p: p.isin(*literals))
+    whole, heads, tails, other = glob_sets(globs)
+    if whole:
+        out = out | name.isin(*whole)
+    for size, own in heads.items():
+        out = out | F.left(name, F.lit(size)).isin(*own)
+    for size, own in tails.items():
+        out = out | F.right(name, F.lit(size)).isin(*own)
+    return out | name.rlike("|".join(f"(?:{glob_regex(g)})" for g in other)) if other else out
+
+
+def glob_sets(globs: list[str]) -> tuple[list[str], dict[int, list[str]], dict[int, list[str]], list[str]]:
+    """Globs as whole names, beginnings by length, ends by length, and those of other forms."""
+    whole, heads, tails, other = [], {}, {}, []
+    for g in dict.fromkeys(globs):
+        wild = [c for c in g if c in "*?["]
+        if not wild:
+            whole.append(g)
+        elif wild == ["*"] and len(g) > 1 and g[-1] == "*":
+            heads.setdefault(len(g) - 1, []).append(g[:-1])
+        elif wild == ["*"] and len(g) > 1 and g[0] == "*":
+            tails.setdefault(len(g) - 1, []).append(g[1:])
+        else:
+            other.append(g)
+    return whole, heads, tails, other
 
 
 def code_purpose(path: Column) -> Column:

@@ -298,19 +298,11 @@ def numbered(diagram: Column) -> Column:
     return F.array_join(F.transform(F.split(diagram, "\n"), lambda x, i: F.concat((i + 1).cast("string"), F.lit(": "), x)), "\n")
 
 
-def apply_fix(document: str, index: int, diagram: str) -> str:
-    """A document with its n-th diagram replaced (its fence, if it has one, is taken off)."""
-    body = re.sub(r"^```(?:mermaid)?\s*\n|\n?```\s*$", "", diagram.strip())
-    n = iter(range(10**9))
-    return FENCE.sub(lambda m: f"```mermaid\n{body}\n```" if next(n) == index else m[0], document)
-
-
 def with_fix(document: Column, index: Column, diagram: Column) -> Column:
-    """apply_fix() of columns."""
-
-    @F.pandas_udf("string")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, places, fixed in batches:
-            yield pd.Series([apply_fix(t or "", int(i), d) for t, i, d in zip(texts, places, fixed, strict=True)], dtype=object)
-
-    return run(document, index, diagram)
+    """A document with its n-th diagram replaced by another (whose fence, if it has one, is taken off), without Python."""
+    fence = FENCE.pattern.replace("([", "[").replace("?)", "?")
+    bare = F.regexp_replace(F.regexp_replace(diagram, r"\A\s+|\s+\z", ""), r"\A```(?:mermaid)?\s*\n|\n?```\s*\z", "")
+    new = F.concat(F.lit("```mermaid\n"), bare, F.lit("\n```"))
+    pieces, old = F.split(document, fence, -1), F.regexp_extract_all(document, F.lit(f"({fence})"), F.lit(1))
+    # Text and diagrams by turns; after the last text there is none.
+    return F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.when(i == index, F.when(i < F.size(old), new)).otherwise(F.get(old, i)), F.lit("")))), "")

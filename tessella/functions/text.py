@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import rules as R
 from tessella.functions.columns import let
 
+#: How diagrams, links to sources, their opening block, links and marks of open work are written.
 DIAGRAM = r"(?s)```mermaid\s*\n(.*?)```"
 SOURCE_LINK = r"file:///[^)\s#]+(?:#L\d+(?:-L?\d+)?)?"
 RANGED_LINK = r"file:///[^)\s#]+#L\d+(?:-L?\d+)?"

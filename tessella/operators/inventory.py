@@ -92,26 +92,30 @@ def _any_glob(name, globs: list[str]):
     return out
 
 
-def archetype(inv: DataFrame, content: DataFrame) -> DataFrame:
-    """One row: the first archetype whose rule holds. content: (path, text) of the manifests."""
+def archetype(inv: DataFrame, content: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The first archetype whose rule holds: one row, or one for each project (the columns `by`) that has files.
+    content: (path, text) of the manifests."""
+    by = by or []
     manifests = content.where(F.col("path").isin(*R.MANIFESTS))
     needed = sorted({d for _, deps, _, _ in R.ARCHETYPES for d in deps} | set(R.LIBRARY_NOT))
-    has = manifests.agg(*[F.coalesce(F.bool_or(C.dependency(F.col("text"), d)), F.lit(False)).alias(f"d_{i}") for i, d in enumerate(needed)], F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or((F.col("path") == "Cargo.toml") & F.col("text").contains("[[bin]]")), F.lit(False)).alias("bin"))
+    has = manifests.groupBy(*by).agg(*[F.coalesce(F.bool_or(C.dependency(F.col("text"), d)), F.lit(False)).alias(f"d_{i}") for i, d in enumerate(needed)], F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or((F.col("path") == "Cargo.toml") & F.col("text").contains("[[bin]]")), F.lit(False)).alias("bin"))
     places = sorted({x for _, _, some, none in R.ARCHETYPES for x in (*some, *none)} | {"lib/", "src/", "pages/", "app/"})
-    there = inv.agg(*[F.coalesce(F.bool_or(F.col("path").startswith(x) if x.endswith("/") else F.col("path") == x), F.lit(False)).alias(f"p_{i}") for i, x in enumerate(places)])
-    dep, at = {d: F.col(f"d_{i}") for i, d in enumerate(needed)}, {x: F.col(f"p_{i}") for i, x in enumerate(places)}
+    there = inv.groupBy(*by).agg(*[F.coalesce(F.bool_or(F.col("path").startswith(x) if x.endswith("/") else F.col("path") == x), F.lit(False)).alias(f"p_{i}") for i, x in enumerate(places)])
+    said = lambda c: F.coalesce(F.col(c), F.lit(False))
+    dep, at = {d: said(f"d_{i}") for i, d in enumerate(needed)}, {x: F.col(f"p_{i}") for i, x in enumerate(places)}
     any_of = lambda cols: F.lit(False) if not cols else any_of(cols[1:]) | cols[0]
     out = F.lit(None).cast("string")
     rule = []
     for name, deps, some, none in R.ARCHETYPES:
-        ok = any_of([dep[d] for d in deps] + [at[x] for x in some] + ([F.col("bin")] if name == "cli-tool" else []))
+        ok = any_of([dep[d] for d in deps] + [at[x] for x in some] + ([said("bin")] if name == "cli-tool" else []))
         for x in none:
             ok = ok & ~at[x]
         rule.append((ok, name))
-    rule.append(((at["lib/"] | at["src/"]) & ~any_of([dep[d] for d in R.LIBRARY_NOT]) & (F.col("n") > 0) & ~at["pages/"] & ~at["app/"], "sdk-library"))
+    rule.append(((at["lib/"] | at["src/"]) & ~any_of([dep[d] for d in R.LIBRARY_NOT]) & (F.coalesce(F.col("n"), F.lit(0)) > 0) & ~at["pages/"] & ~at["app/"], "sdk-library"))
     for ok, name in rule[::-1]:
         out = F.when(ok, F.lit(name)).otherwise(out)
-    return has.crossJoin(there).select(F.coalesce(out, F.lit("generic")).alias("archetype"))
+    met = there.join(has, by, "left") if by else has.crossJoin(there)
+    return met.select(*by, F.coalesce(out, F.lit("generic")).alias("archetype"))
 
 
 def extension_histogram(inv: DataFrame) -> DataFrame:

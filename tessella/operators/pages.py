@@ -185,8 +185,15 @@ def exports(definitions: Column, export_lines: Column) -> Column:
 
 
 def insights(files: DataFrame, most: int = 10) -> DataFrame:
-    """(module, insights): each module's distinct insights in order, the first few. files: (module, pos, insights)."""
-    return files.groupBy("module").agg(F.slice(F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "insights"))), lambda x: x["insights"]))), 1, most).alias("insights"))
+    """(module, insights): each module's distinct insights in order, the first few. files: (module, pos, insights).
+
+    An insight counts where it is first met; ranks are cut off in every task before they meet, so that a module
+    however large sends a few rows.
+    """
+    first = files.select("module", "pos", F.posexplode("insights").alias("at", "insight")).groupBy("module", "insight").agg(F.min(F.struct("pos", "at")).alias("place"))
+    top = first.withColumn("k", F.row_number().over(Window.partitionBy("module").orderBy("place"))).where(F.col("k") <= most)
+    found = top.groupBy("module").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "insight"))), lambda x: x["insight"]).alias("insights"))
+    return files.select("module").distinct().join(found, "module", "left").select("module", F.coalesce("insights", F.array().cast("array<string>")).alias("insights"))
 
 
 def file_to_module(modules: DataFrame) -> DataFrame:

@@ -162,6 +162,12 @@ def reconcile_dependencies(parsed: DataFrame, hinted: DataFrame) -> DataFrame:
     return both.select("src", "dst", verdict.alias("verdict")).where("verdict IS NOT NULL")
 
 
+def initial_layouts(projects: DataFrame) -> DataFrame:
+    """(path, text) of what new wikis begin with. projects: (root, name)."""
+    files = {"config.yaml": F.lit("exclude: []\nlanguage: zh\n"), "meta.json": F.to_json(F.struct(F.col("name").alias("project_name"), F.lit(1).alias("cache_schema_version"))), "wiki/overview.md": F.concat(F.lit("# "), F.col("name"), F.lit("\n"))}
+    return projects.select(F.inline(F.array(*(F.struct(F.concat("root", F.lit(f"/{p}")).alias("path"), t.alias("text")) for p, t in files.items()))))
+
+
 def initial_files(name: str) -> dict[str, str]:
     """What a new wiki begins with: path to content."""
     return {".tessella/config.yaml": "exclude: []\nlanguage: zh\n", ".tessella/meta.json": json.dumps({"project_name": name, "cache_schema_version": 1}), ".tessella/wiki/overview.md": f"# {name}\n"}

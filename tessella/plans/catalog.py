@@ -11,7 +11,7 @@ from tessella.functions import rules as R
 from tessella.functions import text as T
 from tessella.functions.columns import base_name, lookup, suffix
 from tessella.operators import diff, graph, inventory, pages, quality, scoring
-from tessella.plans import bind, code_queries, oracle, schema_queries, stream_queries, tree_queries, wiki_queries
+from tessella.plans import bind, code_queries, diagram_queries, oracle, schema_queries, stream_queries, tree_queries, wiki_queries
 from tessella.scratch import materialise
 from tessella.session import ship
 
@@ -431,8 +431,8 @@ QUERIES = {
 }
 
 
-QUERIES |= code_queries.QUERIES | schema_queries.QUERIES | stream_queries.QUERIES | tree_queries.QUERIES | wiki_queries.QUERIES
-ORACLE_SQL = oracle.ORACLE_SQL | code_queries.ORACLE_SQL | schema_queries.ORACLE_SQL | stream_queries.ORACLE_SQL | tree_queries.ORACLE_SQL | wiki_queries.ORACLE_SQL
+QUERIES |= code_queries.QUERIES | diagram_queries.QUERIES | schema_queries.QUERIES | stream_queries.QUERIES | tree_queries.QUERIES | wiki_queries.QUERIES
+ORACLE_SQL = oracle.ORACLE_SQL | code_queries.ORACLE_SQL | diagram_queries.ORACLE_SQL | schema_queries.ORACLE_SQL | stream_queries.ORACLE_SQL | tree_queries.ORACLE_SQL | wiki_queries.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -14,11 +14,11 @@ from tessella.functions import text as T
 from tessella.functions.columns import glob_regex
 from tessella.operators import diff, inventory, pages, quality, wiki
 from tessella.plans import bind
-from tessella.plans.oracle import INV, PLAN, VFILES, q
+from tessella.plans.oracle import INV, PLAN, VDOCS, VFILES, q
 from tessella.plans.oracle import ORACLE_SQL as ORACLE
-from tessella.scratch import scratch_root
+from tessella.scratch import materialise, scratch_root
 from tessella.session import ship
-from tessella.sources import sinks, tree
+from tessella.sources import lines, sinks, tree
 
 FOLDERS = ["src", "dist", "node_modules", "docs", "a/.git", "lib/build/c", "vendor/x", "pkg/env", "_x", ".hidden", "gen/tmp"]
 FILES = ["main.py", "logo.png", "notes.md", "debug.log", "secret.key", "x.min.js", ".DS_Store", "yarn.lock", "font.ttf", "page.svg", "Data.CSV", "Photo.JPG", "README.txt"]
@@ -128,22 +128,28 @@ def project_kinds(spark, sf):
     return inventory.project_types(inv).select(F.lit("type").alias("what"), F.col("project_type").alias("name")).unionByName(inventory.lockfile_managers(inv).select(F.lit("tool").alias("what"), F.col("tool").alias("name")))
 
 
-MANIFESTS = {0: ("package.json", '{"react": 1, "vuepress": 2}'), 1: ("requirements.txt", "torchaudio\nflask==2"), 2: ("Cargo.toml", "[[bin]]"), 3: ("go.mod", "module x")}
-#: The archetype of each project: no rule of higher rank holds.
-KINDS = {0: "fullstack-framework", 1: "web-service", 2: "cli-tool", 3: "sdk-library"}
+#: By the remainder of a project's number: its manifest, its mark and the archetype that follows.
+PROJECTS = [
+    ("package.json", '{"react": 1, "vuepress": 2}', "next.config.js", "fullstack-framework"),
+    ("requirements.txt", "torchaudio\nflask==2", "x/a.py", "web-service"),
+    ("Cargo.toml", "[[bin]]", "src/main.rs", "cli-tool"),
+    ("go.mod", "module x", "lib/a.go", "sdk-library"),
+    ("package.json", '{"react": 1}', "server/a.js", "generic"),
+    ("notes.txt", "torch", "x/b.py", "generic"),
+    ("pyproject.toml", "x-torch", "agents/a.md", "agent-project"),
+    ("requirements.txt", "torch==2", "cmd/a.py", "ml-project"),
+    ("package.json", '{"vue": 1}', "x/c.vue", "spa-frontend"),
+]
 
 
 def project_archetypes(spark, sf):
-    """Four projects over the parts' names as folders, told apart by manifests and marks."""
-    parts = bind.read(spark, sf, "part").where("p_partkey IS NOT NULL")
-    out = None
-    for k, (path, text) in MANIFESTS.items():
-        files = parts.where(F.col("p_partkey") % 4 == k).select(F.concat(F.lit("lib/" if k == 3 else "x/"), F.col("p_partkey").cast("string"), F.lit(".txt")).alias("path"))
-        extra = [path, *(["next.config.js"] if k == 0 else [])]
-        inv = files.unionByName(spark.createDataFrame([(p,) for p in extra], "path string"))
-        one = inventory.archetype(inv, spark.createDataFrame([(path, text)], "path string, text string")).select(F.lit(k).alias("project"), "archetype")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Projects of five parts each, told apart by manifests, marks and whole names of dependencies, all in one pass."""
+    project = F.floor(F.col("p_partkey") / 5)
+    parts = bind.read(spark, sf, "part").where("p_partkey IS NOT NULL").select(project.alias("project"), F.concat(F.lit("x/"), F.col("p_partkey").cast("string"), F.lit(".txt")).alias("path"))
+    at = lambda k: F.element_at(F.array(*(F.lit(p[k]) for p in PROJECTS)), (F.col("project") % len(PROJECTS) + 1).cast("int"))
+    own = parts.select("project").distinct()
+    files = parts.unionByName(own.select("project", F.explode(F.array(at(0), at(2))).alias("path")))
+    return inventory.archetype(files, own.select("project", at(0).alias("path"), at(1).alias("text")), ["project"])
 
 
 def replaced_table(spark, sf):
@@ -189,29 +195,36 @@ def stale_contexts(spark, sf):
 
 
 def state_files(spark, sf):
-    """SK12: a state file is there while there are errors, and goes when there are none."""
-    path, errors = place(spark, "state"), bind.plan_pages(spark, sf).where("status = 'skipped'").select("page_id")
-    said = sinks.state(errors, path)
-    rows = spark.read.json(path).count() if said else 0
-    sinks.state(errors.limit(0), path)
-    return spark.createDataFrame([(said, rows, sinks.exists(spark, path))], "written boolean, error_rows bigint, left_over boolean")
+    """SK12: faults by project are stored while there are some: after a first run, and after a second by which some are
+    mended and others have come."""
+    path = place(spark, "state")
+    faults = bind.read(spark, sf, "supplier").where("s_suppkey IS NOT NULL").select(F.col("s_suppkey").alias("n"), F.concat(F.lit("p"), (F.col("s_suppkey") % 40).cast("string")).alias("project"), F.col("s_name").alias("fault"))
+    seen = None
+    for run, every in ((1, 4), (2, 6)):
+        sinks.states(faults.where(F.col("n") % every == 0).select("project", "fault"), path, "project")
+        stored = spark.read.schema("project string, fault string").option("basePath", path).json(path)
+        found = materialise(stored.groupBy("project").agg(F.count(F.lit(1)).alias("faults")).withColumn("run", F.lit(run)), "state")
+        seen = found if seen is None else seen.unionByName(found)
+    return seen
 
 
 def initial_layout(spark, sf):
-    """SK14, H16: what a new wiki begins with, for each region, written and read back."""
-    rows = [(f"r{r['r_regionkey']}/{p.replace('.tessella', 'state')}", body) for r in bind.read(spark, sf, "region").collect() for p, body in wiki.initial_files(r["r_name"]).items()]
+    """SK14, H16: what a new wiki begins with, for each supplier, written and read back."""
+    projects = bind.read(ship(spark), sf, "supplier").where("s_suppkey IS NOT NULL").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit("/state")).alias("root"), F.coalesce("s_name", F.lit("")).alias("name"))
     root = place(spark, "layout")
-    sinks.tree(ship(spark).createDataFrame(rows, "path string, text string"), root)
-    return tree.read_tree(spark, root).where("path LIKE '%.md'").select("path", "text")
+    sinks.tree(wiki.initial_layouts(projects), root)
+    return tree.read_tree(spark, root).select("path", "text")
 
 
 def rendered_prompts(spark, sf):
-    """SK15, X32, H14: a prompt for each file by a template; unknown marks stay. The manifest keeps the last of each."""
+    """SK15, X32, H14: a prompt for each file by a template; unknown marks stay. The manifest's rows give way
+    to new prompts of the same file (the last of several) and stay where there is none."""
     m = bind.vfiles(spark, sf)
     prompt = T.render(F.lit(TEMPLATE), {"MODULE": F.col("path"), "SIZE": F.col("size").cast("string")})
     made = m.select("path", prompt.alias("prompt"), F.lit(1).alias("turn"), "doc_id")
     again = made.where("doc_id % 2 = 0").withColumn("prompt", F.concat("prompt", F.lit(" Again."))).withColumn("turn", F.lit(2))
-    return diff.upsert(made.select("path", "prompt", "turn").where("turn = 0"), made.drop("doc_id").unionByName(again.drop("doc_id")), "path", "turn")
+    stored = made.where("doc_id % 3 = 0").select("path", F.concat(F.lit("Old "), "path").alias("prompt"), F.lit(0).alias("turn"))
+    return diff.upsert(stored, made.where("doc_id % 5 <> 0").unionByName(again).drop("doc_id"), "path", "turn")
 
 
 def package_check(spark, sf):
@@ -228,9 +241,28 @@ def check_report(spark, sf):
     return quality.check_report(bad, docs.select(F.col("path").alias("item")))
 
 
+def ranged_lines(spark, sf):
+    """SC14, E25, X29, J28: lines of files by number, each read by its range of bytes through a sparse index of line offsets."""
+    docs = bind.vdocs(ship(spark), sf)
+    root, n = place(spark, "sources"), F.col("conv_id")
+    sinks.tree(docs.select("path", "text"), root)
+    marks = materialise(lines.index(tree.read_tree(spark, root), every=8), "marks")
+    wanted = docs.select("path", (n % 40 * 3 + 1).alias("first"), (n % 40 * 3 + 1 + n % 5 * 4).alias("last"))
+    return lines.ranges(wanted, marks, root, every=8).select("path", "number", F.md5("text").alias("text_md5"))
+
+
+#: Many rules of every form: names of folders, whole names, beginnings, ends and others.
+MANY = [f"gone{i}" for i in range(60)] + ["docs", "utils"], [f"*.x{i}" for i in range(60)] + ["*.lock", "test_*", "user?service.[gp]*", "READ*.md", "index.ts"]
+
+
+def many_rules(spark, sf):
+    """SC5, SC6, SC7, X34: files that none of 127 ignore rules leaves out; names, beginnings and ends are looked up in sets."""
+    return diff.included(bind.vfiles(spark, sf), [], *MANY).select("path")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (tree_scan, tree_scan_archived, tree_folders, incremental_scan, config_excludes, versioned_json, markdown_corpus, known_documents, entry_probes, top_level_listing, project_kinds, project_archetypes, replaced_table, merged_results, page_files, menu_documents, stale_contexts, state_files, initial_layout, rendered_prompts, package_check, check_report)
+    for f in (ranged_lines, many_rules, tree_scan, tree_scan_archived, tree_folders, incremental_scan, config_excludes, versioned_json, markdown_corpus, known_documents, entry_probes, top_level_listing, project_kinds, project_archetypes, replaced_table, merged_results, page_files, menu_documents, stale_contexts, state_files, initial_layout, rendered_prompts, package_check, check_report)
 }
 
 SUPPLIED = f"""f AS (
@@ -256,6 +288,10 @@ ORACLE_SQL = {
         SELECT DISTINCT path FROM c WHERE NOT list_has_any(string_split(path, '/'), [{q([*R.IGNORED_DIRS, *R.IGNORED_FILES])}])""",
     "incremental_scan": f"""WITH {VFILES} SELECT path, substr(sha256(text), 1, 16) AS hash FROM vfiles WHERE NOT list_has_any(string_split(path, '/'), [{q(R.MORE_IGNORED_DIRS)}]) AND extension IN ({q([*R.CODE_SUFFIXES, *R.TEXT_DOC_SUFFIXES])})""",
     "config_excludes": f"""WITH {VFILES} SELECT path FROM vfiles WHERE NOT list_has_any(string_split(path, '/'), ['dist', 'db', 'utils']) AND NOT regexp_matches(name, '^test_c.re') AND extension IN ({q([*R.CODE_SUFFIXES, *R.TEXT_DOC_SUFFIXES])})""",
+    "ranged_lines": f"""WITH {VDOCS}, l AS (SELECT conv_id, path, string_split(regexp_replace(text, E'\\n$', ''), E'\\n') AS l, (conv_id % 40 * 3 + 1) AS a, (conv_id % 40 * 3 + 1 + conv_id % 5 * 4) AS b FROM vdocs),
+        r AS (SELECT path, l, unnest(range(a, least(b, len(l)) + 1)) AS number FROM l) SELECT path, number::BIGINT AS number, md5(l[number]) AS text_md5 FROM r""",
+    "many_rules": f"""WITH {VFILES} SELECT path FROM vfiles WHERE NOT list_has_any(string_split(path, '/'), ['docs', 'utils']) AND NOT starts_with(name, 'test_') AND NOT regexp_matches(name, '^user.service\\.[gp].*$') AND NOT regexp_matches(name, '^READ.*\\.md$') AND name <> 'index.ts'
+        AND extension IN ({q([*R.CODE_SUFFIXES, *R.TEXT_DOC_SUFFIXES])}) AND extension <> '.lock'""",
     "versioned_json": "SELECT n_nationkey AS key, n_name AS name FROM nation WHERE n_nationkey % 5 <> 4 AND n_nationkey % 3 = 1",
     "markdown_corpus": f"WITH {SUPPLIED} SELECT 'f' || n || '/s' || n || '.md' AS path, text FROM f WHERE n % 7 <> 0 AND n % 3 <> 0",
     "known_documents": f"WITH {TOPS}, p(place, regex) AS (VALUES {', '.join(f'''({i}, '{x}')''' for i, x in KNOWN)}) SELECT path, place::INT AS place FROM t JOIN p ON regexp_matches(path, regex)",
@@ -263,8 +299,7 @@ ORACLE_SQL = {
     "top_level_listing": f"WITH {TOPS} SELECT DISTINCT split_part(path, '/', 1) AS name, contains(path, '/') AS is_dir FROM t",
     "project_kinds": f"""WITH {TOPS}, m(what, name, regex) AS (VALUES {", ".join(f"('type', '{k}', '{glob_regex(g)}')" for k, globs in R.PROJECT_MARKS for g in globs)}, {", ".join(f"('tool', '{k}', '^{re.escape(f)}$')" for k, f in [*R.LOCKFILE_MANAGERS, *R.MONOREPO_TOOLS])})
         SELECT DISTINCT what, name FROM t JOIN m ON regexp_matches(path, regex) WHERE NOT contains(path, '/')""",
-    "project_archetypes": f"""WITH k(project, archetype, other) AS (VALUES {", ".join(f"({k}, '{v}', '{'generic' if v == 'sdk-library' else v}')" for k, v in KINDS.items())})
-        SELECT project::INT AS project, CASE WHEN EXISTS (SELECT 1 FROM part WHERE p_partkey % 4 = project) THEN archetype ELSE other END AS archetype FROM k""",
+    "project_archetypes": f"""SELECT DISTINCT p_partkey // 5 AS project, list_extract([{q([p[3] for p in PROJECTS])}], (p_partkey // 5 % {len(PROJECTS)} + 1)::INT) AS archetype FROM part WHERE p_partkey IS NOT NULL""",
     "replaced_table": f"WITH {INV} SELECT path, size + 1 AS size, category FROM inv WHERE category <> 'code'",
     "merged_results": f"""WITH {VFILES} SELECT path, size * 10 + CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 1 END AS size FROM vfiles WHERE doc_id % 2 = 0 OR doc_id % 3 = 0""",
     "page_files": f"""WITH {PLAN} SELECT page_id || ':a/b' AS page_id, pos, title, page_id || '_a_b' AS page FROM plan WHERE pos % 3 <> 0""",
@@ -272,9 +307,12 @@ ORACLE_SQL = {
         SELECT 'menu' AS kind, '{{"title":"Project","items":[' || string_agg('{{"title":"' || section || '","items":[' || items || ']}}', ',' ORDER BY first) || ']}}' AS text FROM s
         UNION ALL SELECT 'map', E'# Project Documentation Map\\n\\n' || string_agg('## ' || section || E'\\n\\n' || lines || E'\\n', E'\\n' ORDER BY first) FROM s""",
     "stale_contexts": f"WITH {VFILES} SELECT path AS module, md5(text) AS input_hash FROM vfiles WHERE doc_id % 4 = 0 OR doc_id % 5 = 0",
-    "state_files": f"WITH {PLAN} SELECT count(*) > 0 AS written, count(*) AS error_rows, false AS left_over FROM plan WHERE pos % 8 = 2",
-    "initial_layout": "SELECT 'r' || r_regionkey || '/state/wiki/overview.md' AS path, '# ' || r_name || chr(10) AS text FROM region",
-    "rendered_prompts": f"""WITH {VFILES} SELECT path, 'Analyse ' || path || ' (' || size || ' bytes) as {{{{ ROLE }}}}; ' || path || ' only.' || CASE WHEN doc_id % 2 = 0 THEN ' Again.' ELSE '' END AS prompt, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END::INT AS turn FROM vfiles""",
+    "state_files": """SELECT 'p' || s_suppkey % 40 AS project, count(*) AS faults, run::INT AS run FROM supplier JOIN (VALUES (1, 4), (2, 6)) v(run, every) ON s_suppkey % every = 0 GROUP BY ALL""",
+    "initial_layout": r"""SELECT 's' || s_suppkey || '/state/' || p AS path, CASE p WHEN 'config.yaml' THEN E'exclude: []\nlanguage: zh\n' WHEN 'meta.json' THEN '{"project_name":"' || s_name || '","cache_schema_version":1}' ELSE '# ' || s_name || chr(10) END AS text
+        FROM supplier CROSS JOIN (VALUES ('config.yaml'), ('meta.json'), ('wiki/overview.md')) v(p)""",
+    "rendered_prompts": f"""WITH {VFILES}, p AS (SELECT path, doc_id, 'Analyse ' || path || ' (' || size || ' bytes) as {{{{ ROLE }}}}; ' || path || ' only.' AS prompt FROM vfiles)
+        SELECT path, CASE WHEN doc_id % 2 = 0 THEN prompt || ' Again.' WHEN doc_id % 5 <> 0 THEN prompt ELSE 'Old ' || path END AS prompt, CASE WHEN doc_id % 2 = 0 THEN 2 WHEN doc_id % 5 <> 0 THEN 1 ELSE 0 END::INT AS turn
+        FROM p WHERE doc_id % 2 = 0 OR doc_id % 5 <> 0 OR doc_id % 3 = 0""",
     "package_check": """SELECT 'missing required file: docs/g' || s_suppkey || '.md' AS message FROM supplier WHERE s_suppkey % 3 = 0
         UNION ALL SELECT 'docs/g' || s_suppkey || '.md declares legacy dependency: reads table.json' FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey % 4 = 0
         UNION ALL SELECT 'docs/g1.md missing ' || unnest(['YAML frontmatter', 'name: tool', 'description']) FROM supplier WHERE s_suppkey = 1""",

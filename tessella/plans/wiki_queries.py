@@ -11,7 +11,7 @@ from tessella.functions import diagrams
 from tessella.functions import rules as R
 from tessella.functions import text as T
 from tessella.functions.columns import base_name, flat_id, module_slug, safe_id, stem
-from tessella.operators import graph, pages, quality, wiki
+from tessella.operators import graph, pages, quality, trees, wiki
 from tessella.plans import bind
 from tessella.plans.oracle import ADJ, PLAN, VDOCS, VFILES, q
 from tessella.plans.oracle import ORACLE_SQL as ORACLE
@@ -310,9 +310,22 @@ def diagram_fixes(spark, sf):
     return docs.select("conv_id", diagrams.with_fix(F.col("text"), (F.col("conv_id") % 3).cast("int"), F.concat(F.lit("```mermaid\ngraph LR\nX"), F.col("conv_id").cast("string"), F.lit("\n```"))).alias("t")).select("conv_id", F.sha2("t", 256).alias("text_sha256"))
 
 
+def menu_intervals(spark, sf):
+    """Menus of three levels as intervals: numbers in order, last numbers below, depths, and each leaf's neighbours."""
+    n = F.col("page_id")
+    pages_ = bind.read(spark, sf, "pages").where("page_id IS NOT NULL").select(n, (n % 3).alias("tree"), (n % 7).alias("s"), F.when(n % 2 == 0, n % 4).alias("g"))
+    section, group = F.concat(F.lit("s"), F.col("s").cast("string")), F.concat(F.lit("s"), F.col("s").cast("string"), F.lit("/g"), F.col("g").cast("string"))
+    none = F.lit(None).cast("string")
+    sections = pages_.select("tree", section.alias("id"), none.alias("parent"), F.col("s").alias("pos"), none.alias("path")).distinct()
+    groups = pages_.where("g IS NOT NULL").select("tree", group.alias("id"), section.alias("parent"), F.col("g").alias("pos"), none.alias("path")).distinct()
+    leaves = pages_.select("tree", F.concat(F.lit("p"), n.cast("string")).alias("id"), F.coalesce(group, section).alias("parent"), F.when(F.col("g").isNull(), n + 10).otherwise(n).alias("pos"), F.concat(F.lit("p"), n.cast("string"), F.lit(".md")).alias("path"))
+    labels = trees.labelled(sections.unionByName(groups).unionByName(leaves))
+    return labels.join(trees.leaf_neighbours(labels), ["tree", "path"], "left").select("tree", "id", "depth", "first", "last", "previous", "next")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (safe_names, doc_names, missing_pages, final_check, severities, page_by_id, entry_handlers, link_forms, resolved_sources, cached_parses, file_metadata, source_folders, container_modules, workspace_packages, page_modules, module_insights, page_composer, menu_from_topology, menu_from_folders, nested_menu, menu_reconciled, package_groups, cross_cluster_edges, listing_tree, reconciled_edges, component_rules, evidence_ranges, signature_depths, key_filters, file_modules, gated_evidence, front_pages, diagram_blocks, diagram_errors, diagram_fixes)
+    for f in (menu_intervals, safe_names, doc_names, missing_pages, final_check, severities, page_by_id, entry_handlers, link_forms, resolved_sources, cached_parses, file_metadata, source_folders, container_modules, workspace_packages, page_modules, module_insights, page_composer, menu_from_topology, menu_from_folders, nested_menu, menu_reconciled, package_groups, cross_cluster_edges, listing_tree, reconciled_edges, component_rules, evidence_ranges, signature_depths, key_filters, file_modules, gated_evidence, front_pages, diagram_blocks, diagram_errors, diagram_fixes)
 }
 
 H1 = r"(?m)^#\s+(.+)$"
@@ -334,6 +347,14 @@ menu AS (SELECT section_pos::INT AS section_pos, list_extract(['Overview', 'Conc
 FENCED = "'```mermaid' || chr(10) || 'flowchart TD' || chr(10) || 'A[step one] --> B' || chr(10) || '```'"
 
 ORACLE_SQL = {
+    "menu_intervals": """WITH p AS (SELECT page_id, page_id % 3 AS tree, page_id % 7 AS s, CASE WHEN page_id % 2 = 0 THEN page_id % 4 END AS g FROM pages WHERE page_id IS NOT NULL),
+        n AS (SELECT DISTINCT tree, 's' || s AS id, 0 AS depth, s, -1 AS c, -1 AS e, NULL AS path FROM p
+          UNION ALL SELECT DISTINCT tree, 's' || s || '/g' || g, 1, s, g, -1, NULL FROM p WHERE g IS NOT NULL
+          UNION ALL SELECT tree, 'p' || page_id, CASE WHEN g IS NULL THEN 1 ELSE 2 END, s, CASE WHEN g IS NULL THEN page_id + 10 ELSE g END, CASE WHEN g IS NULL THEN -1 ELSE page_id END, 'p' || page_id || '.md' FROM p),
+        o AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY s, c, e) - 1 AS first,
+            CASE WHEN path IS NOT NULL THEN 1 WHEN depth = 0 THEN count(*) OVER (PARTITION BY tree, s) ELSE count(*) OVER (PARTITION BY tree, s, c) END AS size FROM n),
+        l AS (SELECT tree, id, lag(path) OVER w AS previous, lead(path) OVER w AS next FROM o WHERE path IS NOT NULL WINDOW w AS (PARTITION BY tree ORDER BY first))
+        SELECT tree, id, depth::INT AS depth, first, first + size - 1 AS last, previous, next FROM o LEFT JOIN l USING (tree, id)""",
     "safe_names": f"""WITH n AS (SELECT p_partkey, list_extract([{q([" a:b/", "/x.y" + chr(92), "__q/", "数据 "])}], (p_partkey % 4 + 1)::INT) || p_partkey || list_extract([{q(["", "/", " ?!", ".md_"])}], (p_partkey % 4 + 1)::INT) AS name FROM part),
         s AS (SELECT *, regexp_replace(regexp_replace(name, '[^A-Za-z0-9_.-]+', '_', 'g'), '^_+|_+$', '', 'g') AS kept FROM n)
         SELECT p_partkey, CASE WHEN kept = '' THEN 'page' ELSE kept END AS safe, translate(name, ':/\\.', '____') AS flat, regexp_replace(translate(name, '/\\', '__'), '^_+|_+$', '', 'g') AS slug FROM s""",

@@ -60,6 +60,11 @@ def state(df: DataFrame, path: str) -> bool:
     return True
 
 
+def states(faults: DataFrame, path: str, key: str) -> None:
+    """Faults as JSON in a folder for each key that has some; a key that has none any more loses its folder."""
+    faults.write.mode("overwrite").partitionBy(key).json(path)
+
+
 def pages(df: DataFrame, path: str, key: str = "page_id") -> None:
     """One folder of JSON a page, named by the safe form of its id; pages that are no longer there go."""
     df.withColumn("page", safe_id(F.col(key))).write.mode("overwrite").partitionBy("page").json(path)

@@ -8,9 +8,11 @@ tree (but with what lies right in the folders it opened). Content is read only i
 from __future__ import annotations
 
 import fnmatch
+import re
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,7 +64,13 @@ class Rules:
     binary: tuple[str, ...]
 
     def leaves_out(self, name: str) -> bool:
-        return name in self.names or any(fnmatch.fnmatch(name, g) for g in self.globs)
+        return name in self.names or bool(self.globs) and any_glob(self.globs)(name) is not None
+
+
+@lru_cache
+def any_glob(globs: tuple[str, ...]):
+    """All globs as one pattern."""
+    return re.compile("|".join(map(fnmatch.translate, globs))).match
 
 
 class Share(InputPartition):

@@ -103,7 +103,9 @@ def test_diagrams(spark):
     doc = "# x\n```mermaid\nflowchart TD\nA[a b]\n```\ntext\n```mermaid\nerDiagram\n```\n"
     r = spark.createDataFrame([(doc,)], "t string").select(diagrams.repair(F.col("t")).alias("r"), diagrams.blocks(F.col("t"), F.lit("s")).alias("b")).first()
     assert (r["r"]["blocks"], r["r"]["fixes"]) == (2, 1) and 'A["a b"]' in r["r"]["text"] and [b["diagram_type"] for b in r["b"]] == ["flowchart", "erDiagram"]
-    assert "graph LR\nX" in diagrams.apply_fix(doc, 1, "```mermaid\ngraph LR\nX\n```")
+    rows = [(doc, 1, "```mermaid\ngraph LR\nX\n```"), (doc, 0, "  graph LR\nY\n"), (doc, 7, "Z"), ("no diagram", 0, "Z")]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string, i int, d string").select(diagrams.with_fix(F.col("t"), F.col("i"), F.col("d"))).collect()]
+    assert got == [doc.replace("```mermaid\nerDiagram\n```", "```mermaid\ngraph LR\nX\n```"), doc.replace("```mermaid\nflowchart TD\nA[a b]\n```", "```mermaid\ngraph LR\nY\n```"), doc, "no diagram"]
 
 
 FLOW = [
