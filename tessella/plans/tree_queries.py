@@ -18,7 +18,7 @@ from tessella.plans.oracle import INV, PLAN, VDOCS, VFILES, q
 from tessella.plans.oracle import ORACLE_SQL as ORACLE
 from tessella.scratch import materialise, scratch_root
 from tessella.session import ship
-from tessella.sources import lines, sinks, tree
+from tessella.sources import lines, sinks, tree, versions
 
 FOLDERS = ["src", "dist", "node_modules", "docs", "a/.git", "lib/build/c", "vendor/x", "pkg/env", "_x", ".hidden", "gen/tmp"]
 FILES = ["main.py", "logo.png", "notes.md", "debug.log", "secret.key", "x.min.js", ".DS_Store", "yarn.lock", "font.ttf", "page.svg", "Data.CSV", "Photo.JPG", "README.txt"]
@@ -169,6 +169,21 @@ def merged_results(spark, sf):
     return spark.read.parquet(path)
 
 
+def versioned_merge(spark, sf):
+    """SK1, SK4, SK5, SK6, SK13: a table in versions: written, merged into twice, once refused for having built on an old
+    version; the last version and the first, side by side."""
+    path, files = place(spark, "versions"), bind.vfiles(ship(spark), sf).select("path", "size", "doc_id")
+    part = lambda n, every: files.where(F.col("doc_id") % every == 0).select("path", (F.col("size") * 10 + n).alias("size"), F.lit(n).alias("part"))
+    versions.replace(files.where("doc_id % 4 <> 1").select("path", "size"), path, "path", rows_a_file=500)
+    versions.merge(part(1, 5).unionByName(part(2, 10)), path, "part", rows_a_file=500)
+    versions.merge(part(3, 7), path, "part", rows_a_file=500)
+    try:
+        versions.merge(part(4, 1), path, "part", base=2)
+    except versions.Conflict:
+        refused = True
+    return versions.read(spark, path).withColumn("version", F.lit(3)).unionByName(versions.read(spark, path, 1).withColumn("version", F.lit(1))).withColumn("refused", F.lit(refused))
+
+
 def page_files(spark, sf):
     """SK2, SK8: a JSON file a page under its safe name; pages that are gone from the plan lose theirs."""
     path, plan = place(spark, "pages"), bind.plan_pages(spark, sf).select(F.concat("page_id", F.lit(":a/b")).alias("page_id"), "pos", "title")
@@ -262,7 +277,7 @@ def many_rules(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (ranged_lines, many_rules, tree_scan, tree_scan_archived, tree_folders, incremental_scan, config_excludes, versioned_json, markdown_corpus, known_documents, entry_probes, top_level_listing, project_kinds, project_archetypes, replaced_table, merged_results, page_files, menu_documents, stale_contexts, state_files, initial_layout, rendered_prompts, package_check, check_report)
+    for f in (versioned_merge, ranged_lines, many_rules, tree_scan, tree_scan_archived, tree_folders, incremental_scan, config_excludes, versioned_json, markdown_corpus, known_documents, entry_probes, top_level_listing, project_kinds, project_archetypes, replaced_table, merged_results, page_files, menu_documents, stale_contexts, state_files, initial_layout, rendered_prompts, package_check, check_report)
 }
 
 SUPPLIED = f"""f AS (
@@ -288,6 +303,8 @@ ORACLE_SQL = {
         SELECT DISTINCT path FROM c WHERE NOT list_has_any(string_split(path, '/'), [{q([*R.IGNORED_DIRS, *R.IGNORED_FILES])}])""",
     "incremental_scan": f"""WITH {VFILES} SELECT path, substr(sha256(text), 1, 16) AS hash FROM vfiles WHERE NOT list_has_any(string_split(path, '/'), [{q(R.MORE_IGNORED_DIRS)}]) AND extension IN ({q([*R.CODE_SUFFIXES, *R.TEXT_DOC_SUFFIXES])})""",
     "config_excludes": f"""WITH {VFILES} SELECT path FROM vfiles WHERE NOT list_has_any(string_split(path, '/'), ['dist', 'db', 'utils']) AND NOT regexp_matches(name, '^test_c.re') AND extension IN ({q([*R.CODE_SUFFIXES, *R.TEXT_DOC_SUFFIXES])})""",
+    "versioned_merge": f"""WITH {VFILES} SELECT path, CASE WHEN doc_id % 7 = 0 THEN size * 10 + 3 WHEN doc_id % 10 = 0 THEN size * 10 + 2 WHEN doc_id % 5 = 0 THEN size * 10 + 1 ELSE size END AS size, 3 AS version, true AS refused FROM vfiles WHERE doc_id % 4 <> 1 OR doc_id % 5 = 0 OR doc_id % 7 = 0
+        UNION ALL SELECT path, size, 1, true FROM vfiles WHERE doc_id % 4 <> 1""",
     "ranged_lines": f"""WITH {VDOCS}, l AS (SELECT conv_id, path, string_split(regexp_replace(text, E'\\n$', ''), E'\\n') AS l, (conv_id % 40 * 3 + 1) AS a, (conv_id % 40 * 3 + 1 + conv_id % 5 * 4) AS b FROM vdocs),
         r AS (SELECT path, l, unnest(range(a, least(b, len(l)) + 1)) AS number FROM l) SELECT path, number::BIGINT AS number, md5(l[number]) AS text_md5 FROM r""",
     "many_rules": f"""WITH {VFILES} SELECT path FROM vfiles WHERE NOT list_has_any(string_split(path, '/'), ['docs', 'utils']) AND NOT starts_with(name, 'test_') AND NOT regexp_matches(name, '^user.service\\.[gp].*$') AND NOT regexp_matches(name, '^READ.*\\.md$') AND name <> 'index.ts'
