@@ -85,24 +85,25 @@ def _anchors(value: Column, bits: int) -> Column:
 
 
 def _cells(fps: DataFrame, cell_limit: int) -> DataFrame:
-    """Rows (cell, sub, fp, home), dealt by cell and sorted by (cell, sub)."""
+    """Rows (cell, sub, fp, home), dealt by (cell, sub) and sorted by them.
+
+    Members are counted first, combined before the shuffle. Only what lies in the few cells beyond the limit is
+    replicated once more, by the other half's quarters, and so a cell that is hot is spread over tasks.
+    """
     low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
     high = F.shiftrightunsigned(F.col("fp"), 32)
     half = lambda v, n: F.transform(_anchors(v, 31), lambda a: F.struct((a["anchor"] + F.lit(n << 40)).alias("cell"), a["home"].alias("home")))
     rows = fps.select("fp", F.inline(F.concat(half(low, 0), half(high, 1))))
-    counted = rows.repartition("cell").select("*", F.count(F.lit(1)).over(_by("cell")).alias("members"))
-    other = F.when(F.col("cell") < (1 << 40), high).otherwise(low)
-    quarter = lambda v, n: F.transform(_anchors(v, 15), lambda a: a["anchor"] + F.lit((n << 20) + 1))
-    subs = F.when(F.col("members") <= cell_limit, F.array(F.lit(0).cast("bigint"))).otherwise(
-        F.concat(quarter(other.bitwiseAND(F.lit(0xFFFF)), 0), quarter(F.shiftrightunsigned(other, 16), 1))
-    )
-    return counted.select("cell", F.explode(subs).alias("sub"), "fp", "home").sortWithinPartitions("cell", "sub", "fp")
-
-
-def _by(*names: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*names)
+    heavy = materialise(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > cell_limit).select("cell"), "heavy")
+    plain = F.lit(0).cast("bigint")
+    if heavy.isEmpty():
+        dealt = rows.select("cell", plain.alias("sub"), "fp", "home")
+    else:
+        other = F.when(F.col("cell") < (1 << 40), high).otherwise(low)
+        quarter = lambda v, n: F.transform(_anchors(v, 15), lambda a: a["anchor"] + F.lit((n << 20) + 1))
+        subs = F.when(F.col("hot").isNull(), F.array(plain)).otherwise(F.concat(quarter(other.bitwiseAND(F.lit(0xFFFF)), 0), quarter(F.shiftrightunsigned(other, 16), 1)))
+        dealt = rows.join(heavy.withColumn("hot", F.lit(True)), "cell", "left").select("cell", F.explode(subs).alias("sub"), "fp", "home")
+    return dealt.repartition("cell", "sub").sortWithinPartitions("cell", "sub", "fp")
 
 
 def cell_links(fps: np.ndarray, home: np.ndarray, threshold: int, matrix: int = 2048) -> list[tuple[int, int]]:

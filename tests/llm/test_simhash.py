@@ -1,5 +1,6 @@
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from tessella.llm import queries, simhash
 
@@ -91,3 +92,24 @@ def test_odd_texts(docs_of, odd_texts, spark):
     assert sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_components(repeated).collect()), key=str) == [(7, 7), (7, 7), (None, 7), (None, None)]
     clash = spark.createDataFrame([(1, "a b c", 5), (2, "a b c", 6)], "doc_id long, text string, fp long")
     assert [tuple(r) for r in simhash.keep_one(clash).collect()] == [(1, "a b c", 5)]
+
+
+def test_a_hot_cell_is_spread_over_tasks(spark):
+    """Twenty thousand fingerprints that share a half lie in one cell; beyond the limit no task holds more than a part of them."""
+    rng = np.random.default_rng(12)
+    values = np.unique(rng.integers(0, 1 << 32, 20_000, dtype=np.uint64)) | np.uint64(7 << 32)
+    near = values[:200] ^ np.uint64(1 << 3)
+    values = np.unique(np.concatenate([values, near]))
+    fps = spark.createDataFrame([(int(v),) for v in values.view(np.int64).tolist()], "fp long")
+    dealt = simhash._cells(fps, 1000)
+    hot = dealt.groupBy("cell").count().orderBy("count", ascending=False).first()
+    assert hot["count"] > 10 * len(values)
+    places = dealt.where(F.col("cell") == hot["cell"]).groupBy(F.spark_partition_id().alias("p")).count()
+    assert places.count() > 1
+    rows = [r["n"] for r in dealt.groupBy("cell", "sub").count().withColumnRenamed("count", "n").collect()]
+    assert max(rows) < len(values) / 20
+    found = {v["v"]: v["label"] for v in simhash.components(simhash.near_links(fps, cell_limit=1000)).collect()}
+    whole = {v["v"]: v["label"] for v in simhash.components(simhash.near_links(fps)).collect()}
+    assert found == whole
+    want = brute_components({int(v): int(v) for v in values.tolist()})
+    assert {k: v for k, v in want.items() if k != v} == found
