@@ -71,3 +71,22 @@ def test_a_hub_and_a_common_line(docs_of):
     rows += [(2000 + i, f"{line} " + " ".join(f"w{n}" for n in rng.integers(0, 10**6, 12))) for i in range(1500)]
     kept = {r["doc_id"] for r in near_sets.keep_one(docs_of(rows).repartition(4)).collect()}
     assert kept == {0, *range(2000, 3500)}
+
+
+def test_a_large_group_whose_members_differ(docs_of, monkeypatch):
+    """Copies that are each near the others but not all near one of them: rounds take the pairs away before they are made."""
+    rng = np.random.default_rng(9)
+    base = [f"b{i}" for i in range(300)]
+    rows = []
+    for i in range(700):
+        own = list(base)
+        for at in rng.choice(300, 5 + i % 4, replace=False).tolist():
+            own[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(own)))
+    want = {i for i, _ in brute_kept(rows)}
+    made = []
+    plain = near_sets._pairs
+    monkeypatch.setattr(near_sets, "_pairs", lambda least: made.append(1) or plain(least))
+    assert {r["doc_id"] for r in near_sets.keep_one(docs_of(rows).repartition(4)).collect()} == want and made
+    monkeypatch.setattr(near_sets, "ROUNDS", 0)
+    assert {r["doc_id"] for r in near_sets.keep_one(docs_of(rows).repartition(4)).collect()} == want
