@@ -20,6 +20,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ class WordTokenizer:
     independent of each other. A chunk between white space is encoded once a worker and remembered, in two
     generations of bounded size: what isn't met again while a new one fills is forgotten with the older."""
 
-    LIMIT = 250_000
+    LIMIT = 400_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -102,13 +104,20 @@ class WordTokenizer:
         tokens, go to the library whole."""
         for at in range(0, len(texts), 64):
             split = [None if any(m in t for m in WHOLE) else t.split() for t in texts[at : at + 64]]
-            self.learn(set().union(*filter(None, split)))
-            get = self.known.__getitem__
-            for text, words in zip(texts[at : at + 64], split, strict=True):
-                if words is None:
+            words = list(chain.from_iterable(filter(None, split)))
+            found = list(map(self.known.get, words))
+            gaps = list(compress(range(len(words)), map(is_, found, repeat(None))))
+            if gaps:
+                self.learn({words[n] for n in gaps})
+                for n in gaps:
+                    found[n] = self.known[words[n]]
+            low = 0
+            for text, own in zip(texts[at : at + 64], split, strict=True):
+                if own is None:
                     yield np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4")
                 else:
-                    yield np.frombuffer(b"".join(map(get, words)), "<u4")
+                    yield np.frombuffer(b"".join(found[low : low + len(own)]), "<u4")
+                    low += len(own)
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
