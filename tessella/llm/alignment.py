@@ -41,9 +41,9 @@ from tessella.llm.bpe import BLOCK_CHARS, SPACE, byte_of_char, squeeze, unsqueez
 from tessella.llm.store import discard, materialise
 
 #: Distinct segments of a block, segments of a stored row, and bytes of alignments that a task remembers.
-MOST_DISTINCT = 400_000
+MOST_DISTINCT = 160_000
 CHUNK = 1 << 18
-MOST_BYTES = 128_000_000
+MOST_BYTES = 64_000_000
 #: Sentencepiece's mark of a space.
 MARK = "▁"
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -169,7 +169,7 @@ def _split(path_a: str, path_b: str, buckets: int, schema: pa.Schema):
                 keys.append(key)
                 coded.append(np.array(list(map(number.__getitem__, split(f" {text}"))) if text else [], "<u4"))
                 size, held = size + len(text or ""), held + len(coded[-1]) + 16
-                over = size >= 2 * BLOCK_CHARS or len(number) >= MOST_DISTINCT
+                over = size >= BLOCK_CHARS or len(number) >= MOST_DISTINCT
                 if over or held >= CHUNK:
                     yield documents()
                     keys, coded, held = [], [], 0
