@@ -41,7 +41,7 @@ from tessella.llm.bpe import BLOCK_CHARS, SPACE, byte_of_char, squeeze, unsqueez
 from tessella.llm.store import discard, materialise
 
 #: Distinct segments of a block, segments of a stored row, and bytes of alignments that a task remembers.
-MOST_DISTINCT = 160_000
+MOST_DISTINCT = 400_000
 CHUNK = 1 << 18
 MOST_BYTES = 64_000_000
 #: Sentencepiece's mark of a space.
@@ -169,7 +169,7 @@ def _split(path_a: str, path_b: str, buckets: int, schema: pa.Schema):
                 keys.append(key)
                 coded.append(np.array(list(map(number.__getitem__, split(f" {text}"))) if text else [], "<u4"))
                 size, held = size + len(text or ""), held + len(coded[-1]) + 16
-                over = size >= BLOCK_CHARS or len(number) >= MOST_DISTINCT
+                over = size >= 2 * BLOCK_CHARS or len(number) >= MOST_DISTINCT
                 if over or held >= CHUNK:
                     yield documents()
                     keys, coded, held = [], [], 0
@@ -228,6 +228,7 @@ def _compose(schema: pa.Schema):
         start = np.cumsum(counts[:, 3]) - counts[:, 3]
         texts = [t for p in parts for t in p[3].split(b"\n")]
         texts = [texts[i] for i in order.tolist()]
+        del parts
         counts, start = counts[order], start[order]
         pairs, which = np.unique(links[_ranges(start, counts[:, 3])], return_inverse=True)
         start = np.cumsum(counts[:, 3]) - counts[:, 3]
@@ -252,8 +253,12 @@ def _compose(schema: pa.Schema):
             blob = _pack(totals, np.array([len(k) for k in kept], "<u4"), np.concatenate([np.zeros(0, "<u4"), *kept])), squeeze(digests, 1)
             out.append(_row(schema, block=block, keys=keys.as_py(), blob=squeeze(list(blob), 1)))
         ids = pairs.astype("<i8").view("<i4").reshape(-1, 2)
-        found = [{"i": i, "a": a, "b": b, "docs": d} for i, (a, b), d in zip(range(len(ids)), ids.tolist(), held.tolist(), strict=True)]
-        out.append(_row(schema, block=block, blob=_pack(counts[:, 3].astype("<u4"), which.astype("<u4")), pairs=found))
+        kind = schema.field("pairs").type.value_type
+        columns = [np.arange(len(ids)), ids[:, 0], ids[:, 1], held]
+        found = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind))
+        last = _row(schema, block=block, blob=_pack(counts[:, 3].astype("<u4"), which.astype("<u4")))
+        listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), found)
+        out.append(pa.RecordBatch.from_arrays([listed.cast(f.type) if f.name == "pairs" else last.column(f.name) for f in schema], schema=schema))
         return pa.Table.from_batches(out, schema)
 
     return run
