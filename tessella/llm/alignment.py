@@ -38,11 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.bpe import BLOCK_CHARS, SPACE, byte_of_char, squeeze, unsqueeze
-from tessella.llm.store import discard, materialise
+from tessella.llm.store import discard, give_back, materialise
 
-#: Distinct segments of a block, segments of a stored row, and bytes of alignments that a task remembers.
+#: Distinct segments of a block, segments and pairs of a stored row, and bytes of alignments that a task remembers.
 MOST_DISTINCT = 400_000
-CHUNK = 1 << 18
+CHUNK = 1 << 17
+PAIRS = 1 << 14
 MOST_BYTES = 64_000_000
 #: Sentencepiece's mark of a space.
 MARK = "▁"
@@ -180,6 +181,8 @@ def _split(path_a: str, path_b: str, buckets: int, schema: pa.Schema):
         if keys:
             yield documents()
         yield from segments()
+        number.clear()
+        give_back()
 
     return run
 
@@ -204,6 +207,8 @@ def _align(path_a: str, path_b: str):
                 counts = np.array([(*r[:3], len(r[3]) // 8) for r in rows], "<u4").reshape(-1, 4)
                 out.append(squeeze([numbers, counts.tobytes(), b"".join(r[3] for r in rows), b"\n".join(r[4] for r in rows)]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["block", "blob"])
+        known.clear()
+        give_back()
 
     return run
 
@@ -217,7 +222,7 @@ COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 
 
 def _compose(schema: pa.Schema):
-    """A block's documents with counts, digest and segments' numbers; a row more with its segments' pairs."""
+    """A block's documents with counts, digest and segments' numbers; a row more with its segments' numbers of pairs, and rows of those pairs, bounded."""
 
     def run(documents: pa.Table, alignments: pa.Table) -> pa.Table:
         parts = [unsqueeze(x) for x in alignments.column("blob").to_pylist()]
@@ -256,9 +261,13 @@ def _compose(schema: pa.Schema):
         kind = schema.field("pairs").type.value_type
         columns = [np.arange(len(ids)), ids[:, 0], ids[:, 1], held]
         found = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind))
-        last = _row(schema, block=block, blob=_pack(counts[:, 3].astype("<u4"), which.astype("<u4")))
-        listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), found)
-        out.append(pa.RecordBatch.from_arrays([listed.cast(f.type) if f.name == "pairs" else last.column(f.name) for f in schema], schema=schema))
+        out.append(_row(schema, block=block, blob=_pack(counts[:, 3].astype("<u4"), which.astype("<u4"))))
+        plain = _row(schema, block=block)
+        for at in range(0, len(ids), PAIRS):
+            part = found.slice(at, PAIRS)
+            listed = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part)
+            out.append(pa.RecordBatch.from_arrays([listed.cast(f.type) if f.name == "pairs" else plain.column(f.name) for f in schema], schema=schema))
+        give_back()
         return pa.Table.from_batches(out, schema)
 
     return run
@@ -319,7 +328,7 @@ def align(df: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text_col
     composed = materialise(composed, "composed")
     discard(stored)
 
-    pairs = composed.where("keys is null").select(F.col("block").alias("home"), F.inline("pairs"))
+    pairs = composed.where("pairs is not null").select(F.col("block").alias("home"), F.inline("pairs"))
     held = pairs.groupBy("a", "b").agg(F.sum("docs").alias("docs"))
     held = materialise(held, "pairs")
     best = held.groupBy("a").agg(F.max("docs").alias("most"))
@@ -327,5 +336,5 @@ def align(df: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text_col
     counted = pairs.drop("docs").join(rated, ["a", "b"]).select("home", "i", "docs", "best")
     last = pa.schema([("key", arrow), *((c, pa.int64()) for c in [*COUNTS, "n_best", "count_sum"]), ("groups_sha256", pa.string())])
     fields = ", ".join(f"{c} long" for c in [*COUNTS, "n_best", "count_sum"])
-    done = composed.select("block", "keys", "blob").groupBy("block").cogroup(counted.groupBy("home")).applyInArrow(_finish(last), f"key {kind}, {fields}, groups_sha256 string")
+    done = composed.where("blob is not null").select("block", "keys", "blob").groupBy("block").cogroup(counted.groupBy("home")).applyInArrow(_finish(last), f"key {kind}, {fields}, groups_sha256 string")
     return done.withColumnRenamed("key", key)

@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.scratch import discard, materialise, release, scratch_root
 
-__all__ = ["discard", "exactly", "fresh", "materialise", "release", "scratch_root", "suspects", "text_or_empty", "within", "without"]
+__all__ = ["discard", "exactly", "fresh", "give_back", "materialise", "release", "scratch_root", "suspects", "text_or_empty", "within", "without"]
 
 #: Bits of a bitmap that is broadcast: eight megabytes at most.
 MOST_BITS = 1 << 26
 PAGE_BITS = 8 * 4096
 
 
+def give_back() -> None:
+    """Hands memory that a Python worker has freed back to the system: workers outlive their tasks, and would keep what the largest took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def text_or_empty(name: str):
     """Null texts count as empty ones."""
     return F.coalesce(F.col(name), F.lit(""))

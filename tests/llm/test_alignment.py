@@ -129,3 +129,26 @@ def test_other_kinds_of_tokenizers_are_refused():
 def test_string_keys_and_clashing_columns(spark):
     df = spark.createDataFrame([("x", "some text", 1), (None, "some text", 2)], "doc_id string, text string, block int")
     assert [r[:4] for r in got(alignment.align(df, A, B))] == [r[:4] for r in brute([("x", "some text"), (None, "some text")])]
+
+
+def test_pairs_of_a_block_are_stored_in_bounded_rows(monkeypatch):
+    pa, np, pc = alignment.pa, alignment.np, pytest.importorskip("pyarrow.compute")
+    monkeypatch.setattr(alignment, "PAIRS", 3)
+    monkeypatch.setattr(alignment, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("Own", (), {"partitionId": lambda self: 0})())}))
+    listed = [("keys", pa.list_(pa.int64())), ("blob", pa.binary())]
+    first = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), *listed])
+    pair = pa.struct([("i", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("docs", pa.int64())])
+    second = pa.schema([("block", pa.int64()), *listed, ("pairs", pa.list_(pair))])
+    rows = [(1, "one two one"), (2, "three two four five"), (3, None)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows])], ["key", "text"])
+    split = pa.Table.from_batches(alignment._split(A, B, 2, first)(iter([batch])))
+    buckets = split.filter(pc.is_valid(split["bucket"])).sort_by("bucket").select(["block", "bucket", "blob"])
+    aligned = pa.Table.from_batches(alignment._align(A, B)(iter(buckets.to_batches())))
+    made = alignment._compose(second)(split.filter(pc.is_null(split["bucket"])).select(["block", "keys", "blob"]), aligned).to_pylist()
+    pairs = [m["pairs"] for m in made if m["pairs"] is not None]
+    assert len(pairs) > 1 and max(map(len, pairs)) <= 3 and all(m["blob"] is None and m["keys"] is None for m in made if m["pairs"] is not None)
+    flat = [p for own in pairs for p in own]
+    assert [p["i"] for p in flat] == list(range(len(flat))) and sum(m["keys"] is None and m["blob"] is not None for m in made) == 1
+    links = lambda t: {tuple(x) for s in alignment.aligner(A, B).split(f" {t}") for x in np.frombuffer(alignment.aligner(A, B).align([s.encode()])[0][3], "<i4").reshape(-1, 2).tolist()}
+    want = [x for _, t in rows if t for x in links(t)]
+    assert {(p["a"], p["b"]): p["docs"] for p in flat} == {x: want.count(x) for x in want}
