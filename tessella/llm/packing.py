@@ -29,34 +29,57 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.store import give_back
+
 SCHEMA = "key {}, start long, length long, ids binary, item_tokens long, sequence_id long, offset long"
 #: What makes a text go to the library whole: separators that str.split() alone honours, marks of special tokens.
 WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
-WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Texts of these characters alone are put in lower case and cut here as the tokenizer's pattern would.
+LATIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
+MARKS = [c for c in map(chr, range(33, 127)) if not c.isalnum()]
+PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+def pieces(text: str) -> list[str]:
+    """A text's words and marks in lower case, or its chunks between white space if it has other characters."""
+    if not (text.isascii() or LATIN.fullmatch(text)):
+        return text.split()
+    text, marks = text.lower(), [m for m in MARKS if m in text]
+    # Adjacent marks are one token, and an apostrophe may belong to what follows it.
+    if len(marks) > 8 or "'" in marks or any(a + b in text for a in marks for b in marks):
+        return PIECE.findall(text)
+    for m in marks:
+        text = text.replace(m, f" {m} ")
+    return text.split()
 
 
 class WordTokenizer:
     """Ids of whole texts for a tokenizer whose words never span white space, end in a marked piece and are
-    independent of each other. A chunk between white space is encoded once a worker and remembered, in two
+    independent of each other. A chunk between white space, or a word or mark of it, is encoded once a worker and remembered, in two
     generations of bounded size: what isn't met again while a new one fills is forgotten with the older."""
 
     LIMIT = 400_000
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.full = Tokenizer.from_file(path)
         vocab = self.full.get_vocab()
+        # For words of lower-case letters, which neither normalizer nor pattern would change or cut.
+        self.words = Tokenizer.from_file(path)
+        self.words.normalizer = None
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for p, i in vocab.items() if p.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def _plain(self, words: list[str]) -> None:
-        """Words of letters alone: encoded as one text and cut at the marked pieces."""
+        """Words of lower-case letters alone: encoded as one text and cut at the marked pieces."""
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
-            ids = np.array(self.full.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
             if len(ends) == len(part):
                 raw = ids.tobytes()
@@ -83,27 +106,17 @@ class WordTokenizer:
             self.older, self.known = self.known, {}
             new = chunks
         new = self.missing(new)
-        if not new:
-            return
         # The tokenizer lowers case, so letters alone are looked up and encoded in lower case.
-        parts, other, match = [], [], WORD.fullmatch
-        for c in new:
-            if m := match(c):
-                word, tail = m.groups()
-                parts.append((c, word.lower(), tail))
-            else:
-                other.append(c)
-        self._each([*other, *self.missing({tail for _, _, tail in parts if tail})])
-        self._plain(list(self.missing({word for _, word, _ in parts})))
-        known = self.known
-        for c, word, tail in parts:
-            known[c] = known[word] + known[tail] if tail else known[word]
+        letters = {c: c.lower() for c in new if WORD.fullmatch(c)}
+        self._plain(list(self.missing(set(letters.values()))))
+        self._each(list(new.difference(letters)))
+        self.known.update({c: self.known[word] for c, word in letters.items() if c != word})
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text. Texts with separators that only str.split() honours, or with marks of special
         tokens, go to the library whole."""
         for at in range(0, len(texts), 64):
-            split = [None if any(m in t for m in WHOLE) else t.split() for t in texts[at : at + 64]]
+            split = [None if any(m in t for m in WHOLE) else pieces(t) for t in texts[at : at + 64]]
             words = list(chain.from_iterable(filter(None, split)))
             found = list(map(self.known.get, words))
             gaps = list(compress(range(len(words)), map(is_, found, repeat(None))))
@@ -330,6 +343,7 @@ def pack(df: DataFrame, tokenizer: str, key: str = "doc_id", text_col: str = "te
                 rows.clear()
         if rows:
             yield columns()
+        give_back()
 
     bears = F.col(loss_col) if loss_col else F.lit(True)
     return df.select(F.col(key).alias("k"), F.col(text_col).alias("t"), bears.alias("b")).mapInArrow(run, SCHEMA.format(kind))

@@ -86,3 +86,15 @@ def test_null_ids_repeated_rows_and_clashing_names(spark):
     sizes = {t: len(Tokenizer.from_file(PATH).encode(t, add_special_tokens=False).ids) + 1 for t in ("a b c", "x y")}
     assert sum(r["length"] for r in got if r["key"] is None) == 2 * sizes["a b c"]
     assert sum(r["length"] for r in got if r["key"] == 5) == 3 * sizes["x y"]
+
+
+def test_pieces_are_the_tokenizers_own():
+    """Whatever its case and the marks around it, a word of Latin letters is learnt once; ids are the library's."""
+    words = packing.WordTokenizer(PATH)
+    next(words.encode(["Abc, abc. (ABC) \"abc\" aBc!"]))
+    assert set(words.known) == {"abc", ",", ".", "(", ")", '"', "!"}
+    rng, letters = np.random.default_rng(2), list("abZéÉßþÞ×÷012'''stredvml.,!?<|>-\t\n \x0b\x1c\xa0µº…«İΣςé中①²")
+    texts = ["".join(rng.choice(letters[:n], rng.integers(0, 30))) for n in (33, len(letters)) for _ in range(2000)]
+    words.LIMIT = 300
+    for got, want in zip(words.encode(texts), words.full.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert got.tolist() == want.ids
