@@ -44,9 +44,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each near-duplicate group (links at a 5-word Jaccard similarity of 0.8) the document with the
     smallest doc_id stays.
 
-    The fingerprints of operator 8 can't serve here: of 64 bits, pairs at 0.8 are expected about ten apart, and no
-    covering code brings those together with few replicas. The stage keeps that operator's components and finds
-    its links exactly, by prefix filtering over the shingles themselves.
+    Operator 8's fingerprints, covering anchors and components find near copies at three bits or fewer, which are
+    checked by the shingles themselves. Of 64 bits, pairs at 0.8 are expected about ten apart, and no covering code
+    brings those together with few replicas: what is left is found exactly, by prefix filtering over the shingles.
     """
     ship(spark)
     return near_sets.keep_one(docs)

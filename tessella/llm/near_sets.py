@@ -1,13 +1,15 @@
-"""Near duplicates by the Jaccard similarity of word shingles, exact at any threshold from a half up.
+"""Near duplicates by SimHash and the Jaccard similarity of word shingles, exact at any threshold from a half up.
 
 A text is the set of its shingles' hashes; two texts link if their sets' similarity is at least the
-threshold. Sets are put in one order, rare shingles first. Two sets that link share one of the first
+threshold. Operator 8's covering anchors come first: sets whose fingerprints (of the same shingles) differ in
+at most three bits are compared with each other, along links that span each near group. Of 64 bits, pairs
+at the threshold may differ in more; those are found as follows, exactly. Sets are put in one order, rare shingles first. Two sets that link share one of the first
 n - ceil(threshold * n) + 1 shingles of each (prefix filtering), so all links lie between texts that
 meet at a shingle there. The order decides about cost alone: shingles that a bounded sample shows to
 be frequent come last, any others in the order of their hashes.
 
 Links are found in steps, so that a large group of near copies takes a few links a member, not all
-pairs. First those that meet at a shingle are compared with the least of them. Where many of several
+pairs. What the fingerprints have linked isn't compared again. Those that meet at a shingle are compared with the least of them. Where many of several
 components still meet, they are compared with one other member a round, as long as that links some. Then
 only shingles where several components meet are left, and there all pairs across components are compared. A pair is
 compared by lengths and a bit map of each set's parities (two bit maps never differ in more bits than
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.simhash import components
+from tessella.llm.simhash import components, near_links, print_of
 from tessella.llm.store import exactly, fresh, materialise, suspects, within
 
 BITS = 512
@@ -41,8 +43,8 @@ RUN = 256
 CROWD, ROUNDS = 48, 8
 
 
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """The distinct hashes of a text's word shingles, in order."""
+def hashes_of(text: str | None, size: int) -> np.ndarray:
+    """The hashes of a text's word shingles, as they come."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
@@ -50,7 +52,12 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[: max(1, len(words) - size + 1)].tolist()
     stops = ends[size - 1 :].tolist() if len(words) >= size else [len(flat)]
-    return np.unique(np.array([digest(flat[a:b], 42) for a, b in zip(starts, stops, strict=True)], np.uint64))
+    return np.array([digest(flat[a:b], 42) for a, b in zip(starts, stops, strict=True)], np.uint64)
+
+
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, in order."""
+    return np.unique(hashes_of(text, size))
 
 
 def _digests(sets: list[np.ndarray]) -> pa.Array:
@@ -75,7 +82,7 @@ def set_of(text: Column, size: int) -> Column:
 
 
 def outline(text: Column, size: int, least: Fraction, frequent: np.ndarray, counts: np.ndarray) -> Column:
-    """struct(v, n: members, bits: parities, prefix). frequent: hashes in order that come last, by counts."""
+    """struct(v, fp: SimHash, n: members, bits: parities, prefix). frequent: hashes in order that come last, by counts."""
 
     def prefix(s: np.ndarray) -> np.ndarray:
         keep = len(s) - -(-len(s) * least.numerator // least.denominator) + 1 if len(s) else 0
@@ -84,13 +91,17 @@ def outline(text: Column, size: int, least: Fraction, frequent: np.ndarray, coun
         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
         return s[np.lexsort((s, np.where(frequent[at] == s, counts[at], 0)))[:keep]]
 
-    @F.arrow_udf("v long, n int, bits binary, prefix array<long>")
+    @F.arrow_udf("v long, fp long, n int, bits binary, prefix array<long>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            sets = [shingles(t, size) for t in texts.to_pylist()]
+            prints, sets = [], []
+            for t in texts.to_pylist():
+                hashes = hashes_of(t, size)
+                prints.append(print_of(hashes))
+                sets.append(np.unique(hashes))
             odd = [np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1 for s in sets]
             bits = pa.array([np.packbits(o.astype(np.uint8)).tobytes() for o in odd], pa.binary())
-            yield pa.StructArray.from_arrays([_digests(sets), pa.array([len(s) for s in sets], pa.int32()), bits, _lists([prefix(s) for s in sets])], ["v", "n", "bits", "prefix"])
+            yield pa.StructArray.from_arrays([_digests(sets), pa.array(prints, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), bits, _lists([prefix(s) for s in sets])], ["v", "fp", "n", "bits", "prefix"])
 
     return run(text)
 
@@ -181,6 +192,18 @@ def _similar(least: Fraction):
     return run
 
 
+def print_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b): pairs of the sets (v, fp, n) that span all groups of fingerprints at three bits or fewer."""
+    prints = materialise(sets.groupBy("fp").agg(F.min(F.struct("v", "n")).alias("least")), "prints")
+    links = near_links(prints.select("fp"))
+    side = lambda c: prints.select(F.col("fp").alias(c), F.col("least").alias(f"least_{c}"))
+    across = links.join(side("a"), "a").join(side("b"), "b").select(F.col("least_a").alias("p"), F.col("least_b").alias("q"))
+    # Sets with one fingerprint are linked to the least of them.
+    equal = sets.join(prints, "fp").where("v <> least.v").select(F.col("least").alias("p"), F.struct("v", "n").alias("q"))
+    pairs = across.union(equal).select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
+    return pairs.select(F.col("p.v").alias("a"), F.col("q.v").alias("b"), F.col("p.n").alias("n_a"), F.col("q.n").alias("n_b"))
+
+
 def near_groups(docs: DataFrame, id_col: str, text_col: str, size: int = 5, similarity: float = 0.8, sample: int = 16_384, most: int = 200_000) -> DataFrame:
     """(id, v, component_id): the smallest id that each row reaches by links; v is its set's digest, for an id may
     stand for several texts. Rows without id aren't allowed."""
@@ -188,22 +211,32 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, size: int = 5, simi
     frequent, counts = frequent_shingles(docs, id_col, text_col, size, sample, most)
     rows = docs.select(F.col(id_col).alias("id"), outline(F.col(text_col), size, least, frequent, counts).alias("o"))
     rows = materialise(rows.select("id", "o.*"), "outlines")
-    sets = materialise(rows.groupBy("v").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")), "sets")
+    sets = materialise(rows.groupBy("v").agg(F.min("id").alias("rep"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")), "sets")
     at = Window.partitionBy("s")
     met = sets.select("v", "n", F.explode("prefix").alias("s")).select("*", F.count(F.lit(1)).over(at).alias("members"), F.min(F.struct("v", "n")).over(at).alias("least"))
     met = materialise(met.where("members > 1").select("s", "v", "n", "least", (F.col("members") > CROWD).alias("crowded")), "meetings")
 
-    def linked(meetings: DataFrame, label: str) -> DataFrame:
+    def similar_sizes(pairs: DataFrame) -> DataFrame:
+        return pairs.where(F.least("n_a", "n_b") * least.denominator >= F.greatest("n_a", "n_b") * least.numerator)
+
+    def linked(meetings: DataFrame, label: str, known: DataFrame | None = None) -> DataFrame:
         """Those of the pairs in meetings (a, b, n_a, n_b: a row a shingle) whose sets are similar enough.
 
         Shingles up to the end of the prefix that ends first are shared in both prefixes or not at all; of
-        those after it at most ceil(threshold * n) - 1 are shared. Pairs for which that is too few are left out.
+        those after it at most ceil(threshold * n) - 1 are shared. Pairs for which that is too few are left out,
+        as are those of one component in known.
         """
         behind = lambda n: F.floor((F.col(n) * least.numerator + least.denominator - 1) / least.denominator)
         most_shared = F.col("c") + F.greatest(behind("n_a"), behind("n_b")) - 1
-        counted = meetings.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c"))
-        counted = counted.where(F.least("n_a", "n_b") * least.denominator >= F.greatest("n_a", "n_b") * least.numerator)
+        counted = similar_sizes(meetings.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c")))
         pairs = counted.where(most_shared * (least.numerator + least.denominator) >= (F.col("n_a") + F.col("n_b")) * least.numerator)
+        if known is not None:
+            of = lambda c: known.select(F.col("v").alias(c), F.col("label").alias(f"label_{c}"))
+            pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b"))
+        return verified(pairs, label)
+
+    def verified(pairs: DataFrame, label: str) -> DataFrame:
+        """Those of distinct pairs (a, b) whose sets are similar enough."""
         pairs = materialise(pairs.select("a", "b"), f"{label}-pairs")
         wanted = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct().join(sets.select("v", "rep"), "v").select(F.col("rep").alias("_rep")).distinct()
         wanted = materialise(wanted, f"{label}-wanted")
@@ -218,8 +251,10 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, size: int = 5, simi
         together = heads.unionByName(others).repartition("a", "run").sortWithinPartitions("a", "run", "kind")
         return materialise(together.mapInArrow(_similar(least), "a long, b long"), f"{label}-links")
 
+    prints = materialise(components(verified(similar_sizes(print_pairs(sets)), "prints")), "print-components")
+    both = lambda labels, more: labels.select(F.col("v").alias("a"), F.col("label").alias("b")).union(more)
     stars = met.where("v <> least.v").select(F.col("least.v").alias("a"), F.col("v").alias("b"), F.col("least.n").alias("n_a"), F.col("n").alias("n_b"))
-    first = materialise(components(linked(stars, "first")), "first-components")
+    first = materialise(components(both(prints, linked(stars, "first", prints))), "first-components")
     tag = lambda rows, labels: rows.select("s", "v", "n").join(labels, "v", "left").select("s", "v", "n", F.coalesce("label", "v").alias("label"))
 
     # Where many still meet, members of other components are compared with one member at a time, another each round,
@@ -234,13 +269,13 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, size: int = 5, simi
         more = linked(pairs, f"round-{turn}")
         if more.isEmpty():
             break
-        first = materialise(components(first.select(F.col("v").alias("a"), F.col("label").alias("b")).union(more)), "round-components")
+        first = materialise(components(both(first, more)), "round-components")
 
     mixed = tag(met, first).select("*", (F.min("label").over(at) != F.max("label").over(at)).alias("mixed")).where("mixed")
     mixed = mixed.join(sets.select("v", "bits"), "v").select("s", "v", "label", F.col("n").cast("long").alias("n"), "bits").repartition("s").sortWithinPartitions("s")
     second = linked(mixed.mapInArrow(_pairs(least), "a long, b long, n_a long, n_b long"), "second")
 
-    found = components(first.select(F.col("v").alias("a"), F.col("label").alias("b")).union(second))
+    found = components(both(first, second))
     labelled = sets.select("v", "rep").join(found, "v", "left").select("v", "rep", F.coalesce("label", "v").alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
     return rows.select("id", "v").join(labelled.join(smallest, "label").select("v", "component_id"), "v").select("id", "v", "component_id")

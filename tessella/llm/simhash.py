@@ -35,6 +35,19 @@ from tessella.llm.store import discard, exactly, fresh, materialise, suspects
 BLOCK = 1 << 18
 
 
+def ones(hashes: np.ndarray) -> np.ndarray:
+    """In how many of the hashes each bit is set, high bit first."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        total += np.unpackbits(hashes[at : at + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return total
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """The fingerprint of a text's shingle hashes, repeats included, as a long; zero without any."""
+    return int.from_bytes(np.packbits(ones(hashes) * 2 > len(hashes)).tobytes(), "big", signed=True) if len(hashes) else 0
+
+
 def fingerprint_bytes(text: str | None, shingle: int = 3, seed: int = 42) -> bytes:
     """The eight bytes, high bit first, of one text's fingerprint."""
     # bytes.lower() changes A-Z alone; bytes.split() splits at 0x20 and 0x09-0x0D alone.
@@ -46,11 +59,10 @@ def fingerprint_bytes(text: str | None, shingle: int = 3, seed: int = 42) -> byt
     n = max(1, len(words) - shingle + 1)
     starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
     stops = ends[shingle - 1 :].tolist() if len(words) >= shingle else [len(flat)]
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
     for at in range(0, n, BLOCK):
-        hashes = np.array([digest(flat[a:b], seed) for a, b in zip(starts[at : at + BLOCK], stops[at : at + BLOCK], strict=True)], ">u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > n).tobytes()
+        total += ones(np.array([digest(flat[a:b], seed) for a, b in zip(starts[at : at + BLOCK], stops[at : at + BLOCK], strict=True)], np.uint64))
+    return np.packbits(total * 2 > n).tobytes()
 
 
 def fingerprint(text: Column, shingle: int = 3, seed: int = 42) -> Column:

@@ -90,3 +90,43 @@ def test_a_large_group_whose_members_differ(docs_of, monkeypatch):
     assert {r["doc_id"] for r in near_sets.keep_one(docs_of(rows).repartition(4)).collect()} == want and made
     monkeypatch.setattr(near_sets, "ROUNDS", 0)
     assert {r["doc_id"] for r in near_sets.keep_one(docs_of(rows).repartition(4)).collect()} == want
+
+
+def test_fingerprints_link_first(spark, docs_of, monkeypatch):
+    """Operator 8's anchors give links that span all groups at three bits; what they link is checked, and the rest is found after them."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in rng.integers(0, 10**6, 260)]
+        for c in range(5):
+            own = list(base)
+            for at in rng.choice(260, [0, 1, 1, 2, 9][c], replace=False).tolist():
+                own[at] = f"c{c}x{at}"
+            rows.append((len(rows), " ".join(own)))
+    rows += [(100, rows[0][1] + " " + rows[0][1]), (101, ""), (102, None), (103, "a b")]
+
+    def brute_print(text):
+        bits = [[int(b) for b in f"{h:064b}"] for h in near_sets.hashes_of(text, 5).tolist()]
+        return sum((2 * sum(column) > len(bits)) << (63 - n) for n, column in enumerate(zip(*bits, strict=True)))
+
+    prints = [brute_print(t) for _, t in rows]
+    assert [near_sets.print_of(near_sets.hashes_of(t, 5)) % 2**64 for _, t in rows] == prints
+    assert [int.from_bytes(simhash.fingerprint_bytes(t, 5), "big") for _, t in rows] == prints
+    signed = [p - 2**64 if p >> 63 else p for p in prints]
+    sets = spark.createDataFrame([(n, p, 7) for n, p in enumerate(signed)], "v long, fp long, n int")
+    pairs = [(r["a"], r["b"]) for r in near_sets.print_pairs(sets).collect()]
+    assert all((prints[a] ^ prints[b]).bit_count() <= 3 for a, b in pairs) and len(set(pairs)) == len(pairs)
+
+    def groups(links):
+        label = list(range(len(rows)))
+        for _ in label:
+            for a, b in links:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 3]
+    assert groups(pairs) == groups(near) and 12 < len(set(groups(near))) < len(rows) - 12
+
+    made, plain = [], near_sets.near_links
+    monkeypatch.setattr(near_sets, "near_links", lambda fps: made.append(1) or plain(fps))
+    assert sorted((r["doc_id"], r["text"]) for r in near_sets.keep_one(docs_of([r for r in rows if r[1]])).collect()) == brute_kept([r for r in rows if r[1]]) and made
