@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.store import give_back
+
 UNKNOWN = "und"
 WIDTHS = (2, 3, 4)
 BATCH = 512
@@ -292,6 +294,7 @@ def judged(text: Column, model: ByteConvNet, familiar: Familiar) -> Column:
             labels, scores = model.predict(iter(texts))
             known = [familiar.accepts(t, g) for t, g in zip(texts, labels, strict=True)]
             yield pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array(known, pa.bool_())], ["lang_pred", "score", "familiar"])
+        give_back()
 
     return run(text)
 
