@@ -8,13 +8,17 @@ n - ceil(threshold * n) + 1 shingles of each (prefix filtering), so all links li
 meet at a shingle there. The order decides about cost alone: shingles that a bounded sample shows to
 be frequent come last, any others in the order of their hashes.
 
+Shingles at which the same sets meet, as those of a shared passage do, are one meeting with their number.
 Links are found in steps, so that a large group of near copies takes a few links a member, not all
-pairs. What the fingerprints have linked isn't compared again. Those that meet at a shingle are compared with the least of them. Where many of several
-components still meet, they are compared with one other member a round, as long as that links some. Then
-only shingles where several components meet are left, and there all pairs across components are compared. A pair is
+pairs. What the fingerprints have linked isn't compared again. Those that meet are compared with the least of them. Where several
+components still meet, each member is compared with the one of another component that its bit map is nearest to (in a large
+meeting, the nearest of a block of members, dealt anew each round), a few rounds, as long as that links some. Then
+only meetings of several components are left, and there all pairs across components are compared. A pair is
 compared by lengths and a bit map of each set's parities (two bit maps never differ in more bits than
 the sets in members), by the number of shingles where it meets, which bounds how many it can share, and
-if all that allows the similarity by the sets themselves. Nothing is sampled or capped in that.
+if all that allows the similarity by the sets themselves. Meetings of one least set lie together, so that a pair
+comes once from there, however many it meets at. Nothing is sampled or capped in that. Components are joined by
+their labels: a round costs what it has found, not what all before it have.
 
 Cases: null and empty texts, and those of white space, have the same empty set and are near copies.
 Texts of fewer words than a shingle have one. Sets are told apart by 64-bit digests. Rows without id stay.
@@ -32,15 +36,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.simhash import components, near_links, print_of
-from tessella.llm.store import exactly, fresh, materialise, suspects, within
+from tessella.llm.store import discard, exactly, fresh, materialise, suspects, within
 
-BITS = 512
+BITS = 2048
 #: Rows of pairs after which a batch is handed on.
 OUT_ROWS = 50_000
 #: Pairs of one set that are verified in one place.
 RUN = 256
-#: How many sets may meet at a shingle before they are compared with one after the other, and in how many rounds at most.
-CROWD, ROUNDS = 48, 8
+#: Members of a meeting among which the nearest is looked for, and in how many rounds at most.
+CROWD, ROUNDS = 1024, 3
+#: Rows of the meetings of one least set that lie in one place.
+TOGETHER = 1 << 16
 
 
 def hashes_of(text: str | None, size: int) -> np.ndarray:
@@ -117,47 +123,98 @@ def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, size: int, sa
     return hashes[order], counts[order]
 
 
+def _nearest(least: Fraction, turn: int):
+    """As _pairs, but for each member only the pair with the nearest bit map in its block of the meeting."""
+    return _meet(least, turn)
+
+
 def _pairs(least: Fraction):
-    """A row (a, b, n_a, n_b) a shingle for pairs of different labels that meet and whose lengths and bit maps allow the similarity."""
+    """Rows (a, b, n_a, n_b, c: shingles) for pairs of different labels that meet and whose lengths and bit maps allow the similarity."""
+    return _meet(least, None)
+
+
+def _summed(held: list[np.ndarray]) -> np.ndarray:
+    """Columns a, b, n_a, n_b, c with each pair once."""
+    cols = np.concatenate([np.zeros((5, 0), np.int64), *held], axis=1)
+    cols = cols[:, np.lexsort((cols[1], cols[0]))]
+    first = np.flatnonzero(np.r_[True, (np.diff(cols[:2]) != 0).any(axis=0)][: cols.shape[1]])
+    out = cols[:, first]
+    if len(first):
+        out[4] = np.add.reduceat(cols[4], first)
+    return out
+
+
+def _meet(least: Fraction, turn: int | None):
+    """Rows come by meeting: (g, at, v, label, n, c, bits), those of one least set (at) together."""
     num, den = least.numerator, least.denominator
 
-    def of(group: tuple[np.ndarray, ...]) -> Iterator[np.ndarray]:
-        v, label, n, bits = group
+    def of(v: np.ndarray, label: np.ndarray, n: np.ndarray, c: np.ndarray, bits: np.ndarray) -> Iterator[np.ndarray]:
         order = np.argsort(n, kind="stable")
-        v, label, n, bits = v[order], label[order], n[order], bits[order]
+        v, label, n, c, bits = v[order], label[order], n[order], c[order], bits[order]
         ends = np.searchsorted(n, n * den // num, "right")
+        other, far = np.full(len(v), -1), np.full(len(v), np.iinfo(np.int64).max)
         for i, end in enumerate(ends.tolist()):
-            rest = slice(i + 1, end)
+            rest = np.flatnonzero(label[i + 1 : end] != label[i]) + i + 1
             differ = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            hit = np.flatnonzero((label[rest] != label[i]) & (differ * (num + den) <= (den - num) * (n[rest] + n[i]))) + i + 1
-            if len(hit):
-                swap, here = v[hit] < v[i], np.full(len(hit), n[i])
-                yield np.stack([np.minimum(v[hit], v[i]), np.maximum(v[hit], v[i]), np.where(swap, n[hit], here), np.where(swap, here, n[hit])])
+            allowed = differ * (num + den) <= (den - num) * (n[rest] + n[i])
+            hit = rest[allowed]
+            if not len(hit):
+                continue
+            if turn is None:
+                yield pairs(v, n, c, np.full(len(hit), i), hit)
+                continue
+            differ = differ[allowed]
+            closer = differ < far[hit]
+            other[hit[closer]], far[hit[closer]] = i, differ[closer]
+            if differ.min() < far[i]:
+                other[i], far[i] = hit[differ.argmin()], differ.min()
+        if len(some := np.flatnonzero(other >= 0)):
+            both = np.unique(np.sort(np.stack([some, other[some]]), axis=0), axis=1)
+            yield pairs(v, n, c, *both)
+
+    def pairs(v: np.ndarray, n: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        swap = v[j] < v[i]
+        return np.stack([np.where(swap, v[j], v[i]), np.where(swap, v[i], v[j]), np.where(swap, n[j], n[i]), np.where(swap, n[i], n[j]), c[i]])
+
+    def blocks(v: np.ndarray) -> list[np.ndarray]:
+        if turn is None or len(v) <= CROWD:
+            return [np.arange(len(v))]
+        dealt = np.argsort([xxhash.xxh64_intdigest(x.tobytes(), turn) for x in v])
+        return np.array_split(dealt, -(-len(v) // CROWD))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, ...]] = []
+        held: list[np.ndarray] = []
+        size = 0
 
         def work(cols: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-            cut = np.flatnonzero(np.diff(cols[0])) + 1
-            held: list[np.ndarray] = []
+            nonlocal held, size
+            cut = np.flatnonzero(np.diff(cols[0]) | np.diff(cols[1])) + 1
             for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(cols[0])], strict=True):
-                for found in of(tuple(c[a:b] for c in cols[1:])):
-                    held.append(found)
-                    if len(held) >= 64 and sum(x.shape[1] for x in held) >= OUT_ROWS:
-                        yield rows_of(held)
-                        held = []
-            if held:
-                yield rows_of(held)
-
-        rows_of = lambda held: pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(held, axis=1)], ["a", "b", "n_a", "n_b"])
+                group = tuple(x[a:b] for x in cols[2:])
+                for block in blocks(group[0]):
+                    for found in of(*(x[block] for x in group)):
+                        held.append(found)
+                        size += found.shape[1]
+                        if size >= 8 * OUT_ROWS:
+                            held = [_summed(held)]
+                            if (size := held[0].shape[1]) >= 4 * OUT_ROWS:
+                                yield from out()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            whole, held, size = _summed(held), [], 0
+            for at in range(0, whole.shape[1], OUT_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + OUT_ROWS]) for x in whole], ["a", "b", "n_a", "n_b", "c"])
+
         join = lambda: tuple(np.concatenate(c) for c in zip(*kept, strict=True))
         for batch in batches:
             if not batch.num_rows:
                 continue
-            longs = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]
-            bits = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            longs = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6)]
+            bits = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(-1, BITS // 64)
             kept.append((*longs, bits))
-            edge = np.flatnonzero(longs[0] != longs[0][-1])
+            edge = np.flatnonzero((longs[0] != longs[0][-1]) | (longs[1] != longs[1][-1]))
             if len(edge):
                 last = kept.pop()
                 kept.append(tuple(c[: edge[-1] + 1] for c in last))
@@ -166,6 +223,7 @@ def _pairs(least: Fraction):
                 yield from work(whole)
         if kept:
             yield from work(join())
+        yield from out()
 
     return run
 
@@ -204,6 +262,15 @@ def print_pairs(sets: DataFrame) -> DataFrame:
     return pairs.select(F.col("p.v").alias("a"), F.col("q.v").alias("b"), F.col("p.n").alias("n_a"), F.col("q.n").alias("n_b"))
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (v, label: the smallest of its component, which isn't listed itself) after more links (a, b)."""
+    of = lambda c: labels.select(F.col("v").alias(c), F.col("label").alias(f"label_{c}"))
+    tops = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    up = materialise(components(tops), "tops")
+    raised = labels.join(up.select(F.col("v").alias("label"), F.col("label").alias("top")), "label", "left").select("v", F.coalesce("top", "label").alias("label"))
+    return materialise(raised.unionByName(up), "components")
+
+
 def near_groups(docs: DataFrame, id_col: str, text_col: str, size: int = 5, similarity: float = 0.8, sample: int = 16_384, most: int = 200_000) -> DataFrame:
     """(id, v, component_id): the smallest id that each row reaches by links; v is its set's digest, for an id may
     stand for several texts. Rows without id aren't allowed."""
@@ -213,14 +280,17 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, size: int = 5, simi
     rows = materialise(rows.select("id", "o.*"), "outlines")
     sets = materialise(rows.groupBy("v").agg(F.min("id").alias("rep"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")), "sets")
     at = Window.partitionBy("s")
-    met = sets.select("v", "n", F.explode("prefix").alias("s")).select("*", F.count(F.lit(1)).over(at).alias("members"), F.min(F.struct("v", "n")).over(at).alias("least"))
-    met = materialise(met.where("members > 1").select("s", "v", "n", "least", (F.col("members") > CROWD).alias("crowded")), "meetings")
+    # g tells meetings of other sets apart; should two have one, they are compared as one, and no pair is lost.
+    met = sets.select("v", "n", F.explode("prefix").alias("s")).select(
+        "*", F.count(F.lit(1)).over(at).alias("members"), F.min(F.struct("v", "n")).over(at).alias("least"), F.bit_xor(F.xxhash64("v", F.lit("meeting"))).over(at).alias("g")
+    )
+    met = materialise(met.where("members > 1").groupBy("g", F.col("least.v").alias("at"), F.col("least.n").alias("n_at"), "v", "n").agg(F.count(F.lit(1)).alias("c")), "meetings")
 
     def similar_sizes(pairs: DataFrame) -> DataFrame:
         return pairs.where(F.least("n_a", "n_b") * least.denominator >= F.greatest("n_a", "n_b") * least.numerator)
 
     def linked(meetings: DataFrame, label: str, known: DataFrame | None = None) -> DataFrame:
-        """Those of the pairs in meetings (a, b, n_a, n_b: a row a shingle) whose sets are similar enough.
+        """Those of the pairs in meetings (a, b, n_a, n_b, c: at so many shingles) whose sets are similar enough.
 
         Shingles up to the end of the prefix that ends first are shared in both prefixes or not at all; of
         those after it at most ceil(threshold * n) - 1 are shared. Pairs for which that is too few are left out,
@@ -228,7 +298,7 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, size: int = 5, simi
         """
         behind = lambda n: F.floor((F.col(n) * least.numerator + least.denominator - 1) / least.denominator)
         most_shared = F.col("c") + F.greatest(behind("n_a"), behind("n_b")) - 1
-        counted = similar_sizes(meetings.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c")))
+        counted = similar_sizes(meetings.groupBy("a", "b", "n_a", "n_b").agg(F.sum("c").alias("c")))
         pairs = counted.where(most_shared * (least.numerator + least.denominator) >= (F.col("n_a") + F.col("n_b")) * least.numerator)
         if known is not None:
             of = lambda c: known.select(F.col("v").alias(c), F.col("label").alias(f"label_{c}"))
@@ -252,30 +322,38 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, size: int = 5, simi
         return materialise(together.mapInArrow(_similar(least), "a long, b long"), f"{label}-links")
 
     prints = materialise(components(verified(similar_sizes(print_pairs(sets)), "prints")), "print-components")
-    both = lambda labels, more: labels.select(F.col("v").alias("a"), F.col("label").alias("b")).union(more)
-    stars = met.where("v <> least.v").select(F.col("least.v").alias("a"), F.col("v").alias("b"), F.col("least.n").alias("n_a"), F.col("n").alias("n_b"))
-    first = materialise(components(both(prints, linked(stars, "first", prints))), "first-components")
-    tag = lambda rows, labels: rows.select("s", "v", "n").join(labels, "v", "left").select("s", "v", "n", F.coalesce("label", "v").alias("label"))
-
-    # Where many still meet, members of other components are compared with one member at a time, another each round,
-    # as long as that links some: a large group's pairs never come to be.
-    crowd = materialise(met.where("crowded").select("s", "v", "n"), "crowd")
-    for turn in range(0 if crowd.isEmpty() else ROUNDS):
-        pivot = F.min(F.struct(F.xxhash64("v", F.lit(turn)).alias("h"), "v", "n", "label")).over(at)
-        crowded = tag(crowd, first).select("*", pivot.alias("p")).where(F.col("label") != F.col("p.label"))
-        swap = F.col("v") < F.col("p.v")
-        either = lambda mine, other: F.when(swap, mine).otherwise(other)  # noqa: E731, B023
-        pairs = crowded.select(either(F.col("v"), F.col("p.v")).alias("a"), either(F.col("p.v"), F.col("v")).alias("b"), either(F.col("n"), F.col("p.n")).alias("n_a"), either(F.col("p.n"), F.col("n")).alias("n_b"))
-        more = linked(pairs, f"round-{turn}")
-        if more.isEmpty():
+    stars = met.where("v <> at").select(F.col("at").alias("a"), F.col("v").alias("b"), F.col("n_at").alias("n_a"), F.col("n").alias("n_b"), "c")
+    found = merged(prints, linked(stars, "first", prints))
+
+    def mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """Those rows of meetings in which several components meet, with their labels."""
+        each = Window.partitionBy("g", "at")
+        tagged = rows.select("g", "at", "v", "n", "c").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+        seen = tagged.select("*", (F.min("label").over(each) != F.max("label").over(each)).alias("mixed"), (F.count(F.lit(1)).over(each) > CROWD).alias("large"))
+        return materialise(seen.where("mixed").drop("mixed"), "mixed")
+
+    def across(rows: DataFrame, compare) -> DataFrame:
+        """What compare makes of whole meetings. A least set's meetings lie together, in several places if they are many."""
+        many = rows.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("places")).where("places > 1")
+        dealt = rows.join(many, "at", "left").withColumn("place", F.pmod("g", F.coalesce("places", F.lit(1))))
+        dealt = dealt.join(sets.select("v", "bits"), "v").select("g", "at", "v", "label", F.col("n").cast("long").alias("n"), "c", "bits", "place")
+        return dealt.repartition("at", "place").sortWithinPartitions("at", "g").drop("place").mapInArrow(compare, "a long, b long, n_a long, n_b long, c long")
+
+    left = mixed(met, found)
+    for turn in range(ROUNDS):
+        near = materialise(across(left, _nearest(least, turn)), "nearest")
+        # A set that could be compared with none of all members of its meetings never can be: components only grow.
+        alive = near.select(F.col("a").alias("v")).union(near.select("b")).distinct().withColumn("alive", F.lit(True))
+        rest = left.join(alive, "v", "left").where("large or alive is not null")
+        more = linked(near, f"round-{turn}")
+        linked_some = not more.isEmpty()
+        found = merged(found, more)
+        was, left = left, mixed(rest, found)
+        discard(was)
+        if not linked_some:
             break
-        first = materialise(components(both(first, more)), "round-components")
-
-    mixed = tag(met, first).select("*", (F.min("label").over(at) != F.max("label").over(at)).alias("mixed")).where("mixed")
-    mixed = mixed.join(sets.select("v", "bits"), "v").select("s", "v", "label", F.col("n").cast("long").alias("n"), "bits").repartition("s").sortWithinPartitions("s")
-    second = linked(mixed.mapInArrow(_pairs(least), "a long, b long, n_a long, n_b long"), "second")
+    found = merged(found, linked(across(left, _pairs(least)), "second"))
 
-    found = components(both(first, second))
     labelled = sets.select("v", "rep").join(found, "v", "left").select("v", "rep", F.coalesce("label", "v").alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
     return rows.select("id", "v").join(labelled.join(smallest, "label").select("v", "component_id"), "v").select("id", "v", "component_id")

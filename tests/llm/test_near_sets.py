@@ -130,3 +130,63 @@ def test_fingerprints_link_first(spark, docs_of, monkeypatch):
     made, plain = [], near_sets.near_links
     monkeypatch.setattr(near_sets, "near_links", lambda fps: made.append(1) or plain(fps))
     assert sorted((r["doc_id"], r["text"]) for r in near_sets.keep_one(docs_of([r for r in rows if r[1]])).collect()) == brute_kept([r for r in rows if r[1]]) and made
+
+
+def _bits(hashes):
+    odd = np.bincount((np.array(hashes, np.uint64) % np.uint64(near_sets.BITS)).astype(np.int64), minlength=near_sets.BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def test_a_pair_comes_once_and_the_nearest_once_a_member(monkeypatch):
+    """However many meetings two sets share, a place gives their pair once, with all their shingles; a round gives a member one pair a meeting."""
+    import pyarrow as pa
+
+    common = list(range(1, 200))
+    sets = [[*common, 1000 + 3 * i, 1001 + 3 * i, 1002 + 3 * i] for i in range(30)]
+    rows = [(g, 0, v, v, 202, 2 + g, _bits(sets[v])) for g in range(50) for v in range(30)]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["g", "at", "v", "label", "n", "c", "bits"])
+    batches = [batch.slice(at, 512) for at in range(0, batch.num_rows, 512)]
+    got = [tuple(r.values()) for b in near_sets._pairs(near_sets.Fraction("0.8"))(iter(batches)) for r in b.to_pylist()]
+    assert sorted(got) == [(a, b, 202, 202, sum(range(2, 52))) for a in range(30) for b in range(a + 1, 30)]
+    for crowd in (1024, 7):
+        monkeypatch.setattr(near_sets, "CROWD", crowd)
+        near = [tuple(r.values())[:2] for b in near_sets._nearest(near_sets.Fraction("0.8"), 0)(iter(batches)) for r in b.to_pylist()]
+        assert len(near) == len(set(near)) <= 30 and {x for p in near for x in p} == set(range(30))
+
+
+def test_rows_of_pairs_follow_the_group_not_its_square(spark, docs_of, monkeypatch):
+    """Groups in which each text is near a few others and meets many: rows of pairs stay a few a member, and the result is exact."""
+    rng = np.random.default_rng(21)
+    rows = []
+    for g in range(2):
+        base = [f"g{g}b{i}" for i in range(240)]
+        for i in range(160):
+            own = list(base)
+            for at in rng.choice(240, 6 + i % 6, replace=False).tolist():
+                own[at] = f"x{g}_{i}_{at}"
+            rows.append((len(rows), " ".join(own)))
+    made, plain = [], near_sets.materialise
+
+    def counted(df, label):
+        stored = plain(df, label)
+        if label.endswith("-pairs") or label == "edges":
+            made.append((label, stored.count()))
+        return stored
+
+    monkeypatch.setattr(near_sets, "materialise", counted)
+    monkeypatch.setattr(simhash, "materialise", counted)
+    want = {i for i, _ in brute_kept(rows)}
+    assert {r["doc_id"] for r in near_sets.keep_one(docs_of(rows).repartition(3)).collect()} == want
+    assert all(n <= 6 * len(rows) for label, n in made if not label.startswith("prints")), made
+    for name, value in (("ROUNDS", 0), ("TOGETHER", 100), ("CROWD", 8)):
+        monkeypatch.setattr(near_sets, name, value)
+        assert {r["doc_id"] for r in near_sets.keep_one(docs_of(rows).repartition(3)).collect()} == want
+
+
+def test_labels_are_raised(spark):
+    """Links between components already found join their labels alone."""
+    labels = spark.createDataFrame([(2, 1), (3, 1), (11, 10), (21, 20)], "v long, label long")
+    links = spark.createDataFrame([(3, 11), (2, 11), (30, 31), (2, 3)], "a long, b long")
+    got = sorted(map(tuple, near_sets.merged(labels, links).select("v", "label").collect()))
+    assert got == [(2, 1), (3, 1), (10, 1), (11, 1), (21, 20), (31, 30)]
+    assert sorted(map(tuple, near_sets.merged(labels, links.limit(0)).select("v", "label").collect())) == sorted(map(tuple, labels.collect()))
