@@ -158,12 +158,13 @@ def _split(path_a: str, path_b: str, buckets: int, schema: pa.Schema):
             return _row(schema, block=block, keys=keys, blob=blob)
 
         def segments() -> Iterator[pa.RecordBatch]:
-            own: dict[int, list[tuple[bytes, int]]] = defaultdict(list)
-            for s, n in number.items():
-                own[zlib.crc32(raw := s.encode("utf-8")) % buckets].append((raw, n))
-            for bucket, rows in own.items():
-                rows.sort()
-                yield _row(schema, block=block, bucket=bucket, blob=squeeze([np.array([n for _, n in rows], "<u4").tobytes(), *(s for s, _ in rows)]))
+            # Numbers are places in this list. Only one bucket's segments are copied at a time.
+            names = list(number)
+            of = np.fromiter((zlib.crc32(s.encode("utf-8")) % buckets for s in names), np.int64, len(names))
+            order = np.argsort(of, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if names else []:
+                rows = sorted((names[n].encode("utf-8"), n) for n in part.tolist())
+                yield _row(schema, block=block, bucket=int(of[part[0]]), blob=squeeze([np.array([n for _, n in rows], "<u4").tobytes(), *(s for s, _ in rows)]))
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -215,7 +216,11 @@ def _align(path_a: str, path_b: str):
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start, start + 1, ... of each range, one after the other."""
-    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+    total = int(size.sum())
+    kind = np.int32 if total + int(start.max(initial=0)) + int(size.max(initial=0)) < 1 << 31 else np.int64
+    out = np.repeat((start - np.cumsum(size) + size).astype(kind), size)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
@@ -225,17 +230,30 @@ def _compose(schema: pa.Schema):
     """A block's documents with counts, digest and segments' numbers; a row more with its segments' numbers of pairs, and rows of those pairs, bounded."""
 
     def run(documents: pa.Table, alignments: pa.Table) -> pa.Table:
-        parts = [unsqueeze(x) for x in alignments.column("blob").to_pylist()]
-        number = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(p[0], "<u4") for p in parts)])
-        order = np.argsort(number)
-        counts = np.concatenate([np.zeros((0, 4), "<u4"), *(np.frombuffer(p[1], "<u4").reshape(-1, 4) for p in parts)]).astype(np.int64)
-        links = np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(p[2], "<i8") for p in parts)])
+        # The groups' texts stay one buffer with the places of each: as objects they would take several times that.
+        raw, numbers, tables, parts, ends = bytearray(), [np.zeros(0, "<u4")], [np.zeros((0, 4), "<u4")], [np.zeros(0, "<i8")], [np.zeros(0, np.int64)]
+        for blob in alignments.column("blob"):
+            number, table, linked, texts = unsqueeze(blob.as_py())
+            numbers.append(np.frombuffer(number, "<u4"))
+            tables.append(np.frombuffer(table, "<u4").reshape(-1, 4))
+            parts.append(np.frombuffer(linked, "<i8"))
+            ends.append(np.append(np.flatnonzero(np.frombuffer(texts, np.uint8) == 10), len(texts)) + len(raw))
+            raw += texts
+            raw += b"\n"
+        order = np.argsort(np.concatenate(numbers))
+        counts = np.concatenate(tables).astype(np.int64)
+        links = np.concatenate(parts)
+        del parts, tables, numbers
+        end = np.concatenate(ends)
+        begin = np.concatenate([np.zeros(1, np.int64), end[:-1] + 1])[: len(end)]
+        begin, end, texts = begin[order], end[order], memoryview(raw)
         start = np.cumsum(counts[:, 3]) - counts[:, 3]
-        texts = [t for p in parts for t in p[3].split(b"\n")]
-        texts = [texts[i] for i in order.tolist()]
-        del parts
         counts, start = counts[order], start[order]
-        pairs, which = np.unique(links[_ranges(start, counts[:, 3])], return_inverse=True)
+        pairs, which = np.unique(links), np.zeros(len(links), np.uint32)
+        for at in range(0, len(links), CHUNK):
+            which[at : at + CHUNK] = np.searchsorted(pairs, links[at : at + CHUNK])
+        del links
+        which = which[_ranges(start, counts[:, 3])]
         start = np.cumsum(counts[:, 3]) - counts[:, 3]
         held = np.zeros(len(pairs), np.int64)
         out = []
@@ -249,7 +267,7 @@ def _compose(schema: pa.Schema):
                     kept.append(own[:0])
                     continue
                 totals[n] = counts[own].sum(axis=0)
-                digests[n] = hashlib.sha256(b";".join([texts[i] for i in own.tolist()])).digest()
+                digests[n] = hashlib.sha256(b";".join([texts[i:j] for i, j in zip(begin[own].tolist(), end[own].tolist(), strict=True)])).digest()
                 kept.append(own)
                 once = np.unique(own)
                 seen.append(np.unique(which[_ranges(start[once], counts[once, 3])]))
@@ -261,7 +279,7 @@ def _compose(schema: pa.Schema):
         kind = schema.field("pairs").type.value_type
         columns = [np.arange(len(ids)), ids[:, 0], ids[:, 1], held]
         found = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind))
-        out.append(_row(schema, block=block, blob=_pack(counts[:, 3].astype("<u4"), which.astype("<u4"))))
+        out.append(_row(schema, block=block, blob=_pack(counts[:, 3].astype("<u4"), which.astype("<u4", copy=False))))
         plain = _row(schema, block=block)
         for at in range(0, len(ids), PAIRS):
             part = found.slice(at, PAIRS)

@@ -2,7 +2,9 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -152,3 +154,29 @@ def test_pairs_of_a_block_are_stored_in_bounded_rows(monkeypatch):
     links = lambda t: {tuple(x) for s in alignment.aligner(A, B).split(f" {t}") for x in np.frombuffer(alignment.aligner(A, B).align([s.encode()])[0][3], "<i4").reshape(-1, 2).tolist()}
     want = [x for _, t in rows if t for x in links(t)]
     assert {(p["a"], p["b"]): p["docs"] for p in flat} == {x: want.count(x) for x in want}
+
+
+def test_a_block_is_composed_within_a_few_times_its_alignments():
+    """What a task holds beside a block's alignments is numbers and one buffer, not an object a segment."""
+    import tracemalloc
+
+    many, width = 60_000, 12
+    rng = np.random.default_rng(3)
+    counts = np.tile(np.array([width, width, width, width], "<u4"), (many, 1))
+    links = rng.integers(0, 60, (many * width, 2)).astype("<i4")
+    groups = b"\n".join([b"101|202"] * many)
+    blob = alignment.squeeze([np.arange(many, dtype="<u4").tobytes(), counts.tobytes(), links.tobytes(), groups])
+    aligned = pa.table({"block": pa.array([0], pa.int64()), "blob": pa.array([blob], pa.binary())})
+    coded = np.arange(200, dtype="<u4")
+    documents = pa.table({"block": pa.array([0], pa.int64()), "keys": pa.array([[7]], pa.list_(pa.int64())), "blob": pa.array([alignment._pack(np.array([200], "<u4"), coded)], pa.binary())})
+    pair = pa.struct([("i", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("docs", pa.int64())])
+    schema = pa.schema([("block", pa.int64()), ("keys", pa.list_(pa.int64())), ("blob", pa.binary()), ("pairs", pa.list_(pair))])
+    tracemalloc.start()
+    try:
+        done = alignment._compose(schema)(documents, aligned)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    digests = alignment.unsqueeze(alignment.unsqueeze(done.column("blob")[0].as_py())[1])
+    assert digests == [hashlib.sha256(b";".join([b"101|202"] * 200)).digest()]
+    assert peak < 600 * many
