@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.simhash import components, near_links, print_of
-from tessella.llm.store import discard, exactly, fresh, materialise, suspects, within
+from tessella.llm.store import discard, exactly, fresh, give_back, materialise, suspects, within
 
 BITS = 2048
 #: Rows of pairs after which a batch is handed on.
@@ -83,6 +83,7 @@ def set_of(text: Column, size: int) -> Column:
         for texts in batches:
             sets = [shingles(t, size) for t in texts.to_pylist()]
             yield pa.StructArray.from_arrays([_digests(sets), _lists(sets)], ["v", "hashes"])
+        give_back()
 
     return run(text)
 
@@ -108,6 +109,7 @@ def outline(text: Column, size: int, least: Fraction, frequent: np.ndarray, coun
             odd = [np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1 for s in sets]
             bits = pa.array([np.packbits(o.astype(np.uint8)).tobytes() for o in odd], pa.binary())
             yield pa.StructArray.from_arrays([_digests(sets), pa.array(prints, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), bits, _lists([prefix(s) for s in sets])], ["v", "fp", "n", "bits", "prefix"])
+        give_back()
 
     return run(text)
 
@@ -223,7 +225,9 @@ def _meet(least: Fraction, turn: int | None):
                 yield from work(whole)
         if kept:
             yield from work(join())
+        kept.clear()
         yield from out()
+        give_back()
 
     return run
 
@@ -246,6 +250,7 @@ def _similar(least: Fraction):
                     at = np.minimum(np.searchsorted(mine, own), len(mine) - 1)
                     kept[n] = int((mine[at] == own).sum()) * (num + den) >= (len(mine) + len(own)) * num
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], ["a", "b"]).filter(pa.array(kept))
+        give_back()
 
     return run
 

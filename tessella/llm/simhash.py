@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.store import discard, exactly, fresh, materialise, suspects
+from tessella.llm.store import discard, exactly, fresh, give_back, materialise, suspects
 
 BLOCK = 1 << 18
 
@@ -189,6 +189,8 @@ def _links(threshold: int):
                 yield from work(whole)
         if kept:
             yield from work(np.concatenate(kept, axis=1))
+        kept.clear()
+        give_back()
 
     return run
 
