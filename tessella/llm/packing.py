@@ -112,6 +112,10 @@ class WordTokenizer:
         self._each(list(new.difference(letters)))
         self.known.update({c: self.known[word] for c, word in letters.items() if c != word})
 
+    def rest(self) -> None:
+        """What a task leaves to its worker, which other stages use as well: the younger generation alone."""
+        self.older = {}
+
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text. Texts with separators that only str.split() honours, or with marks of special
         tokens, go to the library whole."""
@@ -343,6 +347,7 @@ def pack(df: DataFrame, tokenizer: str, key: str = "doc_id", text_col: str = "te
                 rows.clear()
         if rows:
             yield columns()
+        words.rest()
         give_back()
 
     bears = F.col(loss_col) if loss_col else F.lit(True)

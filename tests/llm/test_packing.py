@@ -98,3 +98,19 @@ def test_pieces_are_the_tokenizers_own():
     words.LIMIT = 300
     for got, want in zip(words.encode(texts), words.full.encode_batch(texts, add_special_tokens=False), strict=True):
         assert got.tolist() == want.ids
+
+
+def test_a_task_leaves_one_generation_of_words_behind(monkeypatch):
+    """Workers outlive their tasks: the older generation isn't kept between them, and ids stay the same."""
+    import public_tokenizers
+
+    from tessella.llm.packing import WordTokenizer
+
+    monkeypatch.setattr(WordTokenizer, "LIMIT", 40)
+    words = WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [" ".join(f"{a}{b}ing" for b in "abcdefghij") for a in "klmnopqrst"]
+    whole = [words.full.encode(t, add_special_tokens=False).ids for t in texts]
+    ids = lambda: [x.tolist() for t in texts for x in words.encode([t])]
+    assert ids() == whole and words.older
+    words.rest()
+    assert not words.older and ids() == whole
